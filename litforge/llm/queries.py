@@ -15,6 +15,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litforge.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=2, percent=80)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litforge.llm.token_files import token_table
 
@@ -45,13 +51,28 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litforge.llm.line_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litforge.llm.embed_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op3_token_files": op3_token_files,
         "op4_warc_revisits": op4_warc_revisits,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_media_columns": op6_media_columns,
         "op7_bpe_round_trip": op7_bpe_round_trip,
+        "op8_line_dedup": op8_line_dedup,
+        "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
 
