@@ -21,6 +21,12 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=2, percent=80)
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litforge.llm.html_template import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litforge.llm.token_files import token_table
 
@@ -57,6 +63,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litforge.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litforge.llm.embed_dedup import near_vectors
 
@@ -66,12 +78,14 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_html_main_text": op2_html_main_text,
         "op3_token_files": op3_token_files,
         "op4_warc_revisits": op4_warc_revisits,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_media_columns": op6_media_columns,
         "op7_bpe_round_trip": op7_bpe_round_trip,
         "op8_line_dedup": op8_line_dedup,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 

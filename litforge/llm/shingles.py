@@ -18,9 +18,8 @@ _folded = _exact[_lower]
 _STEP = np.uint64(0xA24BAED4963EE407)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's k-word shingles, A-Z lower-cased: (flat, n+1 bounds). Fewer words make one shingle, no word none."""
-    n = len(offsets) - 1
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, A-Z lower-cased, and the n+1 bounds of the texts."""
     white = _white[data]
     inner = np.r_[True, white, True]
     edge = offsets[1:-1]
@@ -31,8 +30,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     begins[cut] |= solid[cut]
     ends[cut - 1] |= solid[cut - 1]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    words = span_hashes(_folded[data], starts, stops)
-    bounds = np.searchsorted(starts, offsets)
+    return span_hashes(_folded[data], starts, stops), np.searchsorted(starts, offsets)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's k-word shingles: (flat, n+1 bounds). Fewer words make one shingle, no word none."""
+    return shingles_of(*word_hashes(data, offsets), k)
+
+
+def shingles_of(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    n = len(bounds) - 1
     count = np.diff(bounds)
     size = np.where(count >= k, count - k + 1, count > 0)
     out = np.empty(int(size.sum()), np.uint64)
