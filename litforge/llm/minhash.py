@@ -4,8 +4,9 @@ Each text's set of word shingles gives a sketch of REGISTERS registers: the mini
 truncated to 16 bits. Sketches of parts merge by maximum, so texts of any length are sketched in parts. Four registers make a band, one 64-bit value.
 
 1. Texts with equal sets form a class; its smallest id stands for it from here on.
-2. Representatives that share a band value are candidates. First each one is held against the smallest id of one of its buckets, the one met most often, which links large groups with
-   as many checks as members. Then, where a bucket still has several components, every pair across components is a candidate, and none within one.
+2. Representatives that share a band value are candidates. First each one is held against one leader: of each bucket the member that meets most others leads, as it lies nearest to the
+   origin of a group of copies; of the leaders it meets, a member takes the one it shares most bands with. That links large groups with as many checks as members.
+   Then, where a bucket still has several components, members outside its largest one are held against that component's members, in blocks that give one link a member at most, and against each other.
 3. The likelihood of the three register counts (greater, less, equal), given both set sizes, is taken jointly at its maximum and at the threshold; pairs
    that are lower by more than DOUBT go.
 4. The rest are verified on their full sets. Components of the links that hold are the groups.
@@ -23,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litforge.llm.common import materialise, mix64, slices, small_batches, utf8_of
+from litforge.llm.common import materialise, mix64, ragged, slices, small_batches, utf8_of
 from litforge.llm.components import components
 from litforge.llm.shingles import shingle_sets
 
 REGISTERS, BAND = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
-DOUBT = 18.0
+DOUBT = 12.0
+BLOCK = 512
 _rows = 4096
 _a = (mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _b = (mix64(np.arange(1001, REGISTERS + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -138,6 +140,66 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def against_components(targets: DataFrame, known: DataFrame, table: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) of texts (id) to components they meet (component): each text against each member that it shares a band with and that the likelihood allows, until one holds.
+
+    A component's members and its visitors are cut into blocks of BLOCK by hash; each pair of blocks is one key, so no component is gathered in one task, and what is given out grows with the visitors.
+    """
+    full = known.select("id", "component").unionByName(targets.select(F.col("component").alias("id"), "component").distinct().join(known.select("id"), "id", "left_anti"))
+    size = lambda df, name: df.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    blocks = size(targets, "visits").join(size(full, "homes"), "component")
+    mine = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    home = full.join(blocks, "component").select("component", mine("homes").alias("home"), every("visits").alias("visit"), F.lit(0).alias("role"), "id")
+    visit = targets.join(blocks, "component").select("component", every("homes").alias("home"), mine("visits").alias("visit"), F.lit(1).alias("role"), "id")
+    rows = home.unionAll(visit).join(table.select(F.col("doc_id").alias("id"), "bands"), "id").join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    keys = ["component", "home", "visit"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, bands, sets = None, [], [], []
+        stacked = flat = bounds = sizes = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values, ends = shingle_sets(*utf8_of(batch.column("text")), k)
+            sketch = np.asarray(batch.column("bands").flatten()).reshape(batch.num_rows, -1)
+            out = []
+            for i, (key, role, id_) in enumerate(zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), batch.column("role").to_pylist(), batch.column("id").to_pylist(), strict=True)):
+                if key != now:
+                    now, ids, bands, sets, stacked = key, [], [], [], None
+                own = values[ends[i] : ends[i + 1]]
+                if role == 0:
+                    ids.append(id_)
+                    bands.append(sketch[i].copy())
+                    sets.append(own.copy())
+                    continue
+                if not ids:
+                    continue
+                if stacked is None:
+                    stacked, sizes = np.array(bands), np.array([len(s) for s in sets])
+                    flat, bounds = np.concatenate(sets), np.r_[0, np.cumsum(sizes)]
+                n = len(own)
+                at = np.flatnonzero((stacked == sketch[i]).any(1) & (100 * sizes >= percent * n) & (100 * n >= percent * sizes))
+                if len(at):
+                    wide = lambda b: np.ascontiguousarray(b).view("<u2").reshape(len(at), REGISTERS)  # noqa: B023, E731
+                    at = at[likely(wide(np.repeat(sketch[i][None], len(at), 0)), wide(stacked[at]), np.full(len(at), float(n)), sizes[at].astype(float), percent / 100)]
+                for lo in range(0, len(at), 64):
+                    part = at[lo : lo + 64]
+                    other = flat[ragged(bounds[part], sizes[part])]
+                    hit = own[np.minimum(np.searchsorted(own, other), n - 1)] == other
+                    both = np.add.reduceat(hit, np.cumsum(sizes[part]) - sizes[part], dtype=np.int64)
+                    good = np.flatnonzero(100 * both >= percent * (n + sizes[part] - both))
+                    if len(good):
+                        other_id = ids[part[good[0]]]
+                        if other_id != id_:
+                            out.append((min(id_, other_id), max(id_, other_id)))
+                        break
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "role").select(*keys, "role", "id", "bands", "text").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept. docs is read more than once, so it should be a stored table."""
     spark = docs.sparkSession
@@ -151,8 +213,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     ratio = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
     bands = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("bands").alias("band", "value"))
-    shared = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n")).alias("leader")).filter("c > 1").drop("c")
-    members = materialise(bands.join(shared, ["band", "value"]), "members")
+    shared = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    met = materialise(bands.join(shared, ["band", "value"]), "met")
+    central = met.groupBy("id").agg(F.sum("c").alias("meets"))
+    led = met.join(central, "id")
+    leaders = led.groupBy("band", "value").agg(F.max_by(F.struct("id", "n"), F.struct("meets", -F.col("id"))).alias("leader"))
+    members = materialise(met.drop("c").join(leaders, ["band", "value"]), "members")
     texts = materialise(rows.join(members.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id", "text"]), "candidate-texts")
     small = reps.select("doc_id", "n", "bands")
 
@@ -164,12 +230,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     placed = members.drop("leader").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     tally = placed.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = tally.groupBy("band", "value").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    open_ = materialise(placed.join(mixed, ["band", "value"]), "open-buckets")
-    x = open_.filter("component <> main").select("band", "value", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-    y = open_.select("band", "value", F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"), "main")
-    across = x.join(y, ["band", "value"]).filter((F.col("c_x") != F.col("c_y")) & ratio("n_x", "n_y") & ((F.col("c_y") == F.col("main")) | (F.col("x") < F.col("y"))))
-    second = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = materialise(verified(estimated(materialise(second, "second-pairs"), small, percent / 100), texts, k, percent), "links")
+    outside = materialise(placed.join(mixed, ["band", "value"]).filter("component <> main"), "outside")
+    x = outside.select("band", "value", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
+    y = outside.select("band", "value", F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"))
+    across = x.join(y, ["band", "value"]).filter((F.col("c_x") != F.col("c_y")) & ratio("n_x", "n_y") & (F.col("x") < F.col("y")))
+    second = across.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    more = verified(estimated(materialise(second, "second-pairs"), small, percent / 100), texts, k, percent)
+    joined = against_components(outside.select("id", F.col("main").alias("component")).distinct(), known, small, texts, k, percent)
+    more = materialise(more.unionAll(joined), "links")
 
     found = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
     heads = classes.join(found, F.col("rep") == F.col("id"), "left").select(*keys, F.coalesce("component", "rep").alias("group"))
