@@ -17,11 +17,11 @@ def tokens(text: Column, least: int = 3, stop: Sequence[str] = ()) -> Column:
 
 def ngrams(words: Column, up_to: int = 2) -> Column:
     """Words and the joined runs of up to so many words."""
-    out = words
-    for n in range(2, up_to + 1):
-        run = F.transform(F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0))), lambda _, i, n=n: F.array_join(F.slice(words, i + 1, n), " "))
-        out = F.concat(out, run)
-    return out
+
+    def runs(n: int) -> Column:
+        return F.transform(F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0))), lambda _, i: F.array_join(F.slice(words, i + 1, n), " "))
+
+    return F.concat(words, *[runs(n) for n in range(2, up_to + 1)])
 
 
 def ctfidf(df: DataFrame, cls: str, text: str, up_to: int = 2, min_df: int = 2, max_df: float = 0.9, stop: Sequence[str] = ()) -> DataFrame:
