@@ -54,13 +54,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     again = np.r_[False, hashes[1:] == hashes[:-1]]
     again[places[:-1][places[:-1] < len(again)]] = False
     distinct = [np.diff(shingles_of(hashes, places, k)[1]) / np.maximum(count - k + 1, 1) for k in (1, 2, 4)]
-    gap = np.r_[kind[1:] >= 11, True] & (kind < 11) | np.r_[kind[1:] >= 11, True] & (kind == KINDS - 1)
-    last = np.r_[kind[1:], 11]
-    word_end = (kind < 11) & (last >= 11) & (last <= 12) | (kind == KINDS - 1) & (last >= 11) & (last <= 12)
+    # what stands behind and before a byte in its own text; a text's ends count as spaces
+    behind, ahead = np.r_[kind[1:], 11], np.r_[11, kind[:-1]]
+    full = size > 0
+    behind[offsets[1:][full] - 1] = 11
+    ahead[offsets[:-1][full]] = 11
+    word_end = ((kind < 11) | (kind == KINDS - 1)) & (behind >= 11) & (behind <= 12)
     odd_end = word_end & ((kind == 3) | (kind == 7) | (kind == 8))
     stop_end = word_end & ((kind == 4) | (kind == 5))
     comma_end = word_end & (kind == 6)
-    capital = (kind == 0) & np.r_[False, kind[:-1] == 0] if len(kind) else kind
+    capital = (kind == 0) & (ahead == 0)
     each = np.maximum(count, 1)
     # the worst stretch of a text: the unit with most signs, the one with most capitals, the longest
     sign = np.r_[0, np.cumsum((kind == 3) | (kind == 7) | (kind == 8))]
@@ -77,7 +80,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     wide = [worst((sign[end] - sign[start]) / width), worst((caps[end] - caps[start]) / width * (width > 12)), np.log1p(worst(words))]
     columns = [
         np.log1p(size), np.log1p(count), np.log1p(units), size / each / 10, count / np.maximum(units, 1) / 20, *distinct,
-        sums(odd_end, offsets) / each, sums(stop_end, offsets) / each, sums(comma_end, offsets) / each, sums(capital, offsets) / np.maximum(size, 1), *wide, sums(again, places) / each, np.log1p(sums(gap, offsets)) - np.log1p(count),
+        sums(odd_end, offsets) / each, sums(stop_end, offsets) / each, sums(comma_end, offsets) / each, sums(capital, offsets) / np.maximum(size, 1), *wide, sums(again, places) / each,
     ]
     return np.column_stack([per, np.sqrt(per), *columns])
 
