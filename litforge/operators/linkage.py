@@ -131,6 +131,15 @@ def suggest_thesaurus(keywords: DataFrame, threshold: float = 88.0, heads: int =
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= best)
 
 
+def build_thesaurus(keywords: DataFrame, known: DataFrame, threshold: float = 88.0, never: DataFrame | None = None) -> DataFrame:
+    """FUZ5: (alias, canonical): known aliases first, then each other keyword's best candidate, both ways without the pairs that must never merge; chains are followed to their ends, loops go."""
+    best = suggest_thesaurus(keywords, threshold, best=1).select(F.col("keyword").alias("alias"), "canonical")
+    if never is not None:
+        both = never.select("alias", "canonical").unionAll(never.select("canonical", "alias"))
+        best = best.join(both, ["alias", "canonical"], "left_anti")
+    return close_mapping(known.select("alias", "canonical").unionByName(best.join(known.select("alias"), "alias", "left_anti")))
+
+
 def apply_thesaurus(df: DataFrame, mapping: DataFrame, stop: DataFrame, record: str, source: str, keyword: str) -> DataFrame:
     """FUZ6: canonical names, stop words dropped after mapping, one row for each record and keyword."""
     mapped = map_values(df, keyword, mapping, "_k").select(record, source, F.col("_k").alias(keyword))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +40,17 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     return each.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("centroid"))
 
 
+def embed(df: DataFrame, text: str, encode: Callable[[list[str]], list[list[float]]], out: str = "embedding") -> DataFrame:
+    """VEC1: vectors of texts by a pluggable encoder, each distinct text once; the encoder sees lists of texts, batch by batch."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(**{"_vector": encode(pdf["_text"].tolist())})
+
+    once = df.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).distinct().mapInPandas(run, "_text string, _vector array<float>")
+    return df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).join(once, "_text").withColumnRenamed("_vector", out).drop("_text")
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))

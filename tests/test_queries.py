@@ -9,7 +9,7 @@ import pytest
 
 from litforge.plans import registry
 
-for _m in ("connectors", "descriptive", "linking", "statistics", "texts"):
+for _m in ("connectors", "descriptive", "extras", "linking", "statistics", "texts"):
     importlib.import_module(f"litforge.plans.{_m}")
 
 DATA = "/root/testdata/sf0.001"
