@@ -30,7 +30,7 @@ from litforge.llm.shingles import shingle_sets
 
 REGISTERS, BAND = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
-DOUBT = 12.0
+DOUBT = 18.0
 BLOCK = 512
 _rows = 4096
 _a = (mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
