@@ -40,7 +40,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("packing", packing)]
 
-#: No stage but the last two's bookkeeping can be put in SQL; tests hold each stage against a brute-force version.
+#: A fitted classifier and a tokenizer are beyond SQL; tests hold the other stages, and the packed lengths, against brute-force versions.
 ORACLE_SQL = None
 
 
