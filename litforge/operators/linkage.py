@@ -108,16 +108,22 @@ def coalesce_lookup(df: DataFrame, columns: Sequence[str], mapping: DataFrame, o
     return df.withColumns({out: F.coalesce(hit, rest), f"{out}_status": kind}).drop(*[f"_hit{i}" for i in range(len(columns))])
 
 
-def close_mapping(mapping: DataFrame, most: int = 20) -> DataFrame:
-    """MAP1: every alias to the end of its chain, by pointer doubling; members of a cycle end at its smallest name."""
-    m = stored(mapping.select("alias", "canonical").filter("alias <> canonical"), "closure")
-    for _ in range(most):
-        nxt = m.select(F.col("alias").alias("_a"), F.col("canonical").alias("_c"))
-        step = m.join(nxt, F.col("canonical") == F.col("_a"), "left")
-        if not step.filter("_c is not null and alias <> _c and canonical > _c or _c is not null and canonical <> _c and alias <> canonical and alias <> _c").limit(1).count():
-            break
-        m = stored(step.select("alias", F.when(F.col("_c").isNull(), F.col("canonical")).when(F.col("_c") == F.col("alias"), F.least("canonical", "alias")).otherwise(F.col("_c")).alias("canonical")), "closure")
-    return m.filter("alias <> canonical")
+def close_mapping(mapping: DataFrame) -> DataFrame:
+    """MAP1: every alias to the end of its chain, by pointer doubling. An alias has one canonical name (of several the smallest); chains that run into a loop end at the loop's smallest name."""
+    links = mapping.filter("alias <> canonical").groupBy("alias").agg(F.min("canonical").alias("canonical"))
+    ends = links.select(F.col("canonical").alias("alias")).distinct().join(links.select("alias"), "alias", "left_anti")
+    m = stored(links.unionAll(ends.select("alias", F.col("alias").alias("canonical"))), "closure")
+    # after so many doublings every image is an end, or lies in a loop
+    for _ in range(max(1, m.count().bit_length())):
+        after = m.join(m.select(F.col("alias").alias("_a"), F.col("canonical").alias("_c")), F.col("canonical") == F.col("_a"))
+        if after.filter("canonical <> _c").isEmpty():
+            return m.filter("alias <> canonical")
+        m = stored(after.select("alias", F.col("_c").alias("canonical")), "closure")
+    # each connected part has one end or one loop, and its images cover the loop
+    part = connected_components(links.select(F.col("alias").alias("a"), F.col("canonical").alias("b")))
+    whole = m.join(part, F.col("alias") == F.col("id"))
+    least = whole.groupBy("component").agg(F.min("canonical").alias("least"))
+    return whole.join(least, "component").select("alias", F.col("least").alias("canonical")).filter("alias <> canonical")
 
 
 def suggest_thesaurus(keywords: DataFrame, threshold: float = 88.0, heads: int = 500, tails: int = 1500, best: int = 10) -> DataFrame:
