@@ -127,6 +127,52 @@ def test_block_pairs_and_components(spark):
     assert linkage.connected_components(chain.limit(0)).count() == 0
 
 
+def test_thesaurus_by_brute_force(spark):
+    rng = random.Random(8)
+    words = sorted({" ".join(rng.choices(["herb", "herbs", "drug", "drugs", "cyp", "effect"], k=rng.randint(1, 3))) for _ in range(60)})
+    n = {w: rng.randint(1, 9) for w in words}
+    k = frame(spark, list(n.items()), "keyword string, n long")
+    ratio = lambda a, b: 200.0 * brute_lcs(a, b) / (len(a) + len(b))
+    sort = lambda w: " ".join(sorted(w.split()))
+    want = {}
+    for w in words:
+        near = sorted((-ratio(sort(w), sort(c)), -n[c], c) for c in words if n[c] > n[w] and ratio(sort(w), sort(c)) >= 88)
+        want[w] = [c for _, _, c in near[:10]]
+    got = {}
+    for r in linkage.suggest_thesaurus(k, 88.0).orderBy("keyword", "place").collect():
+        got.setdefault(r["keyword"], []).append(r["canonical"])
+    assert got == {w: c for w, c in want.items() if c} and len(got) > 5
+    never = [(w, c[0]) for w, c in want.items() if c][:1]
+    built = {r["alias"]: r["canonical"] for r in linkage.build_thesaurus(k, frame(spark, [("zz", "herb")], "alias string, canonical string"), 88.0, frame(spark, [never[0][::-1]], "alias string, canonical string")).collect()}
+    links = {w: c[0] for w, c in want.items() if c and (w, c[0]) != never[0]} | {"zz": "herb"}
+
+    def end(w):
+        while w in links:
+            w = links[w]
+        return w
+
+    assert built == {w: end(w) for w in links}
+
+
+def test_label_propagation_by_hand(spark):
+    edges = [("a", "b", 5), ("b", "c", 5), ("a", "c", 5), ("x", "y", 5), ("y", "z", 5), ("x", "z", 5), ("c", "x", 1)]
+    near = {}
+    for a, b, w in edges:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    label = {v: v for v in near}
+    for _ in range(4):
+        new = {}
+        for v, around in near.items():
+            weight = {}
+            for u, w in around:
+                weight[label[u]] = weight.get(label[u], 0) + w
+            new[v] = min(weight, key=lambda c: (-weight[c], c))
+        label = new
+    got = {r["node"]: r["community"] for r in graph.label_propagation(frame(spark, edges, "a string, b string, n long"), 4).collect()}
+    assert got == label
+
+
 def test_survivorship_ties(spark):
     rows = [("k", "B", 2, "long text", 1, None), ("k", "A", 3, "x", None, "m"), ("k", "A", 1, "x", 5, None), ("j", "A", 9, "y", None, None)]
     df = frame(spark, rows, "key string, db string, id long, abstract string, cites long, mesh string")
@@ -299,6 +345,16 @@ def test_overlap_and_coverage(spark):
     assert {r["g"]: (r["n"], r["n_v"]) for r in ranking.coverage(df, "g", ["v"]).collect()} == {"x": (2, 0), "y": (1, 1)}
 
 
+def test_schema_helpers_and_encoder(spark):
+    df = frame(spark, [("x", 1), (None, 2)], "Priority string, order_key long")
+    assert extraction.find_column(df, ["nothing", "PRIORITY"]) == "Priority" and extraction.find_column(df, ["nothing"]) is None and extraction.columns_like(df, ["KEY"]) == ["order_key"]
+    out = topics.embed(df, "Priority", lambda xs: [[float(len(x)), 1.0] for x in xs]).collect()
+    assert {(r["order_key"], tuple(r["embedding"])) for r in out} == {(1, (1.0, 1.0)), (2, (0.0, 1.0))}
+    a = X.split_affiliations(F.col("s"), F.col("raw"), F.array(F.lit("N"), F.lit("N")))
+    rows = frame(spark, [("WoS", "[A] U.\nU\nV"), ("Scopus", "U; V."), ("OpenAlex", None), ("PubMed", "U")], "s string, raw string").select("s", a.alias("a")).collect()
+    assert {r["s"]: r["a"] for r in rows} == {"WoS": ["U", "V"], "Scopus": ["U", "V"], "OpenAlex": ["N"], "PubMed": []}
+
+
 def test_library_stands_without_llm():
     from pathlib import Path
 
