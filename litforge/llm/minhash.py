@@ -6,7 +6,7 @@ truncated to 16 bits. Sketches of parts merge by maximum, so texts of any length
 1. Texts with equal sets form a class; its smallest id stands for it from here on.
 2. Representatives that share a band value are candidates. First each one is held against one leader: of each bucket the member that meets most others leads, as it lies nearest to the
    origin of a group of copies; of the leaders it meets, a member takes the one it shares most bands with. That links large groups with as many checks as members.
-   Then, where a bucket still has several components, members outside its largest one are held against that component's members, in blocks that give one link a member at most, and against each other.
+   Then, where a bucket still has several components, members outside its largest one are held against that component's members and against each other, in blocks that give no more links than they have texts.
 3. The likelihood of the three register counts (greater, less, equal), given both set sizes, is taken jointly at its maximum and at the threshold; pairs
    that are lower by more than DOUBT go.
 4. The rest are verified on their full sets. Components of the links that hold are the groups.
@@ -140,64 +140,76 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def against_components(targets: DataFrame, known: DataFrame, table: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) of texts (id) to components they meet (component): each text against each member that it shares a band with and that the likelihood allows, until one holds.
+def within_components(targets: DataFrame, known: DataFrame, table: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join texts (id) to a component they meet (target) and to each other. Two such texts that share a bucket meet the same largest component, so every pair that is still open lies in one target.
 
-    A component's members and its visitors are cut into blocks of BLOCK by hash; each pair of blocks is one key, so no component is gathered in one task, and what is given out grows with the visitors.
+    A target's members with its visitors, and the visitors again, are cut into blocks of BLOCK by hash; a pair of blocks is one key, so no component is gathered in one task. Each visitor is held against those it shares
+    a band with and the likelihood allows, unless links found in the task connect them already: a task gives no more links than it has texts.
     """
-    full = known.select("id", "component").unionByName(targets.select(F.col("component").alias("id"), "component").distinct().join(known.select("id"), "id", "left_anti"))
-    size = lambda df, name: df.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    blocks = size(targets, "visits").join(size(full, "homes"), "component")
+    own = F.coalesce("component", "id")
+    members = known.select(F.col("component").alias("target"), "id").unionByName(targets.select("target", F.col("target").alias("id"))).join(targets.select("target").distinct(), "target", "left_semi")
+    members = members.unionByName(targets.select("target", "id")).distinct()
+    size = lambda df, name: df.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    blocks = size(targets, "visits").join(size(members, "homes"), "target")
     mine = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    home = full.join(blocks, "component").select("component", mine("homes").alias("home"), every("visits").alias("visit"), F.lit(0).alias("role"), "id")
-    visit = targets.join(blocks, "component").select("component", every("homes").alias("home"), mine("visits").alias("visit"), F.lit(1).alias("role"), "id")
-    rows = home.unionAll(visit).join(table.select(F.col("doc_id").alias("id"), "bands"), "id").join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
-    keys = ["component", "home", "visit"]
+    home = members.join(blocks, "target").select("target", mine("homes").alias("home"), every("visits").alias("visit"), F.lit(0).alias("role"), "id")
+    visit = targets.join(blocks, "target").select("target", every("homes").alias("home"), mine("visits").alias("visit"), F.lit(1).alias("role"), "id")
+    rows = home.unionAll(visit).join(known, "id", "left").withColumn("own", own).drop("component")
+    rows = rows.join(table.select(F.col("doc_id").alias("id"), "bands"), "id").join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    keys = ["target", "home", "visit"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, bands, sets = None, [], [], []
-        stacked = flat = bounds = sizes = None
+        now, held, stacked = None, [], None
+        ids = roots = sizes = flat = bounds = None
+        joined: dict[int, int] = {}  # components that links of this task joined
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             values, ends = shingle_sets(*utf8_of(batch.column("text")), k)
             sketch = np.asarray(batch.column("bands").flatten()).reshape(batch.num_rows, -1)
-            out = []
-            for i, (key, role, id_) in enumerate(zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), batch.column("role").to_pylist(), batch.column("id").to_pylist(), strict=True)):
+            out: list[tuple[int, int]] = []
+            fields = zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), *(batch.column(c).to_pylist() for c in ("role", "id", "own")), strict=True)
+            for i, (key, role, id_, component) in enumerate(fields):
                 if key != now:
-                    now, ids, bands, sets, stacked = key, [], [], [], None
-                own = values[ends[i] : ends[i + 1]]
+                    now, held, stacked, joined = key, [], None, {}
+                mine_ = values[ends[i] : ends[i + 1]]
                 if role == 0:
-                    ids.append(id_)
-                    bands.append(sketch[i].copy())
-                    sets.append(own.copy())
+                    held.append((id_, component, sketch[i].copy(), mine_.copy()))
                     continue
-                if not ids:
+                if not held:
                     continue
                 if stacked is None:
-                    stacked, sizes = np.array(bands), np.array([len(s) for s in sets])
-                    flat, bounds = np.concatenate(sets), np.r_[0, np.cumsum(sizes)]
-                n = len(own)
-                at = np.flatnonzero((stacked == sketch[i]).any(1) & (100 * sizes >= percent * n) & (100 * n >= percent * sizes))
+                    ids, roots, stacked = np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.array([h[2] for h in held])
+                    sizes, flat = np.array([len(h[3]) for h in held]), np.concatenate([h[3] for h in held])
+                    bounds = np.cumsum(sizes) - sizes
+                n, me = len(mine_), root(component)
+                at = np.flatnonzero((roots != me) & (100 * sizes >= percent * n) & (100 * n >= percent * sizes))
+                at = at[(stacked[at] == sketch[i]).any(1)]
                 if len(at):
-                    wide = lambda b: np.ascontiguousarray(b).view("<u2").reshape(len(at), REGISTERS)  # noqa: B023, E731
-                    at = at[likely(wide(np.repeat(sketch[i][None], len(at), 0)), wide(stacked[at]), np.full(len(at), float(n)), sizes[at].astype(float), percent / 100)]
-                for lo in range(0, len(at), 64):
-                    part = at[lo : lo + 64]
+                    x = np.repeat(np.ascontiguousarray(sketch[i]).view("<u2")[None], len(at), 0)
+                    at = at[likely(x, np.ascontiguousarray(stacked[at]).view("<u2"), np.full(len(at), float(n)), sizes[at].astype(float), percent / 100)]
+                while len(at):
+                    part, at = at[:64], at[64:]
                     other = flat[ragged(bounds[part], sizes[part])]
-                    hit = own[np.minimum(np.searchsorted(own, other), n - 1)] == other
+                    hit = mine_[np.minimum(np.searchsorted(mine_, other), n - 1)] == other
                     both = np.add.reduceat(hit, np.cumsum(sizes[part]) - sizes[part], dtype=np.int64)
-                    good = np.flatnonzero(100 * both >= percent * (n + sizes[part] - both))
-                    if len(good):
-                        other_id = ids[part[good[0]]]
-                        if other_id != id_:
-                            out.append((min(id_, other_id), max(id_, other_id)))
-                        break
+                    for j in part[100 * both >= percent * (n + sizes[part] - both)].tolist():
+                        if roots[j] != me:
+                            out.append((min(id_, int(ids[j])), max(id_, int(ids[j]))))
+                            joined[int(roots[j])] = me
+                            roots[roots == roots[j]] = me
+                    at = at[roots[at] != me]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "role").select(*keys, "role", "id", "bands", "text").mapInArrow(run, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "role").select(*keys, "role", "id", "own", "bands", "text").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -231,13 +243,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     tally = placed.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = tally.groupBy("band", "value").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
     outside = materialise(placed.join(mixed, ["band", "value"]).filter("component <> main"), "outside")
-    x = outside.select("band", "value", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-    y = outside.select("band", "value", F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"))
-    across = x.join(y, ["band", "value"]).filter((F.col("c_x") != F.col("c_y")) & ratio("n_x", "n_y") & (F.col("x") < F.col("y")))
-    second = across.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    more = verified(estimated(materialise(second, "second-pairs"), small, percent / 100), texts, k, percent)
-    joined = against_components(outside.select("id", F.col("main").alias("component")).distinct(), known, small, texts, k, percent)
-    more = materialise(more.unionAll(joined), "links")
+    more = materialise(within_components(outside.select("id", F.col("main").alias("target")).distinct(), known, small, texts, k, percent), "links")
 
     found = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
     heads = classes.join(found, F.col("rep") == F.col("id"), "left").select(*keys, F.coalesce("component", "rep").alias("group"))
