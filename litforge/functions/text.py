@@ -130,9 +130,9 @@ def extract_countries(c: Column, aliases: dict[str, str], special: dict[str, str
     """STR11: sorted distinct codes of whole-word aliases. A country word beside the name of one of its special regions counts only if some occurrence has no such name in the gap characters before it."""
     text = F.lower(F.coalesce(c, F.lit("")))
     special = special or {}
-    hits = [F.when(text.rlike(rf"\b{a}\b"), F.lit(k)) for a, k in {**special, **aliases}.items() if a != country]
+    hits = [F.when(text.rlike(rf"(?U)\b{a}\b"), F.lit(k)) for a, k in {**special, **aliases}.items() if a != country]
     ahead = "".join(rf"(?<!{a}.{{0,{gap - len(a)}}})" for a in special)
-    hits.append(F.when(text.rlike(rf"(?s){ahead}\b{country}\b"), F.lit(code)))
+    hits.append(F.when(text.rlike(rf"(?sU){ahead}\b{country}\b"), F.lit(code)))
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))
 
 
@@ -159,7 +159,7 @@ def core_tokens(c: Column, stop: Sequence[str] = ("of", "the", "and", "in", "for
 def listed_tokens(c: Column, names: Sequence[str]) -> Column:
     """STR14: those of the given names that occur as whole words."""
     text = F.lower(F.coalesce(c, F.lit("")))
-    return F.array_compact(F.array(*[F.when(text.rlike(rf"\b{n}\b"), F.lit(n)) for n in names]))
+    return F.array_compact(F.array(*[F.when(text.rlike(rf"(?U)\b{n}\b"), F.lit(n)) for n in names]))
 
 
 def leading_token(c: Column) -> Column:

@@ -83,7 +83,7 @@ RECORDS = """rec AS (SELECT DISTINCT o.o_orderkey AS k, n.n_name AS e, floor(o.o
 def supplied(t: Tables) -> DataFrame:
     """(order, line, supplier, nation, price)"""
     s = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name", "n_regionkey")
-    l = t.lineitem.select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    l = t.lineitem.select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     return l.join(t.orders.select("o_orderkey", F.floor("o_totalprice").alias("price"), "o_orderpriority", F.year("o_orderdate").alias("year")), F.col("l_orderkey") == F.col("o_orderkey"))
 
 

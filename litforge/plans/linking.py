@@ -226,18 +226,18 @@ CITIES = ["the", "and", "der", "que", "los", "tion"]
 
 
 @query("fuz8_catch_all", """WITH x AS (SELECT source, lower(text) AS s, quality FROM documents LEFT JOIN labels USING (doc_id)), w AS (SELECT source, regexp_extract(split_part(s, ',', 1), '[a-z]+') AS lead FROM x),
-    c AS (SELECT source, count(DISTINCT c) AS n_cities FROM (SELECT source, unnest(['the', 'and', 'der', 'que', 'los', 'tion']) AS c, s FROM x) WHERE regexp_matches(s, '\\b' || c || '\\b') GROUP BY 1),
-    g AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE regexp_matches(s, '\\btion\\b'))::DOUBLE / count(*) < 0.4 AS overlap, quantile_disc(quality, 0.5) < 1 AS low_score FROM x GROUP BY 1),
-    l AS (SELECT source, count(DISTINCT lead) FILTER (WHERE length(lead) >= 3)::DOUBLE / count(*) > 0.6 AS leading FROM w GROUP BY 1)
-    SELECT source, n, coalesce(n_cities > 5, false) AS cities, overlap, leading, coalesce(low_score, false) AS low_score, (coalesce(n_cities > 5, false)::INT + overlap::INT + leading::INT + coalesce(low_score, false)::INT)::BIGINT AS score,
-    (coalesce(n_cities > 5, false)::INT + overlap::INT + leading::INT + coalesce(low_score, false)::INT) >= 2 AS is_catch_all FROM g JOIN l USING (source) LEFT JOIN c USING (source) WHERE n >= 30""")
+    c AS (SELECT source, count(DISTINCT c) AS n_cities FROM (SELECT source, unnest(['the', 'and', 'der', 'que', 'los', 'tion']) AS c, s FROM x) WHERE regexp_matches(s, '(^|[^\\p{L}\\p{N}_])' || c || '([^\\p{L}\\p{N}_]|$)') GROUP BY 1),
+    g AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE regexp_matches(s, '(^|[^\\p{L}\\p{N}_])tion([^\\p{L}\\p{N}_]|$)'))::DOUBLE / count(*) < 0.4 AS overlap, quantile_disc(quality, 0.5) < 1 AS low_score FROM x GROUP BY 1),
+    l AS (SELECT source, count(DISTINCT lead) FILTER (WHERE length(lead) >= 3)::DOUBLE / count(*) > 0.6 AS lead_diverse FROM w GROUP BY 1)
+    SELECT source, n, coalesce(n_cities > 5, false) AS cities, overlap, lead_diverse, coalesce(low_score, false) AS low_score, (coalesce(n_cities > 5, false)::INT + overlap::INT + lead_diverse::INT + coalesce(low_score, false)::INT)::BIGINT AS score,
+    (coalesce(n_cities > 5, false)::INT + overlap::INT + lead_diverse::INT + coalesce(low_score, false)::INT) >= 2 AS is_catch_all FROM g JOIN l USING (source) LEFT JOIN c USING (source) WHERE n >= 30""")
 def fuz8(t: Tables) -> DataFrame:
     """FUZ8, STR14, MTH9: one aggregation, cities and leading words as sets of a few values a row."""
     x = t.documents.join(t.labels, "doc_id", "left").select("source", "quality", "text", leading_token(F.col("text")).alias("lead"))
-    hits = F.aggregate(F.array(*[F.max(F.lower("text").rlike(rf"\b{c}\b").cast("int")) for c in CITIES]), F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0)))
+    hits = F.aggregate(F.array(*[F.max(F.lower("text").rlike(rf"(?U)\b{c}\b").cast("int")) for c in CITIES]), F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0)))
     criteria = {
-        "cities": hits > 5, "overlap": F.count_if(F.lower("text").rlike(r"\btion\b")) / F.count(F.lit(1)) < 0.4,
-        "leading": F.countDistinct(F.when(F.length("lead") >= 3, F.col("lead"))) / F.count(F.lit(1)) > 0.6, "low_score": F.expr("percentile_disc(0.5) within group (order by quality)") < 1,
+        "cities": hits > 5, "overlap": F.count_if(F.lower("text").rlike(r"(?U)\btion\b")) / F.count(F.lit(1)) < 0.4,
+        "lead_diverse": F.countDistinct(F.when(F.length("lead") >= 3, F.col("lead"))) / F.count(F.lit(1)) > 0.6, "low_score": F.expr("percentile_disc(0.5) within group (order by quality)") < 1,
     }
     return linkage.catch_all_groups(x, "source", 30, criteria)
 
@@ -258,7 +258,7 @@ def fuz7(t: Tables) -> DataFrame:
 
 
 @query("str14_token_sets", """SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) >= 3 AND w NOT IN ('of', 'the', 'and', 'in', 'for', 'a', 'an', 'at'))))::BIGINT AS n_core,
-    regexp_extract(split_part(lower(text), ',', 1), '[a-z]+') AS lead, array_to_string(list_filter(['the', 'der'], lambda c: regexp_matches(lower(text), '\\b' || c || '\\b')), '+') AS listed FROM documents""")
+    regexp_extract(split_part(lower(text), ',', 1), '[a-z]+') AS lead, array_to_string(list_filter(['the', 'der'], lambda c: regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])' || c || '([^\\p{L}\\p{N}_]|$)')), '+') AS listed FROM documents""")
 def str14(t: Tables) -> DataFrame:
     x = F.col("text")
     return t.documents.select("doc_id", F.size(core_tokens(x)).cast("long").alias("n_core"), leading_token(x).alias("lead"), F.array_join(listed_tokens(x, ["the", "der"]), "+").alias("listed"))
