@@ -4,7 +4,7 @@
 2. Each table gives a vector BITS signs of projections on random hyperplanes, one bucket. BITS grows with the logarithm of the number of vectors, TABLES with the recall wanted: a pair at
    the threshold meets in no table with a probability under MISS.
 3. Buckets are cut into blocks of BLOCK vectors; each pair of blocks is compared by one matrix product, in double precision. A pair is counted in the first
-   table where it meets, so no pair is ever written: only counts for each vector and links to the smallest neighbour, which suffice for components.
+   table where it meets, so no pair is ever written: only counts for each vector and a spanning forest of the block pair's links, one edge a vector, which suffices for components.
 4. Links of a vector: other members of its class and the sizes of the classes linked to it.
 
 Cases: null vectors, those of zeros, and those with null or non-finite components have no links; vectors of another length than the most common are compared with their like only;
@@ -72,8 +72,26 @@ def block_pairs(vectors: DataFrame, tables: int) -> DataFrame:
     return paired.select(key.alias("key"), "dim", "t", "bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "size", "unit", "buckets")
 
 
+def roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ids, the smallest id that the links i-j between places reach from it."""
+    order = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    i, j = rank[i], rank[j]
+    root = np.arange(len(ids))
+    while True:
+        was = root
+        root = root.copy()
+        np.minimum.at(root, was[i], was[j])  # a tree hangs on the smallest tree it has a link to
+        np.minimum.at(root, was[j], was[i])
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == was).all():
+            return ids[order][root[rank]]
+
+
 def compare(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(id, near, least): for a vector and a block pair, the sizes of the classes linked here for the first time, and the smallest linked id, its own included."""
+    """(id, near, least): for a vector and a block pair, the sizes of the classes linked here for the first time, and the smallest id that these links reach, its own included."""
     names = ["dim", "t", "bucket", "lo", "hi"]
 
     def group(rows: list[dict]) -> pa.RecordBatch | None:
@@ -93,9 +111,7 @@ def compare(pairs: DataFrame, threshold: float) -> DataFrame:
         if not len(i):
             return None
         near = np.bincount(i, sizes[j], len(rows)) + np.bincount(j, sizes[i], len(rows))
-        least = ids.copy()
-        np.minimum.at(least, i, ids[j])
-        np.minimum.at(least, j, ids[i])
+        least = roots(ids, i, j)
         some = np.flatnonzero(near)
         return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(near[some].astype(np.int64)), pa.array(least[some])], ["id", "near", "least"])
 

@@ -414,6 +414,26 @@ def test_embeddings(spark):
     assert near_vectors(common.materialise(df.limit(0), "t")).count() == 0
 
 
+def test_embedding_components_beyond_least_neighbour(spark):
+    """Hubs with the largest id and leaves that are no neighbours of each other; chains in any order of ids."""
+    rng = np.random.default_rng(8)
+    x = []
+    for g in range(10):
+        basis = np.linalg.qr(rng.normal(size=(64, 8)))[0].T
+        for k in range(6):
+            x.append((100 * g + k, (0.955 * basis[0] + (1 - 0.955**2) ** 0.5 * basis[k + 1]).tolist()))
+        x.append((100 * g + 50, basis[0].tolist()))
+        turns = rng.permutation(12) * 0.3  # neighbours at cosine 0.955, the next at 0.825
+        x += [(5000 + 100 * g + k, (np.cos(a) * basis[6] + np.sin(a) * basis[7]).tolist()) for k, a in enumerate(turns)]
+    m = np.array([v for _, v in x])
+    link = m @ m.T >= 0.95
+    low = np.array([i for i, _ in x])
+    for _ in range(len(x)):
+        low = np.where(link, low[None], 1 << 60).min(1)
+    got = near_vectors(common.materialise(spark.createDataFrame(x, "vec_id long, embedding array<double>"), "t")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {i: (int(n) - 1, int(c), i == c) for (i, _), n, c in zip(x, link.sum(1), low, strict=True)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
