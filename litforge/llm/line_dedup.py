@@ -1,8 +1,8 @@
 """Operator 8: repeated passages by overlapping windows of three lines.
 
-A line is a run of text up to a line break or to a sentence's end (. ! ? before white space), so that passages within a paragraph are seen as well. Every three lines in a row
-make a window with a 128-bit hash. The first window of equal ones, by (doc_id, place), stays; lines that later ones cover are removed, and overlapping covers
-merge. Windows of fewer than MIN_WORDS words tell nothing of copying and are not compared.
+A line is a run of text up to a line break, to a sentence's end (. ! ? before white space) or to a cut by content within a longer sentence, so that passages within a paragraph are seen
+as well, and those that begin and end within a sentence or have no sentences: any 50 words hold three whole lines wherever they stand. Every three lines in a row make a window with a 128-bit hash. The first window of equal ones, by (doc_id, place), stays; lines that later ones cover are removed, and overlapping covers
+merge. Windows of fewer than MIN_WORDS words tell nothing of copying and are not compared; so a passage of which every three lines are as short, such as one or two words said again and again, stays.
 
 Windows are counted by hash with partial sums before the shuffle; then those that are repeated find their places by a join that Spark may split where a passage is very common.
 Cases: null, empty and one- or two-line texts stay as they are; null ids are not compared; rows that share an id and a text are alike and neither is later than the other;

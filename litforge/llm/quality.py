@@ -47,7 +47,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(n), size)
     shares = np.bincount(owner * KINDS + kind, minlength=n * KINDS).reshape(n, KINDS)
     per = shares / np.maximum(size, 1)[:, None]
-    start, end, words, bounds = sentence_units(data, offsets)
+    start, end, words, bounds = sentence_units(data, offsets, whole=True)
     count = sums(words, bounds)
     units = np.diff(bounds)
     hashes, places = word_hashes(data, offsets)

@@ -16,6 +16,7 @@ _exact = mix64(np.arange(1, 257, dtype=np.uint64))
 _second = mix64(np.arange(1001, 1257, dtype=np.uint64))
 _folded = _exact[_lower]
 _STEP = np.uint64(0xA24BAED4963EE407)
+SPAN = 13  # the most with which 50 words hold three units
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +66,33 @@ def shingles_of(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarr
     return out[keep], np.r_[0, kept[ends_]]
 
 
-def sentence_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Units that end at a line break or after . ! ? before white space: (start, end without white space behind, words, n+1 bounds of the texts)."""
+def inner_cuts(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Words before which a sentence is cut by content: of each SPAN words in a row of one sentence, the gap inside whose two words have the smallest hash, the last of equal ones."""
+    n, gaps = len(start), SPAN - 1
+    if n < SPAN:
+        return np.zeros(0, np.int64)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_exact[data], out=total[1:])
+    word = total[end] - total[start]  # the order of bytes within a word may be left out here
+    pair = np.zeros(n, np.uint64)
+    pair[1:] = mix64(word[:-1] * _STEP + word[1:])
+    low = np.uint64((1 << 24) - 1)
+    pair = (pair | np.uint64(1 << 63)) & ~low | low - (np.arange(n, dtype=np.uint64) & low)
+    pair[first] = 0  # no window crosses a sentence's end
+    least = pair[1:]
+    have = 1
+    while have < gaps:
+        step = min(have, gaps - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    at = np.flatnonzero(least)
+    begin = (at + 1).astype(np.uint64)
+    return np.unique(begin + ((low - (least[at] & low) - begin) & low)).astype(np.int64)
+
+
+def sentence_units(data: np.ndarray, offsets: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units that end at a line break, after . ! ? before white space, or at a cut by content within a sentence of SPAN words or more: (start, end without white space behind, words,
+    n+1 bounds of the texts). A unit has fewer than SPAN words, and any 50 words hold three whole units that are the same wherever these words stand. With whole, sentences are not cut."""
     white = _white[data]
     solid = np.flatnonzero(~white)
     if not len(solid):
@@ -76,11 +102,14 @@ def sentence_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     gap = np.diff(solid) > 1
     other = owner[1:] != owner[:-1]
     new = gap & (_stop[data[solid[:-1]]] | (breaks[solid[1:]] > breaks[solid[:-1]])) | other
-    first = np.flatnonzero(np.r_[True, new])
-    start, end = solid[first], solid[np.r_[first[1:] - 1, len(solid) - 1]] + 1
-    word = np.r_[0, np.cumsum(np.r_[True, gap | other])]
-    words = word[np.r_[first[1:], len(solid)]] - word[first]
-    return start, end, words, np.searchsorted(start, offsets)
+    word = np.flatnonzero(np.r_[True, gap | other])
+    start, end = solid[word], solid[np.r_[word[1:] - 1, len(solid) - 1]] + 1
+    first = np.r_[True, new][word]
+    if not whole:
+        first[inner_cuts(data, start, end, first)] = True
+    at = np.flatnonzero(first)
+    start, end = start[at], end[np.r_[at[1:] - 1, len(word) - 1]]
+    return start, end, np.diff(np.r_[at, len(word)]), np.searchsorted(start, offsets)
 
 
 def unit_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

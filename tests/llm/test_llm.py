@@ -332,6 +332,19 @@ def test_line_dedup(spark, odd_docs):
     assert remove_repeats(common.materialise(df.limit(0), "t")).count() == 0
 
 
+def test_line_dedup_cut_passages(spark):
+    """Passages of 50 words and more that begin and end within a sentence, or have no sentences, lose words wherever they stand."""
+    rng = random.Random(9)
+    prose = lambda n, stops: " ".join(w + ("." if rng.random() < stops else "") for w in rng_words(rng, n, "abcdefghijklmnop"))
+    passages = [prose(n, stops) for n in (50, 61, 120) for stops in (0, 0.03, 0.1) for _ in range(20)]
+    bare = prose(70, 0)
+    rows = [(2 * k + c, f"{prose(rng.randint(1, 30), 0.1)} {p} {prose(rng.randint(1, 30), 0.1)}") for k, p in enumerate(passages) for c in range(2)] + [(1000, bare), (1001, bare)]
+    got = {r["doc_id"]: r["text"] for r in remove_repeats(common.materialise(spark.createDataFrame(rows, DOC), "t")).collect()}
+    lost = {i: len(t.split()) - len(got[i].split()) for i, t in rows}
+    assert not any(lost[2 * k] for k in range(len(passages))) and got[1000] == bare
+    assert all(lost[2 * k + 1] >= max(10, len(p.split()) - 48) for k, p in enumerate(passages)) and lost[1001] >= 50
+
+
 def test_features_stand_alone():
     """A text's features do not depend on its neighbours."""
     texts = ["", "A b.", "WORD!! WORD!! x", "été | b | c |\nnew line 12", " " * 5, "a a a a b b"]
