@@ -144,11 +144,18 @@ class Page:
                 self.push(tag, m[3])
         self.flush()
 
+    def content(self) -> list[tuple[str, int]]:
+        """(text, token) of the blocks that roles leave as content, in order."""
+        want = 2 if any(role == 2 for _, role, _ in self.blocks) else 1
+        return [(text, token) for text, role, token in self.blocks if role == want]
+
+    def article(self) -> int:
+        """What tells the page's article from others: its longest content block, so that copies with another date or link beside it are one article."""
+        return hash64(max((text for text, _ in self.content()), key=lambda t: (len(t), t), default=""))
+
     def main(self, template: frozenset[int] | set[int]) -> str:
         """Content blocks in order."""
-        want = 2 if any(role == 2 for _, role, _ in self.blocks) else 1
-        kept = [text for text, role, token in self.blocks if role == want and not (token in template and len(text) < SHORT)]
-        return "\n\n".join(kept)
+        return "\n\n".join(text for text, token in self.content() if not (token in template and len(text) < SHORT))
 
 
 def host(url: str = "url") -> F.Column:
@@ -156,30 +163,34 @@ def host(url: str = "url") -> F.Column:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, parent, is_text, a, b, n): the counts of each token of each page, weighted by two random numbers of the page. Token 0 stands for the page itself."""
+    """(host, token, parent, is_text, a, b, c, n, articles): the counts of each token of each page, weighted by two random numbers of the page, its pages and their distinct articles.
+    Token 0 stands for the page itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
-            columns: list[list] = [[] for _ in range(7)]
+            columns: list[list] = [[] for _ in range(8)]
             for where, name, source in zip(part.column("host").to_pylist(), part.column("page_id").to_pylist(), part.column("html").to_pylist(), strict=True):
                 page = Page(source or "")
                 w = xxhash.xxh64_intdigest(f"{name}")
-                a, b = w >> 40, w & 0xFFFFFF
+                a, b, article = w >> 40, w & 0xFFFFFF, page.article()
                 rows = [(0, 0, False, 1)] + [(t, page.parents.get(t, 0), t in page.texts, c) for t, c in page.tokens.items()]
                 for t, parent, text, c in rows:
-                    for column, x in zip(columns, (where, t, parent, text, a * c, b * c, c), strict=True):
+                    for column, x in zip(columns, (where, t, parent, text, a * c, b * c, c, article), strict=True):
                         column.append(x)
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "token", "parent", "is_text", "a", "b", "c"])
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "token", "parent", "is_text", "a", "b", "c", "article"])
 
-    rows = pages.mapInArrow(run, "host string, token long, parent long, is_text boolean, a long, b long, c long")
-    return rows.groupBy("host", "token", "parent", "is_text").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"))
+    rows = pages.mapInArrow(run, "host string, token long, parent long, is_text boolean, a long, b long, c long, article long")
+    return rows.groupBy("host", "token", "parent", "is_text").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"), F.count_distinct("article").alias("articles"))
 
 
 def deduced(vectors: DataFrame) -> DataFrame:
     """Template tokens (host, token, parent, is_text, class): valid equivalence classes of each host, nested."""
-    total = vectors.filter("token = 0").select("host", F.col("n").alias("pages")).filter(F.col("pages") >= MINIMUM)
-    frequent = vectors.filter("token <> 0").join(total, "host").filter((F.col("n") >= MINIMUM) & (F.col("n") >= SUPPORT * F.col("pages")))
+    total = vectors.filter("token = 0").select("host", F.col("n").alias("pages"), F.col("articles").alias("of")).filter(F.col("pages") >= MINIMUM)
+    often = (F.col("n") >= MINIMUM) & (F.col("n") >= SUPPORT * F.col("pages"))
+    # a text that is on many pages only as its article is copied is content
+    shared = ~F.col("is_text") | (F.col("articles") >= MINIMUM) & (F.col("articles") >= SUPPORT * F.col("of"))
+    frequent = vectors.filter("token <> 0").join(total, "host").filter(often & shared)
     classes = frequent.withColumn("class", F.xxhash64("a", "b", "c", "n")).select("host", "token", "parent", "is_text", "class")
     enclosing = classes.filter("not is_text").select("host", F.col("token").alias("parent")).distinct()
     nested = classes.filter("parent <> 0").join(enclosing, ["host", "parent"], "left_semi")

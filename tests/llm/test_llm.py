@@ -399,6 +399,21 @@ def test_html_template(spark):
     assert main_texts(common.materialise(pages_of(spark, []), "t")).count() == 0
 
 
+def test_html_copied_article(spark):
+    """Copies of one article on most of a host's pages, alike or with another link beside it, lose none of it; texts that different articles share still go."""
+    share = "<p>Share this</p>"
+    page = lambda i, j, tag: f"<html><body><{tag}><h1>Title {i}</h1><p>First words of number {i}.</p><p>The longer second paragraph of article {i} is here.</p>{share}<p>ref {j}</p></{tag}></body></html>"
+    rows = []
+    for h, tag in enumerate(("article", "div")):
+        rows += [(1000 * h + i, f"http://{tag}.example/{i}", page(i, 0, tag)) for i in range(12)]
+        rows += [(1000 * h + 100 + i, f"http://{tag}.example/0?s={i}", page(0, i % 2 * i, tag)) for i in range(30)]
+        rows += [(1000 * h + 500 + i, f"http://one-{tag}.example/0?s={i}", page(0, 0, tag)) for i in range(20)]
+    for r in main_texts(common.materialise(pages_of(spark, rows), "t")).collect():
+        p, one = r["page_id"] % 1000, "one-" in r["url"]
+        i = p if p < 100 else 0
+        assert r["text"].startswith(f"Title {i}\n\nFirst words of number {i}.\n\nThe longer second paragraph of article {i} is here.") and ("Share this" in r["text"]) == one
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(12, 16))
