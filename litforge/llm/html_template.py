@@ -1,10 +1,9 @@
 """Operator 2: main text of web pages by template deduction.
 
 A page is read as tokens: each start tag with its path of tags and classes, and each text with its path. The occurrence vector of a token has its count on every page of the host.
-Tokens with equal vectors form an equivalence class; vectors are compared by two sums of random page weights, so that a class is found by one
-distributed aggregation and no host is gathered in one task. A class is valid if it is frequent (SUPPORT of the host's pages, MINIMUM pages) and nests: a token's enclosing
-tag belongs to a valid class itself. The valid classes of a host, nested, are its template. What lies between template tokens are slots; a slot's role follows from the template
-path around it, and texts that are template tokens themselves are not content.
+Equivalence classes of tokens are not used: a token is taken for template by itself, if it is frequent (SUPPORT of the host's pages, MINIMUM pages; for texts, as many distinct
+articles too) and its enclosing tag is frequent. Slots are not cut from the template: a text's role follows from fixed names of tags, roles and classes on its path, and texts that are
+template tokens themselves are not content. So boilerplate outside these names stays where it has SHORT characters or more.
 
 Content are the slots within article or main, or within body where a page has neither, except those whose path passes through a menu, header, footer, sidebar, notice, advert, form,
 script, style or comment section. Templates go to the scan by broadcast while they have fewer than BROADCAST_ROWS rows, else by a join on the host.
