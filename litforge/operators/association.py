@@ -129,7 +129,7 @@ def chain_class(f: Column, s: Column, c: Column, has_c: Column) -> Column:
 
 def hierarchy_chains(pairs: DataFrame, categories: DataFrame, stats: dict[str, DataFrame], category: str = "category") -> DataFrame:
     """JON13: every (family, species, compound) by category with each tier's flag. pairs: the distinct triples, compound may be null; stats: tier -> (entity, category, sig). The grid is triples by categories, both small."""
-    out = pairs.crossJoin(F.broadcast(categories.limit(10_000)))
+    out = pairs.crossJoin(categories)
     for tier in ("family", "species", "compound"):
         s = stats[tier].select(F.col("entity").alias(tier), category, F.col("sig").alias(f"{tier}_sig"))
         out = out.join(s, [tier, category], "left").withColumn(f"{tier}_sig", F.coalesce(f"{tier}_sig", F.lit(False)))

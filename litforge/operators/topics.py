@@ -106,7 +106,7 @@ def stratified_sample(df: DataFrame, stratum: str, identifier: str, score: str,
     """SMP1: rows with scores from the 40th percentile of their stratum on where those suffice, else any, picked by a seeded hash of the id."""
     sizes = allocation(df.groupBy(stratum).agg(F.count(F.lit(1)).alias("size")), stratum, n)
     cut = df.groupBy(stratum).agg(F.percentile(score, 0.4).alias("_cut"))
-    x = df.join(F.broadcast(sizes.select(stratum, "take").limit(1_000_000)), stratum).join(cut, stratum).withColumn("_high", F.col(score) >= F.col("_cut"))
+    x = df.join(sizes.select(stratum, "take"), stratum).join(cut, stratum).withColumn("_high", F.col(score) >= F.col("_cut"))
     enough = F.count_if("_high").over(Window.partitionBy(stratum)) >= F.col("take")
     pool = x.withColumn("_in", F.col("_high") | ~enough).filter("_in")
     order = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(identifier), F.lit(seed)), identifier)

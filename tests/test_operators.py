@@ -362,3 +362,10 @@ def test_library_stands_without_llm():
     for f in (root / "litforge").rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "litforge.llm" not in f.read_text(), f
+
+
+def test_chains_keep_all_categories(spark):
+    pairs = spark.createDataFrame([("f", "s", None)], "family string, species string, compound string")
+    none = spark.createDataFrame([], "entity string, category long, sig boolean")
+    out = A.hierarchy_chains(pairs, spark.range(10_050).withColumnRenamed("id", "category"), dict.fromkeys(("family", "species", "compound"), none))
+    assert out.count() == 10_050
