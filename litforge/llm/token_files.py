@@ -1,6 +1,6 @@
 """Operator 3: token ids in flat binary files.
 
-Format of one shard: ``shard-NNNNN.bin`` holds little-endian unsigned integers (16 bits if the vocabulary fits, else 32), document after document;
+Format of one shard: ``shard-NNNNN.bin`` holds little-endian unsigned 16-bit integers (a larger vocabulary is refused), document after document;
 ``shard-NNNNN.idx`` holds two little-endian 64-bit arrays, the ids of the documents (n) and their offsets in ids (n+1). Documents ascend by id within
 a shard and from shard to shard. The base of a shard, that is the ids in all shards before it, is the prefix sum over the manifest.
 
