@@ -1,12 +1,14 @@
 """Operator 8: repeated passages by overlapping windows of three lines.
 
 A line is a run of text up to a line break, to a sentence's end (. ! ? before white space) or to a cut by content within a longer sentence, so that passages within a paragraph are seen
-as well, and those that begin and end within a sentence or have no sentences: any 50 words hold three whole lines wherever they stand. Every three lines in a row make a window with a 128-bit hash. The first window of equal ones, by (doc_id, place), stays; lines that later ones cover are removed, and overlapping covers
-merge. Windows of fewer than MIN_WORDS words tell nothing of copying and are not compared; so a passage of which every three lines are as short, such as one or two words said again and again, stays.
+as well, and those that begin and end within a sentence or have no sentences: any 50 words hold three whole lines wherever they stand. With breaks_only, lines end at line breaks alone.
+Every three lines in a row make a window with a 96-bit hash, however few words they have. The first window of equal ones, by (doc_id, line), stays; lines that later ones cover are removed,
+and overlapping covers merge. min_words leaves windows of fewer words uncompared; by default none are.
 
 Windows are counted by hash with partial sums before the shuffle; then those that are repeated find their places by a join that Spark may split where a passage is very common.
-Cases: null, empty and one- or two-line texts stay as they are; null ids are not compared; rows that share an id and a text are alike and neither is later than the other;
-a text that loses nothing stays the same to the byte. Columns other than the text pass through unchanged, whatever their names.
+Cases: null, empty and one- or two-line texts stay as they are; null ids are not compared. Rows may share an id: a place is (doc_id, line), so a window that two such rows have at the same
+line is at one place and stays in both, while at another line it is later and goes; a cover holds for the rows of an id that have its window there. A text that loses nothing stays
+the same to the byte. Columns other than the text pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,73 +19,82 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from litforge.llm.common import mix64, slices, small_batches, utf8_of
 from litforge.llm.shingles import sentence_units, unit_hashes
 
-LINES, MIN_WORDS = 3, 10
-
-
-def windows(docs: DataFrame, lines: int = LINES, min_words: int = MIN_WORDS) -> DataFrame:
+LINES = 3
+
+
+def window_hashes(data: np.ndarray, offsets: np.ndarray, lines: int, min_words: int, breaks_only: bool) -> tuple[np.ndarray, ...]:
+    """(text, first line, 64 bits, 32 bits more) of each window of a batch, then the lines' starts and the n+1 bounds of the texts."""
+    start, end, words, bounds = sentence_units(data, offsets, breaks_only=breaks_only)
+    n = len(start) - lines + 1
+    if n < 1:
+        return (*(np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int32)), start, bounds)
+    a, b = unit_hashes(data, start, end)
+    total = np.zeros(n, np.int64)
+    x, y = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for j in range(lines):
+        total += words[j : n + j]
+        x, y = mix64(x * np.uint64(31) + a[j : n + j]), mix64(y * np.uint64(37) + b[j : n + j])
+    at = np.arange(n)
+    owner = np.searchsorted(bounds, at, "right") - 1
+    at = np.flatnonzero((at + lines <= bounds[owner + 1]) & (total >= min_words))
+    owner = owner[at]
+    return owner, (at - bounds[owner]).astype(np.int32), x[at].view(np.int64), (y[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), start, bounds
+
+
+def windows(docs: DataFrame, lines: int, min_words: int, breaks_only: bool) -> DataFrame:
     """(doc_id, line, ha, hb): each window by its first line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            data, offsets = utf8_of(part.column("text"))
-            start, end, words, bounds = sentence_units(data, offsets)
-            if len(start) < lines:
-                continue
-            a, b = unit_hashes(data, start, end)
-            n = len(start) - lines + 1
-            total = np.zeros(n, np.int64)
-            x, y = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            for j in range(lines):
-                total += words[j : n + j]
-                x, y = mix64(x * np.uint64(31) + a[j : n + j]), mix64(y * np.uint64(37) + b[j : n + j])
-            at = np.arange(n)
-            owner = np.searchsorted(bounds, at, "right") - 1
-            good = (at + lines <= bounds[owner + 1]) & (total >= min_words)
-            at, owner = at[good], owner[good]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(pa.array(owner)), pa.array(at - bounds[owner], pa.int32()), pa.array(x[good].view(np.int64)), pa.array(y[good].view(np.int64))], ["doc_id", "line", "ha", "hb"]
-            )
-
-    return docs.filter("doc_id is not null").mapInArrow(run, "doc_id long, line int, ha long, hb long")
-
-
-def remove_repeats(docs: DataFrame, lines: int = LINES, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+            owner, line, ha, hb, _, _ = window_hashes(*utf8_of(part.column("text")), lines, min_words, breaks_only)
+            if len(owner):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), *map(pa.array, (line, ha, hb))], ["doc_id", "line", "ha", "hb"])
+
+    return docs.filter("doc_id is not null").mapInArrow(run, "doc_id long, line int, ha long, hb int")
+
+
+def remove_repeats(docs: DataFrame, lines: int = LINES, min_words: int = 0, id_column: str = "doc_id", text_column: str = "text", breaks_only: bool = False) -> DataFrame:
     """All columns of docs with the text cleaned, and n_lines, n_removed. docs is read twice, so it should be a stored table."""
     small_batches(docs.sparkSession)
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    places = windows(rows, lines, min_words)
-    repeated = places.groupBy("ha", "hb").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line")).alias("first")).filter("n > 1").drop("n")
-    later = places.join(repeated, ["ha", "hb"]).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))
+    places = windows(rows, lines, min_words, breaks_only)
+    first = places.groupBy("ha", "hb").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line")).alias("first")).filter("n > 1").drop("n")
+    later = places.join(first, ["ha", "hb"]).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))
     # bounded by the windows of one document
-    covers = later.groupBy(F.col("doc_id").alias("_cover_id")).agg(F.collect_set("line").alias("_cover"))
+    covers = later.groupBy(F.col("doc_id").alias("_cover_id")).agg(F.collect_set(F.struct("line", "ha")).alias("_cover"))
     joined = docs.join(covers, docs[id_column].cast("long") == F.col("_cover_id"), "left").drop("_cover_id")
     names = docs.columns
     plain = joined.toDF(*[f"c{i}" for i in range(len(names))], "cover")
     text = f"c{names.index(text_column)}"
-    schema = plain.drop("cover").schema
+    schema = plain.drop("cover").withColumn(text, F.col(text).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
-            column, covers_ = part.column(text), part.column("cover")
+            column, cover = part.column(text), part.column("cover")
             data, offsets = utf8_of(column)
-            start, _, _, bounds = sentence_units(data, offsets)
+            owner, line, ha, _, start, bounds = window_hashes(data, offsets, lines, min_words, breaks_only)
+            ends = np.searchsorted(owner, np.arange(part.num_rows + 1))
             raw, new, removed = data.tobytes(), column.to_pylist(), np.zeros(part.num_rows, np.int64)
-            for i in np.flatnonzero(covers_.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            for i in np.flatnonzero(cover.is_valid().to_numpy(zero_copy_only=False)).tolist():
                 lo, hi = bounds[i], bounds[i + 1]
+                own = slice(ends[i], ends[i + 1])
+                wanted = {(c["line"], c["ha"]) for c in cover[i].as_py()}
+                hit = np.array([x for x, h in zip(line[own].tolist(), ha[own].tolist(), strict=True) if (x, h) in wanted], np.int64)
                 gone = np.zeros(hi - lo, bool)
                 for j in range(lines):
-                    gone[covers_[i].values.to_numpy() + j] = True
+                    gone[hit + j] = True
+                if not len(hit):
+                    continue
                 edges = np.r_[start[lo:hi], offsets[i + 1]]
                 keep = [raw[offsets[i] : edges[0]], *(raw[edges[j] : edges[j + 1]] for j in np.flatnonzero(~gone).tolist())]
                 new[i], removed[i] = b"".join(keep).decode(), int(gone.sum())
             columns = [pa.array(new, pa.string()) if c == text else part.column(c) for c in part.schema.names[:-1]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), pa.array(removed)], [*part.schema.names[:-1], "n_lines", "n_removed"])
 
-    from pyspark.sql import types as T
-
     out = T.StructType([*schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     return plain.withColumn(text, F.col(text).cast("string")).mapInArrow(run, out).toDF(*names, "n_lines", "n_removed")

@@ -90,9 +90,9 @@ def inner_cuts(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.n
     return np.unique(begin + ((low - (least[at] & low) - begin) & low)).astype(np.int64)
 
 
-def sentence_units(data: np.ndarray, offsets: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def sentence_units(data: np.ndarray, offsets: np.ndarray, whole: bool = False, breaks_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Units that end at a line break, after . ! ? before white space, or at a cut by content within a sentence of SPAN words or more: (start, end without white space behind, words,
-    n+1 bounds of the texts). A unit has fewer than SPAN words, and any 50 words hold three whole units that are the same wherever these words stand. With whole, sentences are not cut."""
+    n+1 bounds of the texts). A unit has fewer than SPAN words, and any 50 words hold three whole units that are the same wherever these words stand. With whole, sentences are not cut; with breaks_only, only line breaks end a unit."""
     white = _white[data]
     solid = np.flatnonzero(~white)
     if not len(solid):
@@ -101,11 +101,11 @@ def sentence_units(data: np.ndarray, offsets: np.ndarray, whole: bool = False) -
     owner = np.searchsorted(offsets, solid, "right")
     gap = np.diff(solid) > 1
     other = owner[1:] != owner[:-1]
-    new = gap & (_stop[data[solid[:-1]]] | (breaks[solid[1:]] > breaks[solid[:-1]])) | other
+    new = gap & (_stop[data[solid[:-1]]] & (not breaks_only) | (breaks[solid[1:]] > breaks[solid[:-1]])) | other
     word = np.flatnonzero(np.r_[True, gap | other])
     start, end = solid[word], solid[np.r_[word[1:] - 1, len(solid) - 1]] + 1
     first = np.r_[True, new][word]
-    if not whole:
+    if not whole and not breaks_only:
         first[inner_cuts(data, start, end, first)] = True
     at = np.flatnonzero(first)
     start, end = start[at], end[np.r_[at[1:] - 1, len(word) - 1]]

@@ -285,20 +285,47 @@ def test_media(spark, odd_docs):
     assert len(rows) == len(odd_docs)
 
 
-def brute_lines(rows, lines=3, least=10):
-    """Whole strings in place of hashes."""
-    units, seen, out = {}, {}, {}
-    for i, t in sorted({(i, t or "") for i, t in rows if i is not None}):
-        data = np.frombuffer(t.encode(), np.uint8)
-        s, e, w, _ = shingles.sentence_units(data, np.array([0, len(data)]))
-        units[i, t] = [(t.encode()[a:b], int(n), int(a)) for a, b, n in zip(s, e, w, strict=True)]
-    for (i, t), u in units.items():
-        gone = set()
-        for p in range(len(u) - lines + 1):
-            if sum(n for _, n, _ in u[p : p + lines]) >= least and seen.setdefault(tuple(x for x, _, _ in u[p : p + lines]), (i, p)) != (i, p):
-                gone |= set(range(p, p + lines))
-        ends = [a for _, _, a in u[1:]] + [len(t.encode())]
-        out[i, t] = (t if not gone else t.encode()[: u[0][2]].decode() + "".join(t.encode()[u[q][2] : ends[q]].decode() for q in range(len(u)) if q not in gone), len(gone))
+def own_mix(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor % 2**64
+    return x ^ x >> 31
+
+
+OWN_BYTE = [own_mix(i + 1) for i in range(256)]
+
+
+def own_lines(t, breaks_only=False):
+    """Line ends found word by word, without arrays: (first byte, line) of each."""
+    raw = t.encode()
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    sentences, cuts = [], set()
+    for i, (a, _) in enumerate(words):
+        if not i or b"\n" in raw[words[i - 1][1] : a] or not breaks_only and raw[words[i - 1][1] - 1] in b".!?":
+            sentences.append([])
+        sentences[-1].append(i)
+    code = [sum(OWN_BYTE[c] for c in raw[a:b]) for a, b in words]
+    for s in sentences:
+        cuts.add(s[0])
+        for at in range(0 if breaks_only else len(s) - 12):
+            # before which of the twelve words the pair of words has the smallest hash; the last of equal ones
+            cuts.add(min(s[at + 1 : at + 13], key=lambda i: (own_mix((code[i - 1] * 0xA24BAED4963EE407 + code[i]) % 2**64) % 2**63 >> 24, -i)))
+    at = sorted(cuts)
+    return [(words[i][0], raw[words[i][0] : words[j - 1][1]]) for i, j in zip(at, at[1:] + [len(words)], strict=False)]
+
+
+def brute_lines(rows, lines=3, breaks_only=False):
+    """Whole strings in place of hashes: for each row, its text and the number of lines removed. Places are (id, line)."""
+    units = [own_lines(t or "", breaks_only) for _, t in rows]
+    first, out = {}, []
+    for (i, _), u in zip(rows, units, strict=True):
+        for p in range(len(u) - lines + 1) if i is not None else ():
+            key = tuple(x for _, x in u[p : p + lines])
+            first[key] = min(first.get(key, (i, p)), (i, p))
+    for (i, t), u in zip(rows, units, strict=True):
+        gone = {q for p in range(len(u) - lines + 1) if i is not None and first[tuple(x for _, x in u[p : p + lines])] != (i, p) for q in range(p, p + lines)}
+        raw = (t or "").encode()
+        ends = [a for a, _ in u[1:]] + [len(raw)]
+        out.append((t if not gone else (raw[: u[0][0]] + b"".join(raw[u[q][0] : ends[q]] for q in range(len(u)) if q not in gone)).decode(), len(gone)))
     return out
 
 
@@ -313,25 +340,38 @@ def test_line_dedup(spark, odd_docs):
     line = lambda: " ".join(rng_words(rng, rng.randint(1, 9))) + rng.choice([".", "!", "\n", "?"])
     passage = [line() for _ in range(12)]
     rows = [(500 + i, " ".join([line() for _ in range(5)] + (passage[i % 3 :] if i % 2 else []) + [line() for _ in range(4)])) for i in range(30)]
-    rows += [(i, t) for i, t in odd_docs if i != 13] + [(600, "Es. Er. Of. " * 50), (601, "same three words here. and a second one here. a third one is here. " * 3)]
+    rows += [*odd_docs, (600, "Es. Er. Of. " * 50), (601, "same three words here. and a second one here. a third one is here. " * 3)]
+    # short windows, one id with different and with equal texts, the same window at equal and at other lines of it
+    rows += [(700, "a b c.\nd e f.\ng h i."), (701, "a b c.\nd e f.\ng h i."), (702, "x. y. z. w."), (702, "x. y. z. v."), (702, "u. x. y. z."), (702, "u. x. y. z."), (703, "one"), (703, " ".join(passage)), (703, None), (None, "x. y. z. w.")]
+    rng.shuffle(rows)
     df = common.materialise(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, cover string, c1 int"), "t")
     got = remove_repeats(df).collect()
-    want = brute_lines(rows)
-    before = Counter(rows)
-    assert len(got) == len(rows) and got[0].asDict().keys() == {"doc_id", "text", "cover", "c1", "n_lines", "n_removed"}
-    texts = defaultdict(list)
-    for i, t in rows:
-        texts[i].append(t)
-    for r in got:
-        if r["doc_id"] is None or texts[r["doc_id"]] == [None]:
-            assert (r["doc_id"], r["text"]) in before
-            continue
-        assert (r["text"], r["n_removed"]) == want[r["doc_id"], texts[r["doc_id"]][0]]
-        assert (r["cover"], r["c1"]) == ("x", 1)
-    assert sum(r["n_removed"] > 0 for r in got) >= 14
+    assert got[0].asDict().keys() == {"doc_id", "text", "cover", "c1", "n_lines", "n_removed"} and {(r["cover"], r["c1"]) for r in got} == {("x", 1)}
+    want = Counter((i, *x, len(own_lines(t or ""))) for (i, t), x in zip(rows, brute_lines(rows), strict=True))
+    assert Counter((r["doc_id"], r["text"], r["n_removed"], r["n_lines"]) for r in got) == want
+    assert sum(r["n_removed"] > 0 for r in got) >= 14 and {r["text"] for r in got if r["doc_id"] in (701,)} == {""}
     assert remove_repeats(common.materialise(df.limit(0), "t")).count() == 0
 
 
+def test_line_dedup_pipeline_table(spark):
+    """The whole table of the smallest scale, against the brute force and, for line breaks alone, against SQL."""
+    import duckdb
+
+    df = common.table(spark, DATA, "documents", "doc_id", "text")
+    rows = [tuple(r) for r in df.collect()]
+    want = Counter((i, *x) for (i, _), x in zip(rows, brute_lines(rows), strict=True))
+    assert Counter((r["doc_id"], r["text"], r["n_removed"]) for r in remove_repeats(df).collect()) == want
+    sql = f"""
+        WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n')) AS raw, generate_subscripts(regexp_split_to_array(text, '\n'), 1) AS place FROM '{DATA}/documents.parquet'),
+        n AS (SELECT doc_id, trim(raw, ' \t\r') AS line, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS p FROM l WHERE trim(raw, ' \t\r') <> ''),
+        w AS (SELECT doc_id, p, line AS a, lead(line) OVER d AS b, lead(line, 2) OVER d AS c FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+        f AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, p) AS k FROM w WHERE c IS NOT NULL) WHERE k > 1),
+        g AS (SELECT doc_id, count(DISTINCT p + j) AS n FROM f, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(g.n, 0)::INT FROM '{DATA}/documents.parquet' d LEFT JOIN g USING (doc_id)"""
+    removed = dict(duckdb.sql(sql).fetchall())
+    assert {r["doc_id"]: r["n_removed"] for r in remove_repeats(df, breaks_only=True).collect()} == removed and sum(removed.values())
+
+
 def test_line_dedup_cut_passages(spark):
     """Passages of 50 words and more that begin and end within a sentence, or have no sentences, lose words wherever they stand."""
     rng = random.Random(9)
@@ -474,9 +514,8 @@ def test_pipeline(spark):
             assert docs.columns == names and dict(docs.dtypes) == dict(before.dtypes)
             rows[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
             assert set(rows[name]) <= {r["doc_id"] for r in before.select("doc_id").collect()}
-    lines = brute_lines(list(rows["quality"].items()))
-    want = {i: lines[i, t or ""][0] for i, t in rows["quality"].items()}
-    assert rows["line_dedup"] == {i: t for i, t in want.items() if not lines[i, rows["quality"][i] or ""][1] or t.strip()}
+    lines = zip(rows["quality"], brute_lines(list(rows["quality"].items())), strict=True)
+    assert rows["line_dedup"] == {i: t for i, (t, n) in lines if not n or t.strip()}
     heads = groups(list(rows["line_dedup"].items()), 5, 80)
     assert set(rows["near_dedup"]) == {i for i in rows["line_dedup"] if heads[i] == i}
     lib = Encoder(WORD, "word").library
