@@ -1,23 +1,29 @@
-"""Operator 2: main text of web pages by template deduction.
-
-A page is read as tokens: each start tag with its path of tags and classes, and each text with its path. The occurrence vector of a token has its count on every page of the host.
-Equivalence classes of tokens are not used: a token is taken for template by itself, if it is frequent (SUPPORT of the host's pages, MINIMUM pages; for texts, as many distinct
-articles too) and its enclosing tag is frequent. Slots are not cut from the template: a text's role follows from fixed names of tags, roles and classes on its path, and texts that are
-template tokens themselves are not content. So boilerplate outside these names stays where it has SHORT characters or more.
-
-Content are the slots within article or main, or within body where a page has neither, except those whose path passes through a menu, header, footer, sidebar, notice, advert, form,
-script, style or comment section. Templates go to the scan by broadcast while they have fewer than BROADCAST_ROWS rows, else by a join on the host.
-
-Cases: null and empty html give an empty text; null urls share one host of their own; pages of hosts with fewer than MINIMUM pages have no template and rely on roles alone; unclosed
-tags end as HTML has it; repeated rows give equal rows; null page_ids pass through.
+"""Operator 2: main text of web pages by template deduction over equivalence classes.
+
+1. A page is read as tokens: each start tag with its path of tags and classes, and each text with its path.
+2. The occurrence vector of a token has its count in every article of the host; pages with the same article, by its longest text outside marked parts, count once, so copies prove nothing. Vectors are compared by
+   two random sums, their total and their support.
+3. Tokens of a host with equal vectors are a class. It is valid if it has SIZE tokens, a tag among them, in MINIMUM articles and SUPPORT of the host's, and if on the page at hand its tokens
+   stand in the class's order (those off the longest ascending run are left out) and its tags lie in one outer class, or in none. Valid classes, nested, are the template.
+4. Texts between template tokens under one path are a slot. A slot varies if VARIES of its texts, one article each, are different ones.
+5. Content are texts that are no template, in slots that vary. Marks only break ties: what stands in an article or main element is content even if it comes again; menus, headers, footers,
+   sidebars, notices, adverts, forms, scripts, styles and comment sections are told by fixed tags, roles and names. A name that encloses the only article hides nothing.
+
+One page tells no template: hosts with fewer than MINIMUM articles, and pages that none of the classes fit, rely on marks alone: the article with the main headings before it, else the body.
+Templates go to the scan by broadcast while they have fewer than BROADCAST_ROWS rows, else by a join on the host.
+
+Cases: null and empty html give an empty text; null urls share one host of their own; unclosed tags end as HTML has it; pages of any length are read whole; repeated rows give equal rows;
+null page_ids pass through; columns other than page_id, url and html are not read, whatever their names. Texts that are equal on most articles of a host without article elements go, whatever their length.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +33,15 @@ from pyspark.sql import functions as F
 
 from litforge.llm.common import materialise, slices, small_batches
 
-SUPPORT, MINIMUM = 0.5, 8
-SHORT = 300  # a longer text within the article is content, however often it comes
+SUPPORT, MINIMUM, SIZE, VARIES = 0.5, 3, 2, 0.5
 BROADCAST_ROWS = 200_000
+GONE, BODY, ARTICLE, NAMED, INNER = range(5)  # roles of texts; INNER is an article within an element of a NAMED kind
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 CLASS = re.compile(r"(?:^|\s)(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: Fixed values of HTML: elements without end tag, elements whose content is no markup, elements that make a block of their own.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+RAW = set("script style textarea title noscript iframe xmp noembed noframes template".split())
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup "
     "option p pre search section select summary table tbody td tfoot th thead tr ul".split()
@@ -43,13 +49,18 @@ BLOCK = set(
 ENDS_P = BLOCK - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "optgroup", "option", "legend", "body", "html", "button", "select"}
 #: What an opening tag ends, up to the nearest of the second set.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-OUT_TAGS = set("nav footer aside form button select dialog menu search head script style noscript template iframe svg math object figure".split()) - {"figure"}
+OUT_TAGS = set("nav footer aside form button select dialog menu search head script style noscript template iframe object".split())
 OUT_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 OUT_NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs topbar footer sidebar aside widget widgets notice "
     "cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login search comment comments commentlist discussion disqus respond reply replies social share sharing "
     "related recommended pagination pager toolbar".split()
 )
+#: Words that may stand beside them in a name; with any other word, a name says nothing.
+BESIDE = set(
+    "site page post posts entry article articles list item items box bar block area section container wrapper wrap inner outer top bottom left right primary secondary global header "
+    "link links button buttons icon icons title text body row col column".split()
+)
 SPACE = re.compile(r"[ \t\n\r\f\v   -     　\u0085]+")
 
 
@@ -57,46 +68,74 @@ def hash64(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
+@lru_cache(1 << 16)
+def named_out(names: str) -> bool:
+    """Whether one of an element's names, whole, is that of a part beside the text."""
+    for name in names.split():
+        words = set(re.split(r"[^a-z]+", name)) - {""}
+        if words & OUT_NAMES and words <= OUT_NAMES | BESIDE:
+            return True
+    return False
+
+
+def ascending(values: list) -> list[int]:
+    """Places of a longest ascending run."""
+    tails, last, before = [], [], []
+    for i, v in enumerate(values):
+        at = bisect_left(tails, v)
+        before.append(last[at - 1] if at else -1)
+        tails[at : at + 1], last[at : at + 1] = [v], [i]
+    run, i = [], last[-1] if last else -1
+    while i >= 0:
+        run.append(i)
+        i = before[i]
+    return run[::-1]
+
+
 class Page:
-    """Reads a page once: ``blocks`` of (text, role, token) and the counts of all tokens with their enclosing tag's token."""
+    """Reads a page once: ``blocks`` of (text, role, token, in a main heading) and the counts of all tokens, in order of their first place, with their enclosing tag's token."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, int, int]] = []  # role: 0 out, 1 body, 2 article
+        self.blocks: list[tuple[str, int, int, bool]] = []
         self.tokens: Counter[int] = Counter()
         self.parents: dict[int, int] = {}
-        self.texts: set[int] = set()
-        self.stack: list[tuple[str, int, bool, bool, str]] = []  # tag, token, out, within article, path
+        self.texts: dict[int, int] = {}  # role of each text token
+        self.stack: list[tuple] = []  # tag, token, gone, named, inside an article, that one named, path
         self.pending: list[str] = []
         self.read(source)
 
     def push(self, tag: str, attributes: str) -> None:
-        _, parent, out, inside, path = self.stack[-1] if self.stack else ("", 0, False, False, "")
+        _, parent, gone, named, inside, under, path = self.stack[-1] if self.stack else ("", 0, False, False, False, False, "")
         names, found = "", {}
         if attributes:
             found = {m[1].lower(): html.unescape(next((g for g in m.groups()[1:] if g is not None), "")).lower() for m in CLASS.finditer(attributes)}
             names = found.get("class", "")
-        words = set(re.split(r"[^a-z]+", f"{names} {found.get('id', '')}"))
-        article = tag in ("article", "main") or found.get("role") in ("main", "article")
-        gone = tag in OUT_TAGS or tag == "header" and not inside or found.get("role", "") in OUT_ROLES or tag not in ("html", "body", "article", "main") and bool(words & OUT_NAMES)
+        role = found.get("role", "")
+        gone = gone or tag in OUT_TAGS or tag == "header" and not inside or role in OUT_ROLES
         gone = gone or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+        if tag in ("article", "main") or role in ("main", "article"):
+            if not inside:
+                inside, under, named = True, named, False
+        elif tag not in ("html", "body"):
+            named = named or bool(found) and named_out(f"{names} {found.get('id', '')}")
         path = f"{path}/{tag}.{names}"
         token = hash64(path)
         self.tokens[token] += 1
         self.parents[token] = parent
-        self.stack.append((tag, token, out or gone, inside or article, path))
+        self.stack.append((tag, token, gone, named, inside, under, path))
 
     def flush(self) -> None:
         if self.pending:
             text = SPACE.sub(" ", "".join(self.pending)).strip(" ")
             self.pending.clear()
             if text:
-                _, parent, out, inside, path = self.stack[-1] if self.stack else ("", 0, False, False, "")
+                tag, parent, gone, named, inside, under, path = self.stack[-1] if self.stack else ("", 0, False, False, False, False, "")
                 token = hash64(f"{path}/#{text}")
                 self.tokens[token] += 1
                 self.parents[token] = parent
-                self.texts.add(token)
-                self.blocks.append((text, 0 if out else 2 if inside else 1, token))
-
+                role = GONE if gone else NAMED if named else (INNER if under else ARTICLE) if inside else BODY
+                self.texts[token] = role
+                self.blocks.append((text, role, token, tag == "h1"))
     def close(self, tags: set[str], fence: set[str]) -> None:
         """End the nearest open element of some tags, and all within it, unless a fence stands before it."""
         for i in range(len(self.stack) - 1, -1, -1):
@@ -127,7 +166,9 @@ class Page:
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
                 at = n if not end else (source.find(">", end.start()) + 1 or n)
-                self.tokens[hash64(f"{self.stack[-1][4] if self.stack else ''}/{tag}")] += 1
+                token = hash64(f"{self.stack[-1][6] if self.stack else ''}/{tag}")
+                self.tokens[token] += 1
+                self.parents[token] = self.stack[-1][1] if self.stack else 0
                 continue
             if tag in BLOCK:
                 self.flush()
@@ -143,18 +184,47 @@ class Page:
                 self.push(tag, m[3])
         self.flush()
 
-    def content(self) -> list[tuple[str, int]]:
-        """(text, token) of the blocks that roles leave as content, in order."""
-        want = 2 if any(role == 2 for _, role, _ in self.blocks) else 1
-        return [(text, token) for text, role, token in self.blocks if role == want]
+    def template(self, known: dict[int, tuple[int, float]]) -> set[int]:
+        """Tokens of known classes (token: class, place) that are valid on this page."""
+        members = defaultdict(list)
+        for token in self.tokens:
+            if token in known:
+                members[known[token][0]].append(token)
+        held = {tokens[i] for tokens in members.values() for i in ascending([(known[t][1], t) for t in tokens])}
+        outer = defaultdict(set)
+        for token in held:
+            if token not in self.texts:
+                at = self.parents[token]
+                while at and at not in held:
+                    at = self.parents[at]
+                within = known[at][0] if at else None
+                if within != known[token][0]:
+                    outer[known[token][0]].add(within)
+        return {t for t in held if len(outer[known[t][0]]) < 2}
+
+    def chosen(self, known: dict[int, tuple[int, float]] | None = None, slots: dict[int, bool] | None = None) -> list[str]:
+        """Texts of the content, in order; known has the classes of the host, slots whether a slot varies."""
+        roles = {role for _, role, _, _ in self.blocks}
+        main = ARTICLE if ARTICLE in roles else INNER if INNER in roles else BODY if BODY in roles else NAMED if any(head for _, role, _, head in self.blocks if role == NAMED) else BODY
+        fixed = self.template(known) if known else set()
+        if not fixed:
+            first = next((i for i, block in enumerate(self.blocks) if block[1] == main), 0)
+            return [text for i, (text, role, _, head) in enumerate(self.blocks) if role == main or role == BODY and head and i < first]
+        slots = slots or {}
+        out = []
+        for text, role, token, _ in self.blocks:
+            if role == main and main in (ARTICLE, INNER):
+                out.append(text)
+            elif role in (main, BODY) and token not in fixed and slots.get(self.parents[token], role == main):
+                out.append(text)
+        return out
 
     def article(self) -> int:
         """What tells the page's article from others: its longest content block, so that copies with another date or link beside it are one article."""
-        return hash64(max((text for text, _ in self.content()), key=lambda t: (len(t), t), default=""))
+        return hash64(max(self.chosen(), key=lambda t: (len(t), t), default=""))
 
-    def main(self, template: frozenset[int] | set[int]) -> str:
-        """Content blocks in order."""
-        return "\n\n".join(text for text, token in self.content() if not (token in template and len(text) < SHORT))
+    def main(self, known: dict[int, tuple[int, float]] | None = None, slots: dict[int, bool] | None = None) -> str:
+        return "\n\n".join(self.chosen(known, slots))
 
 
 def host(url: str = "url") -> F.Column:
@@ -162,38 +232,41 @@ def host(url: str = "url") -> F.Column:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, parent, is_text, a, b, c, n, articles): the counts of each token of each page, weighted by two random numbers of the page, its pages and their distinct articles.
-    Token 0 stands for the page itself."""
+    """(host, token, parent, kind, c, n, a, b, place): the occurrence vector of each token over the articles of its host, as its total, its support and two random sums. kind is 0 for tags, 1 for
+    texts in the body and 2 for other texts. Token 0 stands for the page itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         for part in slices(batches, "html"):
-            columns: list[list] = [[] for _ in range(8)]
-            for where, name, source in zip(part.column("host").to_pylist(), part.column("page_id").to_pylist(), part.column("html").to_pylist(), strict=True):
+            columns: list[list] = [[] for _ in kinds]
+            for where, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
                 page = Page(source or "")
-                w = xxhash.xxh64_intdigest(f"{name}")
-                a, b, article = w >> 40, w & 0xFFFFFF, page.article()
-                rows = [(0, 0, False, 1)] + [(t, page.parents.get(t, 0), t in page.texts, c) for t, c in page.tokens.items()]
-                for t, parent, text, c in rows:
-                    for column, x in zip(columns, (where, t, parent, text, a * c, b * c, c, article), strict=True):
+                article = page.article()
+                rows = [(0, 0, 0, 1)] + [(t, page.parents[t], 0 if t not in page.texts else 1 if page.texts[t] == BODY else 2, c) for t, c in page.tokens.items()]
+                for place, (t, parent, kind, c) in enumerate(rows):
+                    for column, x in zip(columns, (where, article, t, parent, kind, c, place), strict=True):
                         column.append(x)
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "token", "parent", "is_text", "a", "b", "c", "article"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "article", "token", "parent", "kind", "c", "place"])
 
-    rows = pages.mapInArrow(run, "host string, token long, parent long, is_text boolean, a long, b long, c long, article long")
-    return rows.groupBy("host", "token", "parent", "is_text").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"), F.count_distinct("article").alias("articles"))
+    rows = pages.mapInArrow(run, "host string, article long, token long, parent long, kind int, c long, place long")
+    each = rows.groupBy("host", "token", "article").agg(F.max("parent").alias("parent"), F.max("kind").alias("kind"), F.max("c").alias("c"), F.min("place").alias("place"))
+    weight = lambda salt: F.shiftrightunsigned(F.xxhash64("article", F.lit(salt)), 40)
+    sums = [F.sum("c").alias("total"), F.count(F.lit(1)).alias("n"), F.sum(F.col("c") * weight(1)).alias("a"), F.sum(F.col("c") * weight(2)).alias("b"), F.avg("place").alias("place")]
+    return each.groupBy("host", "token").agg(F.max("parent").alias("parent"), F.max("kind").alias("kind"), *sums)
 
 
-def deduced(vectors: DataFrame) -> DataFrame:
-    """Template tokens (host, token, parent, is_text, class): valid equivalence classes of each host, nested."""
-    total = vectors.filter("token = 0").select("host", F.col("n").alias("pages"), F.col("articles").alias("of")).filter(F.col("pages") >= MINIMUM)
-    often = (F.col("n") >= MINIMUM) & (F.col("n") >= SUPPORT * F.col("pages"))
-    # a text that is on many pages only as its article is copied is content
-    shared = ~F.col("is_text") | (F.col("articles") >= MINIMUM) & (F.col("articles") >= SUPPORT * F.col("of"))
-    frequent = vectors.filter("token <> 0").join(total, "host").filter(often & shared)
-    classes = frequent.withColumn("class", F.xxhash64("a", "b", "c", "n")).select("host", "token", "parent", "is_text", "class")
-    enclosing = classes.filter("not is_text").select("host", F.col("token").alias("parent")).distinct()
-    nested = classes.filter("parent <> 0").join(enclosing, ["host", "parent"], "left_semi")
-    return nested.unionByName(classes.filter("parent = 0"))
+def deduced(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tokens of classes with size and support (host, token, class, place), and the slots of the other texts (host, token of the path, varies), of hosts with MINIMUM articles."""
+    hosts = vectors.filter("token = 0").select("host", F.col("n").alias("articles")).filter(F.col("articles") >= MINIMUM)
+    often = lambda n: (F.col(n) >= MINIMUM) & (F.col(n) >= SUPPORT * F.col("articles"))
+    frequent = vectors.filter((F.col("token") != 0) & (F.col("n") >= MINIMUM)).join(hosts, "host").filter(often("n"))
+    vector = ["host", "total", "n", "a", "b"]
+    valid = frequent.groupBy(*vector).agg(F.count(F.lit(1)).alias("size"), F.min("kind").alias("least")).filter((F.col("size") >= SIZE) & (F.col("least") == 0))
+    template = frequent.join(valid, vector).select("host", "token", F.xxhash64("total", "n", "a", "b").alias("class"), "place")
+    rest = vectors.filter("kind = 1").join(template, ["host", "token"], "left_anti")
+    texts = rest.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("places")).filter(F.col("places") >= MINIMUM)
+    slots = texts.join(hosts, "host").filter(often("places")).select("host", F.col("parent").alias("token"), (F.col("texts") >= VARIES * F.col("places")).alias("varies"))
+    return template, slots
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -201,23 +274,25 @@ def main_texts(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     small_batches(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host().alias("host"))
-    # rare tokens are in no valid class, so few rows are left to write
-    vectors = materialise(occurrences(rows.select("host", "page_id", "html")).filter((F.col("n") >= MINIMUM) | (F.col("token") == 0)), "vectors")
-    template = materialise(deduced(vectors), "template")
-    texts = template.filter("is_text").select("host", "token")
-    # of one host, a page's tokens divided by SUPPORT at most
-    by_host = texts.groupBy("host").agg(F.collect_set("token").alias("template"))
-    small = texts.count() < BROADCAST_ROWS
+    vectors = materialise(occurrences(rows.select("host", "html")), "vectors")
+    template, slots = deduced(vectors)
+    # of one host, a page's tokens and texts divided by SUPPORT at most
+    tagged = template.select("host", F.struct("token", "class", "place", F.lit(None).cast("boolean").alias("varies")).alias("entry"))
+    tagged = materialise(tagged.unionAll(slots.select("host", F.struct("token", F.lit(None).cast("long").alias("class"), F.lit(None).cast("double").alias("place"), "varies").alias("entry"))), "template")
+    by_host = tagged.groupBy("host").agg(F.collect_list("entry").alias("template"))
+    small = tagged.count() < BROADCAST_ROWS
     joined = rows.join(F.broadcast(by_host) if small else by_host, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, frozenset[int]] = (None, frozenset())
+        last, known, slot = None, {}, {}
         for part in slices(batches, "html"):
             out, hosts, templates = [], part.column("host").to_pylist(), part.column("template")
             for i, source in enumerate(part.column("html").to_pylist()):
-                if hosts[i] != last[0]:
-                    last = hosts[i], frozenset(templates[i].as_py() or ())
-                out.append(Page(source or "").main(last[1]))
+                if hosts[i] != last:
+                    entries = templates[i].as_py() or []
+                    last, known = hosts[i], {e["token"]: (e["class"], e["place"]) for e in entries if e["varies"] is None}
+                    slot = {e["token"]: e["varies"] for e in entries if e["varies"] is not None}
+                out.append(Page(source or "").main(known, slot))
             n = np.fromiter(map(len, out), np.int64, len(out))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array(n)], ["page_id", "url", "text", "n_chars"])
 

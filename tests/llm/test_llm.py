@@ -15,7 +15,7 @@ from litforge.llm.components import components
 from litforge.llm.bpe import SpeculativeEncoder, encode_decode
 from litforge.llm.embed_dedup import near_vectors
 from litforge.llm.encoder import Encoder
-from litforge.llm.html_template import Page, main_texts
+from litforge.llm.html_template import BODY, Page, ascending, deduced, host, main_texts, occurrences
 from litforge.llm.line_dedup import remove_repeats
 from litforge.llm.token_files import read_token_files, write_token_files
 
@@ -426,21 +426,114 @@ def test_html_roles():
         '<!DOCTYPE html><html><head><title>t</title></head><body><header>H</header><nav>n</nav><div class="side-bar sidebar">s</div><main><h1>T &amp; U</h1><p>a &lt;b&gt; <b>c</b>\n d<ul><li>x<li>y</ul>'
         '<section id="comments"><p>bad</section><form>f</form><div class=cookie-notice>n</div><script>"</p>"</script><!-- c --><p hidden>z</p>tail<br>end</main><footer>f</footer>'
     )
-    assert page.main(set()).split("\n\n") == ["T & U", "a <b> c d", "x", "y", "tail end"]
-    assert Page("").main(set()) == "" and Page("plain &eacute;").main(set()) == "plain é" and Page("<p>one<p>two").main(set()) == "one\n\ntwo"
+    assert page.main().split("\n\n") == ["T & U", "a <b> c d", "x", "y", "tail end"]
+    assert Page("").main() == "" and Page("plain &eacute;").main() == "plain é" and Page("<p>one<p>two").main() == "one\n\ntwo"
+
+
+def test_html_names_hide_no_article():
+    body = "<article><h1>T</h1><p>one</p></article>"
+    for name in ("layout has-sidebar", "elementor-widget", "widget", "content-sidebar-wrap"):
+        assert Page(f"<div class='{name}'>{body}</div><div class=widget>w</div>").main() == "T\n\none"
+    assert Page("<article><p class='related-work'>a</p><p>b <math><mi>x</mi></math> <svg><text>s</text></svg></p><div class='related-posts'>r</div><div class=comments><article>c</article></div></article>").main() == "a\n\nb x s"
+    assert Page("<h1>Title</h1><p>by</p><article>t</article><h1>next</h1><div class=related><article>teaser</article></div>").main() == "Title\n\nt"
+    long = " ".join(f"w{i}" for i in range(200_000))
+    assert Page(f"<nav>n</nav><article><p>{long}<p>{long}</article>").main() == f"{long}\n\n{long}"
+
+
+def test_ascending():
+    rng = random.Random(1)
+    for _ in range(200):
+        v = [rng.randrange(9) for _ in range(rng.randrange(9))]
+        run = ascending(v)
+        most = max((len(c) for m in range(1 << len(v)) if (c := [x for i, x in enumerate(v) if m >> i & 1]) == sorted(set(c))), default=0)
+        assert [v[i] for i in run] == sorted({v[i] for i in run}) and run == sorted(run) and len(run) == most
+
+
+@pytest.mark.parametrize("n", [1, 5, 20])
+def test_html_template(spark, n):
+    """Without an article element only the template tells what is common; one page tells none. Rotating notices lie in a slot that does not vary."""
+    long, own = "Our terms apply to each of these pages. " * 20, lambda i: " ".join(f"Text number {i} is here." for _ in range(60))
+    body = lambda i: f"<html><body><div><p>Welcome to our site</p></div><i>tip {i % 2}</i><div><h1>Title {i}</h1><p>{own(i)}</p><p>Share this</p></div><div>{long}</div></body></html>"
+    rows = [(i, f"http://a.example/{i}", body(i)) for i in range(n)] + [(101, None, None), (102, "bad url", ""), (0, "http://a.example/0", body(0)), (None, "http://a.example/x", body(0))]
+    df = common.materialise(spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, host int"), "t")
+    got = main_texts(df).collect()
+    assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
+    for r in got:
+        if r["page_id"] in (101, 102):
+            assert r["text"] == ""
+        elif n > 1:
+            i = r["page_id"] or 0
+            assert r["text"] == f"Title {i}\n\n{own(i)}"
+        else:
+            assert "Welcome" in r["text"] and long.strip() in r["text"]
+    assert main_texts(common.materialise(pages_of(spark, []), "t")).count() == 0
 
 
-def test_html_template(spark):
-    body = lambda i: f"<html><body><div><p>Welcome to our site</p></div><div><h1>Title {i}</h1><p>Text number {i} is here.</p><p>Share this</p></div></body></html>"
-    rows = [(i, f"http://a.example/{i}", body(i)) for i in range(20)] + [(100, "http://b.example/", body(100)), (101, None, None), (102, "bad url", ""), (100, "http://b.example/", body(100))]
-    got = {r["page_id"]: r for r in main_texts(common.materialise(pages_of(spark, rows), "t")).collect()}
-    assert all(got[i]["text"] == f"Title {i}\n\nText number {i} is here." for i in range(20))
-    assert "Welcome" in got[100]["text"] and got[101]["text"] == "" and got[102]["n_chars"] == 0
-    assert main_texts(common.materialise(pages_of(spark, []), "t")).count() == 0
+def test_html_shared_paragraph(spark):
+    """What comes again within article elements is content, short or long; nothing is cut by length."""
+    shared = ["Short one.", "A longer one that is said again. " * 30]
+    rows = [(i, f"http://a.example/{i}", f"<body><div>top</div><article><h1>T {i}</h1><p>{shared[0]}<p>own {i}<p>{shared[1]}</article><div>end</div>") for i in range(20)]
+    for r in main_texts(common.materialise(pages_of(spark, rows), "t")).collect():
+        i = r["page_id"]
+        assert r["text"] == "\n\n".join([f"T {i}", shared[0], f"own {i}", shared[1].strip()])
+
+
+def test_html_classes_by_brute_force(spark):
+    """Classes, slots and their conditions from whole occurrence vectors kept as tuples."""
+    rng = random.Random(12)
+    rows = []
+    for h in range(6):
+        for i in range(h * 3 + 1):
+            items = "".join(f"<li>{w}</li>" for w in ["home", "news", "about"][: rng.choice([3, 3, 3, 2])])
+            text = "".join(f"<p>{' '.join(rng_words(rng, rng.randint(1, 9)))}</p>" for _ in range(rng.randint(0, 4)))
+            rows.append((len(rows), f"http://h{h}.example/{i}", f"<body><ul>{items}</ul><div class=x><h1>{rng.randrange(4)}</h1>{text}<i>{rng.choice('ab')}</i></div><p>foot</p></body>"))
+    rows += rows[-4:]
+    df = pages_of(spark, rows).withColumn("host", host())
+    template, slots = deduced(common.materialise(occurrences(df), "t"))
+    got = defaultdict(set)
+    for r in template.collect():
+        got[r["host"], r["class"]].add(r["token"])
+    want, want_slots = set(), {}
+    for h in {u.split("/")[2] for _, u, _ in rows}:
+        pages = defaultdict(list)
+        for _, u, x in rows:
+            if u.split("/")[2] == h:
+                pages[Page(x).article()].append(Page(x))
+        articles = sorted(pages)
+        counts = {t: tuple(max(p.tokens[t] for p in pages[a]) for a in articles) for a in articles for p in pages[a] for t in p.tokens}
+        kinds = {t: p.texts.get(t) for ps in pages.values() for p in ps for t in p.tokens}
+        parent = {t: p.parents[t] for ps in pages.values() for p in ps for t in p.tokens}
+        support = {t: sum(c > 0 for c in v) for t, v in counts.items()}
+        classes = defaultdict(set)
+        for t, v in counts.items():
+            if support[t] >= 3 and 2 * support[t] >= len(articles):
+                classes[v].add(t)
+        valid = {frozenset(c) for c in classes.values() if len(c) > 1 and any(kinds[t] is None for t in c)}
+        want |= {(h, c) for c in valid}
+        kinds = {t: k for t, k in kinds.items() if not any(t in c for c in valid)}
+        for place in {parent[t] for t, k in kinds.items() if k == BODY} if len(articles) >= 3 else ():
+            own = [t for t, k in kinds.items() if k == BODY and parent[t] == place]
+            total = sum(support[t] for t in own)
+            if total >= 3 and 2 * total >= len(articles):
+                want_slots[h, place] = 2 * len(own) >= total
+    assert {(h, frozenset(c)) for (h, _), c in got.items()} == want and want
+    assert {(r["host"], r["token"]): r["varies"] for r in slots.collect()} == want_slots and set(want_slots.values()) == {True, False}
+
+
+def test_html_order_and_nesting():
+    """Tokens out of their class's order, and classes in two others, are no template on that page."""
+    page = Page("<body><p>a</p><p>b</p><div><i>x</i></div><ul><li>y</li></ul></body>")
+    tokens = list(page.tokens)
+    body, p, a, b, div, i, x, ul, li, y = tokens
+    known = {t: (1, float(n)) for n, t in enumerate(tokens)}
+    assert page.template(known) == set(tokens) and page.main(known, {}) == ""
+    assert page.template(known | {a: (1, 3.5), b: (1, 2.5)}) in (set(tokens) - {a}, set(tokens) - {b})
+    two = {body: (1, 0.0), div: (2, 4.0), ul: (3, 7.0), i: (4, 5.0), li: (4, 8.0)}
+    assert page.template(two) == {body, div, ul}
 
 
 def test_html_copied_article(spark):
-    """Copies of one article on most of a host's pages, alike or with another link beside it, lose none of it; texts that different articles share still go."""
+    """Copies of one article on most of a host's pages, alike or with another link beside it, lose none of it; texts that different articles share go where no element marks the article."""
     share = "<p>Share this</p>"
     page = lambda i, j, tag: f"<html><body><{tag}><h1>Title {i}</h1><p>First words of number {i}.</p><p>The longer second paragraph of article {i} is here.</p>{share}<p>ref {j}</p></{tag}></body></html>"
     rows = []
@@ -451,7 +544,7 @@ def test_html_copied_article(spark):
     for r in main_texts(common.materialise(pages_of(spark, rows), "t")).collect():
         p, one = r["page_id"] % 1000, "one-" in r["url"]
         i = p if p < 100 else 0
-        assert r["text"].startswith(f"Title {i}\n\nFirst words of number {i}.\n\nThe longer second paragraph of article {i} is here.") and ("Share this" in r["text"]) == one
+        assert r["text"].startswith(f"Title {i}\n\nFirst words of number {i}.\n\nThe longer second paragraph of article {i} is here.") and ("Share this" in r["text"]) == (one or r["page_id"] < 1000)
 
 
 def test_embeddings(spark):
