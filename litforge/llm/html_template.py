@@ -4,7 +4,7 @@
 2. The occurrence vector of a token has its count in every article of the host; pages with the same article, by its longest text outside marked parts, count once, so copies prove nothing. Vectors are compared by
    two random sums, their total and their support.
 3. Tokens of a host with equal vectors are a class. It is valid if it has SIZE tokens, a tag among them, in MINIMUM articles and SUPPORT of the host's, and if on the page at hand its tokens
-   stand in the class's order (those off the longest ascending run are left out) and its tags lie in one outer class, or in none. Valid classes, nested, are the template.
+   stand in the class's order (those off the longest ascending run are left out) and its tags lie in one class that begins before it, or in none. Valid classes, nested, are the template.
 4. Texts between template tokens under one path are a slot. A slot varies if VARIES of its texts, one article each, are different ones.
 5. Content are texts that are no template, in slots that vary. Marks only break ties: what stands in an article or main element is content even if it comes again; menus, headers, footers,
    sidebars, notices, adverts, forms, scripts, styles and comment sections are told by fixed tags, roles and names. A name that encloses the only article hides nothing.
@@ -191,14 +191,18 @@ class Page:
             if token in known:
                 members[known[token][0]].append(token)
         held = {tokens[i] for tokens in members.values() for i in ascending([(known[t][1], t) for t in tokens])}
-        outer = defaultdict(set)
+        outer, begin = defaultdict(set), {}
+        for place, token in enumerate(self.tokens):
+            if token in held:
+                begin.setdefault(known[token][0], place)
         for token in held:
             if token not in self.texts:
                 at = self.parents[token]
                 while at and at not in held:
                     at = self.parents[at]
                 within = known[at][0] if at else None
-                if within != known[token][0]:
+                # a class that begins later is an inner one, which a tag of this one may lie in
+                if within is None or begin[within] < begin[known[token][0]]:
                     outer[known[token][0]].add(within)
         return {t for t in held if len(outer[known[t][0]]) < 2}
 
