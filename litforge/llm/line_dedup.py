@@ -60,14 +60,31 @@ def windows(docs: DataFrame, lines: int, min_words: int, breaks_only: bool, plac
     return docs.filter("doc_id is not null").mapInArrow(run, "doc_id long, line int, ha long, hb int" if places else "ha long")
 
 
+def without(column: pa.Array, data: np.ndarray, offsets: np.ndarray, start: np.ndarray, bounds: np.ndarray, gone: np.ndarray) -> pa.Array:
+    """The texts without the bytes from the start of each line that is gone to the next line or the text's end."""
+    if not gone.any():
+        return column
+    end = np.r_[start[1:], 0]
+    full = np.diff(bounds) > 0
+    end[bounds[1:][full] - 1] = offsets[1:][full]
+    edge = np.zeros(len(data) + 1, np.int8)
+    np.add.at(edge, start[gone], 1)
+    np.add.at(edge, end[gone], -1)
+    keep = np.cumsum(edge[:-1], dtype=np.int8) == 0
+    places = np.r_[0, np.cumsum(keep)][offsets].astype(np.int32)
+    valid = pa.py_buffer(np.packbits(column.is_valid().to_numpy(zero_copy_only=False), bitorder="little")) if column.null_count else None
+    return pa.StringArray.from_buffers(len(column), pa.py_buffer(places), pa.py_buffer(data[keep]), valid)
+
+
 def remove_repeats(docs: DataFrame, lines: int = LINES, min_words: int = 0, id_column: str = "doc_id", text_column: str = "text", breaks_only: bool = False) -> DataFrame:
     """All columns of docs with the text cleaned, and n_lines, n_removed. docs is read more than once, so it should be a stored table."""
     small_batches(docs.sparkSession)
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    again = windows(rows, lines, min_words, breaks_only, False).groupBy("ha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    # the few windows that come again, and those whose first 64 bits alone do
+    # stored, so that Spark knows the sizes of both sides and may split what a common window puts into one task
+    again = materialise(windows(rows, lines, min_words, breaks_only, False).groupBy("ha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated-hashes")
+    # the windows that come again, and those whose first 64 bits alone do
     places = materialise(windows(rows, lines, min_words, breaks_only, True).join(again, "ha", "left_semi"), "repeated-windows")
-    first = places.groupBy("ha", "hb").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    first = materialise(places.groupBy("ha", "hb").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "first-windows")
     later = places.join(first, ["ha", "hb"]).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))
     # bounded by the windows of one document
     covers = later.groupBy(F.col("doc_id").alias("_cover_id")).agg(F.collect_set(F.struct("line", "ha")).alias("_cover"))
@@ -81,23 +98,23 @@ def remove_repeats(docs: DataFrame, lines: int = LINES, min_words: int = 0, id_c
         for part in slices(batches, text):
             column, cover = part.column(text), part.column("cover")
             data, offsets = utf8_of(column)
-            owner, line, ha, _, start, bounds = window_hashes(data, offsets, lines, min_words, breaks_only)
-            ends = np.searchsorted(owner, np.arange(part.num_rows + 1))
-            raw, new, removed = data.tobytes(), column.to_pylist(), np.zeros(part.num_rows, np.int64)
-            for i in np.flatnonzero(cover.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                lo, hi = bounds[i], bounds[i + 1]
-                own = slice(ends[i], ends[i + 1])
-                wanted = {(c["line"], c["ha"]) for c in cover[i].as_py()}
-                hit = np.array([x for x, h in zip(line[own].tolist(), ha[own].tolist(), strict=True) if (x, h) in wanted], np.int64)
-                gone = np.zeros(hi - lo, bool)
+            start, _, _, bounds = sentence_units(data, offsets, breaks_only=breaks_only)
+            covered = np.flatnonzero(cover.is_valid().to_numpy(zero_copy_only=False))
+            gone = np.zeros(len(start), bool)
+            if len(covered):
+                owner, line, ha, *_ = window_hashes(*utf8_of(column.take(pa.array(covered))), lines, min_words, breaks_only)
+                some = cover.take(pa.array(covered))
+                lines_, hashes = (x.to_numpy(zero_copy_only=False) for x in some.flatten().flatten())
+                of = np.repeat(np.arange(len(covered)), some.value_lengths().to_numpy(zero_copy_only=False))
+                own, wanted = owner << 32 | line, of << 32 | lines_.astype(np.int64)
+                at = np.searchsorted(own, wanted)
+                fit = at < len(own)
+                fit[fit] = (own[at[fit]] == wanted[fit]) & (ha[at[fit]] == hashes[fit])
+                first = bounds[:-1][covered][of[fit]] + lines_[fit]
                 for j in range(lines):
-                    gone[hit + j] = True
-                if not len(hit):
-                    continue
-                edges = np.r_[start[lo:hi], offsets[i + 1]]
-                keep = [raw[offsets[i] : edges[0]], *(raw[edges[j] : edges[j + 1]] for j in np.flatnonzero(~gone).tolist())]
-                new[i], removed[i] = b"".join(keep).decode(), int(gone.sum())
-            columns = [pa.array(new, pa.string()) if c == text else part.column(c) for c in part.schema.names[:-1]]
+                    gone[first + j] = True
+            removed = np.diff(np.r_[0, np.cumsum(gone)][bounds])
+            columns = [without(column, data, offsets, start, bounds, gone) if c == text else part.column(c) for c in part.schema.names[:-1]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), pa.array(removed)], [*part.schema.names[:-1], "n_lines", "n_removed"])
 
     out = T.StructType([*schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])

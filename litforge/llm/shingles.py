@@ -98,9 +98,10 @@ def sentence_units(data: np.ndarray, offsets: np.ndarray, whole: bool = False, b
     if not len(solid):
         return solid, solid, solid, np.zeros(len(offsets), np.int64)
     breaks = np.r_[0, np.cumsum(data == 0x0A)]
-    owner = np.searchsorted(offsets, solid, "right")
     gap = np.diff(solid) > 1
-    other = owner[1:] != owner[:-1]
+    other = np.zeros(len(gap), bool)
+    at = np.searchsorted(solid, offsets[1:-1])
+    other[at[(at > 0) & (at < len(solid))] - 1] = True
     new = gap & (_stop[data[solid[:-1]]] & (not breaks_only) | (breaks[solid[1:]] > breaks[solid[:-1]])) | other
     word = np.flatnonzero(np.r_[True, gap | other])
     start, end = solid[word], solid[np.r_[word[1:] - 1, len(solid) - 1]] + 1
