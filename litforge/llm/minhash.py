@@ -12,7 +12,8 @@ truncated to 16 bits. Sketches of parts merge by maximum, so texts of any length
 4. The rest are verified on their full sets. Components of the links that hold are the groups.
 
 A pair at similarity 0.8 escapes all 32 bands with probability 5e-8. All pairs of a bucket that are not yet connected are checked, so nothing else is lost.
-Cases: null, empty and blank texts have no set and no links; null ids are kept and link with nothing; rows that share an id are one node; repeated rows give repeated rows.
+Cases: null, empty and blank texts have no set and no links; null ids are kept and link with nothing; rows that share an id are one
+node, so an id joins the groups of all its texts; repeated rows give repeated rows; other columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -238,7 +239,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     first = materialise(votes.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b"), "first-pairs")
     links = materialise(verified(estimated(first, small, percent / 100), texts, k, percent), "links")
 
-    known = components(links)
+    # an id with several sets joins the classes of all of them
+    sets = usable.select("doc_id", *keys).distinct()
+    several = sets.join(sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "doc_id")
+    same = several.join(classes, keys).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    known = components(links.unionAll(same))
     placed = members.drop("leader").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     tally = placed.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = tally.groupBy("band", "value").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
