@@ -81,6 +81,18 @@ def test_minhash(spark, odd_docs, k):
         assert (r["component_id"], r["kept"]) == ((None, True) if r["doc_id"] is None else (want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"]))
 
 
+def test_minhash_shared_ids(spark):
+    """An id with several texts joins the groups of all of them; columns with clashing names are left alone."""
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(rng_words(rng, 80, "abcdefghijklmnop")) for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (2, b), (9, c + " x"), (8, c), (9, d), (7, d + " y"), (9, None), (6, "")]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], DOC + ", component int, n int, bands int")
+    got = minhash.near_duplicates(common.materialise(df, "t")).collect()
+    want = {3: 2, 5: 2, 2: 2, 8: 7, 7: 7, 6: 6}
+    assert Counter((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] != 9) == Counter((i, want[i]) for i, _ in rows if i != 9)
+    assert sorted(r["component_id"] for r in got if r["doc_id"] == 9) == [7, 7, 9] and {r["n_shingles"] for r in got if r["component_id"] == 9} == {0}
+
+
 def test_minhash_empty(spark):
     assert minhash.near_duplicates(common.materialise(spark.createDataFrame([], DOC), "t")).count() == 0
 
@@ -575,6 +587,16 @@ def test_embeddings(spark):
     assert near_vectors(common.materialise(df.limit(0), "t")).count() == 0
 
 
+def test_embedding_shared_ids(spark):
+    """An id with several vectors joins the components of all of them, and each has its own links."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(3, a), (5, a), (5, b), (2, b), (5, b), (7, c), (7, [0.0, 0.1, 1.0]), (7, a)]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(*r, 1, 2) for r in rows], f"vec_id long, embedding array<{kind}>, id int, row int")
+        got = Counter(tuple(r)[:3] for r in near_vectors(common.materialise(df, "t")).collect())
+        assert got == Counter([(3, 2, 2), (5, 2, 2), (5, 2, 2), (2, 2, 2), (5, 2, 2), (7, 1, 2), (7, 1, 2), (7, 2, 2)])
+
+
 def test_embedding_components_beyond_least_neighbour(spark):
     """Hubs with the largest id and leaves that are no neighbours of each other; chains in any order of ids."""
     rng = np.random.default_rng(8)
