@@ -6,7 +6,8 @@ truncated to 16 bits. Sketches of parts merge by maximum, so texts of any length
 1. Texts with equal sets form a class; its smallest id stands for it from here on.
 2. Representatives that share a band value are candidates. First each one is held against one leader: of each bucket the member that meets most others leads, as it lies nearest to the
    origin of a group of copies; of the leaders it meets, a member takes the one it shares most bands with. That links large groups with as many checks as members.
-   Then, where a bucket still has several components, members outside its largest one are held against that component's members and against each other, in blocks that give no more links than they have texts.
+   Then, where a bucket still has several components, members outside its largest one are held against that component's members in such buckets and against each other, in blocks that give no
+   more links than they have texts.
 3. The likelihood of the three register counts (greater, less, equal), given both set sizes, is taken jointly at its maximum and at the threshold; pairs
    that are lower by more than DOUBT go.
 4. The rest are verified on their full sets. Components of the links that hold are the groups.
@@ -32,7 +33,7 @@ from litforge.llm.shingles import shingle_sets
 REGISTERS, BAND = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 DOUBT = 18.0
-BLOCK = 512
+BLOCK = 256
 _rows = 4096
 _a = (mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _b = (mix64(np.arange(1001, REGISTERS + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -141,22 +142,23 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def within_components(targets: DataFrame, known: DataFrame, table: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that join texts (id) to a component they meet (target) and to each other. Two such texts that share a bucket meet the same largest component, so every pair that is still open lies in one target.
+def within_components(meeting: DataFrame, table: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join texts to a component they meet and to each other. meeting has (target, id, component): the members of buckets with several components, by the largest one there.
+    Those of other components are visitors. Two texts that share a bucket meet the same largest component, so every pair that is still open lies in one target.
 
-    A target's members with its visitors, and the visitors again, are cut into blocks of BLOCK by hash; a pair of blocks is one key, so no component is gathered in one task. Each visitor is held against those it shares
-    a band with and the likelihood allows, unless links found in the task connect them already: a task gives no more links than it has texts.
+    Of a component, only members that share a bucket with a visitor come here. They and the visitors are cut into blocks of BLOCK by hash; a pair of blocks is one key, so no component is
+    gathered in one task. Each visitor is held against those it shares a band with and the likelihood allows, unless links found in the task connect them already: a task gives no more links
+    than it has texts.
     """
-    own = F.coalesce("component", "id")
-    members = known.select(F.col("component").alias("target"), "id").unionByName(targets.select("target", F.col("target").alias("id"))).join(targets.select("target").distinct(), "target", "left_semi")
-    members = members.unionByName(targets.select("target", "id")).distinct()
+    visitors = meeting.filter("component <> target")
     size = lambda df, name: df.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    blocks = size(targets, "visits").join(size(members, "homes"), "target")
+    blocks = size(visitors, "visits").join(size(meeting, "homes"), "target")
     mine = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    home = members.join(blocks, "target").select("target", mine("homes").alias("home"), every("visits").alias("visit"), F.lit(0).alias("role"), "id")
-    visit = targets.join(blocks, "target").select("target", every("homes").alias("home"), mine("visits").alias("visit"), F.lit(1).alias("role"), "id")
-    rows = home.unionAll(visit).join(known, "id", "left").withColumn("own", own).drop("component")
+    own = F.col("component").alias("own")
+    home = meeting.join(blocks, "target").select("target", mine("homes").alias("home"), every("visits").alias("visit"), F.lit(0).alias("role"), "id", own)
+    visit = visitors.join(blocks, "target").select("target", every("homes").alias("home"), mine("visits").alias("visit"), F.lit(1).alias("role"), "id", own)
+    rows = home.unionAll(visit)
     rows = rows.join(table.select(F.col("doc_id").alias("id"), "bands"), "id").join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
     keys = ["target", "home", "visit"]
 
@@ -210,7 +212,9 @@ def within_components(targets: DataFrame, known: DataFrame, table: DataFrame, te
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "role").select(*keys, "role", "id", "own", "bands", "text").mapInArrow(run, "a long, b long")
+    # costly rows: as many tasks as there are, however few bytes
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "role").select(*keys, "role", "id", "own", "bands", "text").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -246,9 +250,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     known = components(links.unionAll(same))
     placed = members.drop("leader").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     tally = placed.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("c"))
-    mixed = tally.groupBy("band", "value").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    outside = materialise(placed.join(mixed, ["band", "value"]).filter("component <> main"), "outside")
-    more = materialise(within_components(outside.select("id", F.col("main").alias("target")).distinct(), known, small, texts, k, percent), "links")
+    mixed = tally.groupBy("band", "value").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("target"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+    meeting = materialise(placed.join(mixed, ["band", "value"]).select("target", "id", "component").distinct(), "meeting")
+    more = materialise(within_components(meeting, small, texts, k, percent), "links")
 
     found = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
     heads = classes.join(found, F.col("rep") == F.col("id"), "left").select(*keys, F.coalesce("component", "rep").alias("group"))
