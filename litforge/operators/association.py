@@ -43,45 +43,43 @@ def completed(ct: DataFrame) -> DataFrame:
     return full.select("*", total("row").alias("row_total"), total("col").alias("col_total"), total().alias("total"))
 
 
-def log_factorials(df: DataFrame, most: Column, block: int = 4096) -> DataFrame:
-    """(k, lf) for k from 0 to the greatest number needed. Sums run in blocks, and over blocks, so that no single task sums all."""
-    spark = df.sparkSession
-    top = df.agg(F.coalesce(F.max(most), F.lit(0)).alias("m")).collect()[0]["m"]
-    n = spark.range(0, top + 1).select(F.col("id").alias("k"), F.when(F.col("id") > 0, F.log(F.col("id").cast("double"))).otherwise(0.0).alias("l"), F.floor(F.col("id") / block).alias("b"))
-    base = n.groupBy("b").agg(F.sum("l").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    inner = F.sum("l").over(Window.partitionBy("b").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    return n.withColumn("inner", inner).join(base.select("b", "base"), "b").select("k", (F.col("inner") + F.col("base")).alias("lf"))
+def likely_counts(margins: DataFrame, deviations: int = 40, more: int = 200) -> DataFrame:
+    """(row_total, col_total, total, x, share): the hypergeometric probability of each count x around the mode, over so many standard deviations and some more that all beyond is less than
+    the smallest double. So a margin gives rows by the root of its size, not by its size."""
+    r, c, t = (F.col(k).cast("double") for k in ("row_total", "col_total", "total"))
+    low, high = F.greatest(F.lit(0), F.col("row_total") + F.col("col_total") - F.col("total")), F.least("row_total", "col_total")
+    mode = F.floor((r + 1) * (c + 1) / (t + 2))
+    half = F.ceil(deviations * F.sqrt(F.coalesce(F.try_divide(r * c * (t - r) * (t - c), t * t * F.greatest(t - 1, F.lit(1.0))), F.lit(0.0)))) + more
+    x = margins.withColumn("x", F.explode(F.sequence(F.greatest(low, mode - half).cast("long"), F.least(high, mode + half).cast("long"))))
+    # each probability follows from the one before it; sums of logarithms, scaled by the largest, keep exp in range
+    up = (F.col("row_total") - F.col("x") + 1).cast("double") * (F.col("col_total") - F.col("x") + 1)
+    down = F.col("x").cast("double") * (F.col("total") - F.col("row_total") - F.col("col_total") + F.col("x"))
+    w = Window.partitionBy("row_total", "col_total", "total")
+    first = F.row_number().over(w.orderBy("x")) == 1
+    x = x.withColumn("step", F.when(first, F.lit(0.0)).otherwise(F.log(up) - F.log(down)))
+    x = x.withColumn("lp", F.sum("step").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("rel", F.exp(F.col("lp") - F.max("lp").over(w)))
+    return x.select("row_total", "col_total", "total", "x", (F.col("rel") / F.sum("rel").over(w)).alias("share"))
 
 
 def fisher_cells(cells: DataFrame, skip_degenerate: bool = False, keys: Sequence[str] = ("row", "col"), slack: float = 1e-7) -> DataFrame:
     """STA1, MTH5: two-sided Fisher's exact p of each cell against the rest, expected count, odds ratio (null if infinite), log2 odds ratio with one half added, direction.
 
-    p is the sum of hypergeometric probabilities not greater than that of the observed table. Each possible count becomes a row, whose probability follows from a table of log-factorials by joins on it;
-    an empty margin has p = 1, or no row with skip_degenerate.
+    p is the sum of hypergeometric probabilities not greater than that of the observed table, up to ``slack`` of it. Equal margins are worked out once. An observed count so far out that its
+    probability is below the smallest double has p = 0; an empty margin has p = 1, or no row with skip_degenerate.
     """
     a = F.col("n")
     b, c, d = F.col("row_total") - a, F.col("col_total") - a, F.col("total") - F.col("row_total") - F.col("col_total") + a
     empty = (F.col("row_total") == 0) | (F.col("col_total") == 0) | (F.col("row_total") == F.col("total")) | (F.col("col_total") == F.col("total"))
     base = cells.filter(~empty) if skip_degenerate else cells
     base = base.withColumns({"expected": F.try_divide(F.col("row_total") * F.col("col_total"), F.col("total").cast("double")), "odds_ratio": F.try_divide(a * d, (b * c).cast("double")), "log2_or": F.log2((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)))})
-    low = F.greatest(F.lit(0), F.col("row_total") + F.col("col_total") - F.col("total"))
-    margins = base.select("row_total", "col_total", "total").distinct()
-    support = margins.withColumn("x", F.explode(F.sequence(low, F.least("row_total", "col_total"))))
-    lf = log_factorials(base, F.col("total"))
-    # the six log-factorials that vary or not with x, one join each on the small table
-    terms = {"x": F.col("x"), "b": F.col("row_total") - F.col("x"), "c": F.col("col_total") - F.col("x"), "d": F.col("total") - F.col("row_total") - F.col("col_total") + F.col("x")}
-    for name, value in terms.items():
-        support = support.withColumn("_k", value).join(lf.select(F.col("k").alias("_k"), F.col("lf").alias(f"_{name}")), "_k").drop("_k")
-    # probabilities up to a constant of the margins, scaled by the largest so that exp stays in range
-    support = support.withColumn("lp", -(F.col("_x") + F.col("_b") + F.col("_c") + F.col("_d")))
-    w = Window.partitionBy("row_total", "col_total", "total")
-    support = support.withColumn("rel", F.exp(F.col("lp") - F.max("lp").over(w))).withColumn("share", F.col("rel") / F.sum("rel").over(w)).select("row_total", "col_total", "total", "x", "share")
-    own = support.select("row_total", "col_total", "total", F.col("x").alias("n"), F.col("share").alias("own"))
     margin = ["row_total", "col_total", "total"]
-    observed = base.select(*margin, "n").distinct().join(own, [*margin, "n"])
-    p = observed.join(support, margin).groupBy(*margin, "n").agg(F.least(F.lit(1.0), F.sum(F.when(F.col("share") <= F.col("own") * (1 + slack), F.col("share")).otherwise(0.0))).alias("p"))
+    support = likely_counts(base.select(*margin).distinct())
+    observed = base.select(*margin, "n").distinct()
+    own = observed.join(support.select(*margin, F.col("x").alias("n"), F.col("share").alias("own")), [*margin, "n"])
+    p = own.join(support, margin).groupBy(*margin, "n").agg(F.least(F.lit(1.0), F.sum(F.when(F.col("share") <= F.col("own") * (1 + slack), F.col("share")).otherwise(0.0))).alias("p"))
     direction = F.when(F.col("n") > F.col("expected"), "enriched").when(F.col("n") < F.col("expected"), "depleted").otherwise("neutral")
-    return base.join(p, [*margin, "n"], "left").withColumns({"p": F.coalesce("p", F.lit(1.0)), "direction": direction}).select(*keys, "n", *margin, "expected", "odds_ratio", "log2_or", "p", "direction")
+    return base.join(p, [*margin, "n"], "left").withColumns({"p": F.coalesce("p", F.when(empty, 1.0).otherwise(0.0)), "direction": direction}).select(*keys, "n", *margin, "expected", "odds_ratio", "log2_or", "p", "direction")
 
 
 def bh_fdr(df: DataFrame, p: str = "p", *family: str) -> DataFrame:

@@ -13,12 +13,12 @@ from litforge.sources import sinks
 from litforge.streaming import incremental
 
 
-def words(t: Tables, n: int = 12) -> DataFrame:
-    """(id, title): the first words of each document."""
-    return t.documents.select(F.col("doc_id").alias("id"), F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, n), " ").alias("title"), "lang", "source")
+def words(t: Tables) -> DataFrame:
+    """(id, title): all words of each document, on one line."""
+    return t.documents.select(F.col("doc_id").alias("id"), F.array_join(F.split(F.trim("text"), r"\s+"), " ").alias("title"), "lang", "source")
 
 
-TITLE = "array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 1, 12), ' ')"
+TITLE = "array_to_string(string_split_regex(trim(text), '\\s+'), ' ')"
 
 
 def tagged_export(t: Tables) -> str:

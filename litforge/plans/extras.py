@@ -11,7 +11,7 @@ from litforge.operators import extraction, graph, laws, linkage, ranking, topics
 from litforge.plans.connectors import tagged_export
 from litforge.plans.descriptive import LOTKA, counts
 from litforge.plans.registry import Tables, query, rounded
-from litforge.plans.statistics import CT, cells, triples
+from litforge.plans.statistics import CT, FISHER, cells, triples
 from litforge.scratch import folder
 from litforge.sources import records as R
 from litforge.sources import sinks
@@ -126,12 +126,12 @@ def jsn2(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(json.dumps(extraction.strip_schema_keywords({"title": "x", "properties": {"title": {"type": "string", "minLength": 1}}})),)], "schema string")
 
 
-@query("dq9_pilot_fisher", f"WITH {CT}, a AS (SELECT row FROM m GROUP BY 1 ORDER BY max(row_total) DESC, row LIMIT 1) SELECT row, col, n, row_total FROM m WHERE row IN (SELECT row FROM a)")
+@query("dq9_pilot_fisher", f"WITH {FISHER}, a AS (SELECT row FROM m GROUP BY 1 ORDER BY max(row_total) DESC, row LIMIT 1) SELECT row, col, n, row_total, round(p, 6) AS p FROM e WHERE row IN (SELECT row FROM a)")
 def dq9(t: Tables) -> DataFrame:
     """The tests of the entity with the largest margin."""
     x = A.fisher_cells(cells(t))
     top = x.select("row", "row_total").distinct().orderBy(F.desc("row_total"), "row").limit(1).select("row")
-    return x.join(F.broadcast(top), "row", "left_semi").select("row", "col", "n", "row_total")
+    return rounded(x.join(F.broadcast(top), "row", "left_semi").select("row", "col", "n", "row_total", "p"), 6)
 
 
 @query("vec1_pluggable_encoder", "SELECT doc_id, lang, length(lang)::DOUBLE AS x FROM documents")

@@ -43,6 +43,20 @@ def test_fisher_golden(spark):
     assert round(r["expected"], 4) == 9.3452 and round(r["odds_ratio"], 4) == 14.2042 and r["p"] == pytest.approx(7.576e-20, rel=1e-3)
 
 
+def test_fisher_against_exact_sums(spark):
+    """Margins small and large, counts near and far from the mode; whole numbers in place of doubles."""
+    from math import comb
+
+    rows = [(f"{i}", r, c, t, n) for i, (r, c, t, n) in enumerate([(5, 7, 20, 3), (5, 7, 20, 0), (1, 1, 2, 1), (9, 9, 9, 9), (0, 4, 9, 0), (300, 500, 1000, 160), (300, 500, 1000, 100), (4000, 3000, 9000, 1400), (2000, 2000, 4000, 2000), (3, 100000, 200000, 3), (150, 160, 1000000, 4)])]
+    df = spark.createDataFrame([(i, "c", n, r, c, t) for i, r, c, t, n in rows], "row string, col string, n long, row_total long, col_total long, total long")
+    got = {r["row"]: r["p"] for r in A.fisher_cells(df).collect()}
+    for i, r, c, t, n in rows:
+        weights = [comb(r, x) * comb(t - r, c - x) for x in range(max(0, r + c - t), min(r, c) + 1)]
+        own = weights[n - max(0, r + c - t)]
+        p = sum(w for w in weights if w <= own) / sum(weights)
+        assert got[i] == pytest.approx(p, rel=1e-6, abs=1e-290), (r, c, t, n)
+
+
 def test_fisher_degenerate_and_zero(spark):
     rows = [("a", "x", 0, 0, 3, 10), ("b", "x", 3, 10, 3, 10), ("c", "x", 0, 4, 3, 10), ("d", "x", 3, 3, 3, 10)]
     df = frame(spark, rows, "row string, col string, n long, row_total long, col_total long, total long")
