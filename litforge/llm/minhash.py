@@ -152,7 +152,8 @@ def within_components(meeting: DataFrame, table: DataFrame, texts: DataFrame, k:
     """
     visitors = meeting.filter("component <> target")
     size = lambda df, name: df.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    blocks = size(visitors, "visits").join(size(meeting, "homes"), "target")
+    # stored, so that Spark knows its size and a common component is not dealt to one task
+    blocks = materialise(size(visitors, "visits").join(size(meeting, "homes"), "target"), "blocks")
     mine = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = F.col("component").alias("own")
