@@ -1,11 +1,12 @@
 """Operator 4: WARC archives with revisit records.
 
-Headers (page_id, digest, length) are grouped by payload digest; the smallest page_id of equal payloads of MINIMUM bytes and more is the response, the others
+Headers (page_id, digest) are grouped by payload digest; the smallest page_id of equal payloads of MINIMUM bytes and more is the response, the others
 become revisits that point to it. Then archives are written, one gzip member a record with fresh headers, and revisits carry no payload. The reader
 goes through the members one by one, checks each response's digest, and gives the headers back.
 
 Cases: null html is an empty payload; null urls leave WARC-Target-URI out; a repeated row of the smallest page_id is a response too; a null page_id is written
-and read as null, is never referred to, and is a response unless a page with an id has its payload; an empty table gives no archives.
+and read as null, is never referred to, and is a response unless a page with an id has its payload; an empty table gives no archives; payloads
+may be as long as a row may; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,11 +36,13 @@ def resolve(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"digest": F.sha2(F.encode("html", "UTF-8"), 256), "length": F.octet_length("html").cast("long")})
-    originals = rows.filter(F.col("length") >= MINIMUM).groupBy(F.col("digest").alias("same")).agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("n"))
-    originals = originals.filter("n > 1").drop("n")
-    found = rows.join(originals, F.col("digest") == F.col("same"), "left")
-    again = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    return found.select("page_id", "url", "html", "digest", "length", F.when(again, F.col("original")).alias("refers_to"))
+    # payloads are only met by their headers; both tables are stored, so that Spark knows their sizes and may split a common payload
+    heads = materialise(rows.filter(F.col("length") >= MINIMUM).select("page_id", "digest"), "headers")
+    originals = materialise(heads.groupBy("digest").agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("n")).filter("n > 1 and original is not null").drop("n"), "originals")
+    again = heads.join(originals, "digest").filter(~F.col("page_id").eqNullSafe(F.col("original")))
+    again = materialise(again.select(F.col("page_id").alias("same_id"), F.col("digest").alias("same"), F.col("original").alias("refers_to")).distinct(), "revisits")
+    found = rows.join(again, F.col("page_id").eqNullSafe(F.col("same_id")) & (F.col("digest") == F.col("same")), "left")
+    return found.select("page_id", "url", "html", "digest", "length", "refers_to")
 
 
 def record(page_id: int | None, url: str | None, html: str, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -88,7 +91,7 @@ def members(stream) -> Iterator[bytes]:
     """The contents of a gzip file's members, one by one."""
     rest, unpack, out = b"", zlib.decompressobj(31), []
     while True:
-        data = rest or stream.read(1 << 20)
+        data = rest or stream.read(1 << 16)
         if not data:
             if out or unpack.unconsumed_tail:
                 raise ValueError("the archive ends within a record")
