@@ -5,7 +5,7 @@ if it stood alone: walking down the last merges of the left token's right edge a
 have a merge that comes earlier than the merge that ended that state. All pairs are checked at once with arrays (verification).
 Words with a failing pair are merged exactly, and no others.
 
-Cases: null text counts as empty; an empty text has no ids and decodes to an empty text; texts that hold a special token's string, or
+Cases: null ids pass through; an empty table gives no rows; texts may be of any length; other columns are not read, whatever their names; null text counts as empty; an empty text has no ids and decodes to an empty text; texts that hold a special token's string, or
 characters newer than this Python's Unicode tables, are encoded by the library as a whole. Repeated rows give equal rows. No input row is dropped.
 """
 
@@ -29,6 +29,8 @@ _byte_code = mix64(np.arange(1, 257, dtype=np.uint64))
 class SpeculativeEncoder(Encoder):
     def __init__(self, path: str, kind: str = "byte"):
         super().__init__(path, kind)
+        if not self.fits:
+            raise ValueError(f"{path} is no byte-level BPE file of the kind this operator verifies")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
@@ -152,12 +154,12 @@ class SpeculativeEncoder(Encoder):
         self.proposed = getattr(self, "proposed", 0) + len(sizes)
         self.failed = getattr(self, "failed", 0) + len(failing)
         if not len(failing):
-            return ids.astype(np.uint16), counts.astype(np.int32)
+            return ids.astype(self.width), counts.astype(np.int32)
         exact, lengths = self.merged(data[ragged((ends - sizes)[failing], sizes[failing])], sizes[failing])
         first = np.cumsum(counts) - counts
         fixed = counts.copy()
         fixed[failing] = lengths
-        out = np.empty(int(fixed.sum()), np.uint16)
+        out = np.empty(int(fixed.sum()), self.width)
         begin = np.cumsum(fixed) - fixed
         kept = np.ones(len(sizes), bool)
         kept[failing] = False

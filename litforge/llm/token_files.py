@@ -1,11 +1,11 @@
 """Operator 3: token ids in flat binary files.
 
-Format of one shard: ``shard-NNNNN.bin`` holds little-endian unsigned 16-bit integers (a larger vocabulary is refused), document after document;
+Format of one shard: ``shard-NNNNN.bin`` holds little-endian unsigned integers, document after document, of 16 bits where the vocabulary fits and of 32 bits otherwise, as the manifest says;
 ``shard-NNNNN.idx`` holds two little-endian 64-bit arrays, the ids of the documents (n) and their offsets in ids (n+1). Documents ascend by id within
 a shard and from shard to shard. The base of a shard, that is the ids in all shards before it, is the prefix sum over the manifest.
 
 Cases: null text counts as empty and holds only the end id; null doc_ids come first and read back as null; repeated rows are written as often as they come, equal ids in order of
-their text; an empty table gives no shards and no rows.
+their text; texts of any length are written whole; other columns are not read, whatever their names; an empty table gives no shards and no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def with_end(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, kind: str = "byte", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Encode, end and write all documents in ascending order of id; the manifest (shard, docs, tokens, file, base) is returned."""
+    """Encode, end and write all documents in ascending order of id; the manifest (shard, docs, tokens, file, width, base) is returned."""
     spark = docs.sparkSession
     small_batches(spark)
     picked = docs.select(docs[id_column].cast("long").alias("doc_id"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
@@ -54,7 +54,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, kind: str = "byte
         with committed(fs, f"{root}/{name}.bin") as out:
             while first is not None:
                 tokens, bounds = with_end(*enc.encode(texts_of(first.column("text"))))
-                out.write(tokens.astype("<u2").tobytes())
+                out.write(tokens.astype(f"<u{enc.width().itemsize}").tobytes())
                 ids.append(first.column("doc_id").fill_null(NULL_ID).to_numpy())
                 offsets.append(bounds[1:] + total)
                 total += int(bounds[-1])
@@ -63,9 +63,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str, kind: str = "byte
         with committed(fs, f"{root}/{name}.idx") as out:
             out.write(ids.astype("<i8").tobytes())
             out.write(np.concatenate(offsets).astype("<i8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(ids)]), pa.array([total]), pa.array([name])], ["shard", "docs", "tokens", "file"])
+        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(ids)]), pa.array([total]), pa.array([name]), pa.array([enc.width().itemsize], pa.int32())], ["shard", "docs", "tokens", "file", "width"])
 
-    manifest = materialise(ordered.mapInArrow(run, "shard long, docs long, tokens long, file string"), "token-manifest")
+    manifest = materialise(ordered.mapInArrow(run, "shard long, docs long, tokens long, file string, width int"), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
@@ -77,20 +77,21 @@ def read_token_files(manifest: DataFrame, folder: str, digest_only: bool = True)
         fs, root = filesystem(folder)
         for batch in batches:
             for row in batch.to_pylist():
-                n = row["docs"]
-                with open_bytes(fs, f"{root}/{row['file']}.idx") as f:
-                    index = np.frombuffer(f.read(), "<i8")
-                ids, offsets = index[:n], index[n:]
-                with open_bytes(fs, f"{root}/{row['file']}.bin") as f:
+                n, width = row["docs"], row["width"]
+                with open_bytes(fs, f"{root}/{row['file']}.idx") as index, open_bytes(fs, f"{root}/{row['file']}.bin") as f:
                     for lo in range(0, n, BATCH_ROWS):
                         hi = min(n, lo + BATCH_ROWS)
+                        index.seek(8 * lo)
+                        ids = np.frombuffer(index.read_buffer(8 * (hi - lo)), "<i8")
+                        index.seek(8 * (n + lo))
+                        offsets = np.frombuffer(index.read_buffer(8 * (hi - lo + 1)), "<i8")
                         crcs, lists = [], []
-                        for a, b in zip(offsets[lo:hi].tolist(), offsets[lo + 1 : hi + 1].tolist(), strict=True):
-                            f.seek(2 * a)
-                            tokens = np.frombuffer(f.read_buffer(2 * (b - a)), "<u2").astype("<u4")
+                        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                            f.seek(width * a)
+                            tokens = np.frombuffer(f.read_buffer(width * (b - a)), f"<u{width}").astype("<u4")
                             crcs.append(zlib.crc32(tokens.tobytes()))
                             lists.append(None if digest_only else tokens.astype(np.int32))
-                        columns = [pa.array(ids[lo:hi], mask=ids[lo:hi] == NULL_ID), pa.array(offsets[lo:hi] + row["base"]), pa.array(np.diff(offsets[lo : hi + 1])), pa.array(crcs, pa.int64())]
+                        columns = [pa.array(ids, mask=ids == NULL_ID), pa.array(offsets[:-1] + row["base"]), pa.array(np.diff(offsets)), pa.array(crcs, pa.int64())]
                         names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                         if not digest_only:
                             columns.append(pa.array(lists, pa.list_(pa.int32())))
