@@ -8,7 +8,7 @@ The prior is estimated first: of a plain positive-against-unlabelled model's sco
 It is fitted on the driver on at most SAMPLE positives and SAMPLE unlabelled rows, taken by hash of the id, both outside the held-out fold; all rows are scored.
 
 Cases: null and empty texts are scored like any other; null ids are never used for fitting, are not held out, and are scored; labels of null quality are ignored; without any
-positive or unlabelled row every score is 0.5.
+positive or unlabelled row every score is 0.5; of rows that share an id one is fitted on and all are scored; texts of any length are read whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -157,14 +157,15 @@ def held_out(column: str = "doc_id") -> F.Column:
 
 
 def gathered(docs: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Features of the documents with some ids, SAMPLE at most, in order of id."""
+    """Features of the documents with some ids, SAMPLE at most, in order of id; of rows that share an id, one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             x = features(*utf8_of(part.column("text")))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
 
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, x binary").collect()
+    one = docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.mapInArrow(run, "doc_id long, x binary").collect()
     return np.array([np.frombuffer(x) for _, x in sorted((r["doc_id"], bytes(r["x"])) for r in rows)])
 
 
