@@ -31,10 +31,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; only where that is unset (tests), a temporary one is set."""
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; only a local session, as in tests, may do without one and is given a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="litforge-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"

@@ -184,6 +184,29 @@ def test_token_files(spark, odd_docs):
     assert read_token_files(empty, folder).count() == 0
 
 
+def test_other_tokenizer_files(spark, tmp_path, odd_docs):
+    """A file of another kind is left to the library, and a vocabulary over 16 bits is written in 32."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(Path(BYTE).read_text())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    top = max(spec["model"]["vocab"].values())
+    spec["model"]["vocab"] |= {f"<unused {i}>": top + 10 + i for i in range(70_000)}
+    spec["added_tokens"].append({"id": 200_000, "content": "xyzzy", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    path = str(tmp_path / "wide.json")
+    Path(path).write_text(json.dumps(spec))
+    lib, rows = Tokenizer.from_file(path), [*odd_docs, (99, "a xyzzy b")]
+    folder = common.shared_dir(spark, "t")
+    manifest = write_token_files(spark.createDataFrame(rows, DOC), folder, path)
+    got = Counter((r["doc_id"], tuple(r["ids"])) for r in read_token_files(manifest, folder, digest_only=False).collect())
+    assert got == Counter((i, (*lib.encode(t or "", add_special_tokens=False).ids, 0)) for i, t in rows) and {r["width"] for r in manifest.collect()} == {4}
+    assert any(x >= 1 << 16 for (_, ids) in got for x in ids)
+    with pytest.raises(ValueError):
+        SpeculativeEncoder(path)
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
@@ -202,6 +225,16 @@ def test_warc(spark):
     assert warc.archived(pages_of(spark, [])).count() == 0
 
 
+def test_warc_common_payload(spark):
+    """One payload on a third of all rows, null and repeated ids, long payloads, columns with clashing names."""
+    big = "z" * 3_000_000
+    rows = [(i, f"u{i}", "p" * 200 if i % 3 else f"q{i}" * 60) for i in range(300)] + [(5, "u", "r" * 200), (5, "u", "p" * 200), (400, "u", big), (401, "u", big), (None, "u", big)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, html string, digest int, original int")
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archived(df).collect())
+    first = {"p" * 200: 1, big: 400}
+    assert got == Counter((i, len(h), "revisit" if first.get(h, i) != i else "response", first[h] if first.get(h, i) != i else None) for i, _, h in rows)
+
+
 def test_warc_detects_damage():
     import gzip
     import io
@@ -423,6 +456,13 @@ def test_quality_held_out(spark):
     assert auc > 0.97 and (good >= 0.3).mean() > 0.98
 
 
+def test_quality_repeated_ids(spark):
+    """Rows that share an id give one row to fit on."""
+    docs = common.materialise(spark.createDataFrame([(1, "A b c."), (1, "X y."), (1, None), (2, "d e f."), (2, "d e f.")], DOC), "t")
+    ids = docs.select("doc_id").distinct()
+    assert quality.gathered(docs, ids).shape[0] == 2
+
+
 def test_quality_edges(spark):
     docs = common.materialise(spark.createDataFrame([(1, None), (None, "x"), (2, ""), (2, "")], DOC), "t")
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
@@ -640,3 +680,17 @@ def test_pipeline(spark):
     for r in docs.collect():
         seq[r["sequence_id"]] += r["length"]
     assert max(seq.values()) <= 2048
+
+
+def test_pipeline_odd_rows(spark, odd_docs):
+    """Nulls, empty and long texts, repeated ids and rows, and an empty table go through all stages; all but the last keep the columns."""
+    import corpus_pipeline as P
+
+    names = common.table(spark, DATA, "documents").columns
+    rows = [(i, t, "en", None, len(t or "")) for i, t in odd_docs] + [(7, "again another text of one id.", None, "s", 1), (None, None, None, None, None)]
+    for some in (rows, []):
+        docs = common.materialise(spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long").select(*names), "t")
+        for name, stage in P.STAGES:
+            before, docs = docs, common.materialise(stage(spark, docs, DATA), name)
+            assert name == "packing" or docs.columns == names and docs.count() <= before.count()
+        assert bool(docs.count()) == bool(some)
