@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from litforge.operators.running import BEFORE, ranged
+from litforge.scratch import stored
+
 #: Label of each pattern of significance over three eras.
 TRAJECTORIES = {"111": "STABLE", "001": "EMERGING", "100": "DECLINING", "011": "RISING", "110": "FADING", "010": "TRANSIENT_MIDDLE", "101": "BIMODAL", "000": "WEAK_NONE"}
 
@@ -83,13 +86,30 @@ def fisher_cells(cells: DataFrame, skip_degenerate: bool = False, keys: Sequence
 
 
 def bh_fdr(df: DataFrame, p: str = "p", *family: str) -> DataFrame:
-    """WIN11, STA2: q of Benjamini and Hochberg within each family: the least of p*m/rank over all ranks from a test's own on."""
-    w = Window.partitionBy(*family).orderBy(p)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*family))
-    # of equal p-values the highest rank counts, which cume_dist gives
-    ranked = df.withColumn("_q", F.col(p) / F.cume_dist().over(w)).withColumn("_m", m)
-    onward = Window.partitionBy(*family).orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min("_q").over(onward))).drop("_q", "_m")
+    """WIN11, STA2: q of Benjamini and Hochberg within each family: the least of p*m/rank over all ranks from a test's own on. A null p is no test and gets a null q.
+
+    Equal p-values are counted first, and of these the highest rank holds. Ranks and minima run within ranges of (family, p) and are carried from range to range, so no task sees a whole family.
+    """
+    df = stored(df.drop("q"), "tests")
+    keys = [f"_f{i}" for i in range(len(family))]
+    named = [F.col(f).alias(k) for f, k in zip(family, keys, strict=True)]
+    x = ranged(df.filter(F.col(p).isNotNull()).groupBy(*named, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c")), *keys, "_p")
+    here = Window.partitionBy("_part", *keys).orderBy("_p")
+    across = Window.partitionBy(*keys)  # rows of spans: a row for each range and family
+
+    def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+        spans = spans.withColumnsRenamed({k: f"_s{k}" for k in keys} | {"_part": "_s_part"})
+        return rows.join(spans, [F.col("_part") == F.col("_s_part"), *[F.col(k).eqNullSafe(F.col(f"_s{k}")) for k in keys]]).drop("_s_part", *[f"_s{k}" for k in keys])
+
+    spans = x.groupBy("_part", *keys).agg(F.sum("_c").alias("_n"))
+    spans = spans.withColumns({"_m": F.sum("_n").over(across), "_before": F.coalesce(F.sum("_n").over(across.orderBy("_part").rowsBetween(*BEFORE)), F.lit(0))})
+    rank = F.col("_before") + F.sum("_c").over(here.rowsBetween(Window.unboundedPreceding, 0))
+    x = with_spans(x, spans).withColumn("_q", F.col("_p") * F.col("_m") / rank).select("_part", *keys, "_p", "_q")
+    later = x.groupBy("_part", *keys).agg(F.min("_q").alias("_l"))
+    later = later.withColumn("_l", F.min("_l").over(across.orderBy(F.desc("_part")).rowsBetween(*BEFORE)))
+    onward = F.min("_q").over(here.rowsBetween(0, Window.unboundedFollowing))
+    q = with_spans(x, later).select(*keys, "_p", F.least(F.lit(1.0), onward, "_l").alias("q"))
+    return df.join(q, [F.col(p) == F.col("_p"), *[F.col(f).eqNullSafe(F.col(k)) for f, k in zip(family, keys, strict=True)]], "left").drop("_p", *keys)
 
 
 def strength_class(df: DataFrame, alpha: float = 0.05, high: float = 2.0, low: float = 0.5, least: int = 5) -> DataFrame:

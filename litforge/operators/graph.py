@@ -237,3 +237,59 @@ def bursts(df: DataFrame, item: str, time: str, s: float = 2.0, gamma: float = 1
     # a row for each item and period: a group has as many rows as there are periods
     grid = counts.select(item).distinct().crossJoin(F.broadcast(total)).join(counts, [item, time], "left")
     return grid.select(F.col(item).alias("i"), F.col(time).cast("long").alias("t"), F.coalesce("r", F.lit(0)).alias("r"), "d").groupBy("i").applyInPandas(run, "item string, first long, last long, weight double")
+
+
+def g_index_nodes(df: DataFrame, period: str, item: str, weight: str, k: int = 25) -> DataFrame:
+    """GRF10: (period, item, weight, rank) of each period's items that a scaled g-index keeps: the first g by weight, g the largest number with g*g <= k times their summed weight. df: a row for each period and item."""
+    w = Window.partitionBy(period).orderBy(F.desc(weight), item)
+    x = df.withColumns({"rank": F.row_number().over(w).cast("long"), "_upto": F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    # places grow by squares and sums ever slower, so what is kept is a head of the list
+    return x.filter(F.col("rank") * F.col("rank") <= k * F.col("_upto")).select(period, item, weight, "rank")
+
+
+def cosine_links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """GRF10: links (a, b, n) with their cosine, n over the root of both ends' counts. nodes: (node, n)."""
+    na, nb = (nodes.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}")) for e in "ab")
+    return pairs.join(na, "a").join(nb, "b").select("a", "b", "n", (F.col("n") / F.sqrt(F.col("n_a").cast("double") * F.col("n_b"))).alias("cosine"))
+
+
+def pathfinder(edges: DataFrame, strength: str = "n", most_edges: int = 2_000_000) -> DataFrame:
+    """GRF10: the edges (a, b, strength) of a Pathfinder network over paths of any length, a path being as strong as its weakest link: an edge stays if no path joins its ends by stronger links only.
+
+    Edges are taken from the strongest on; of equal ones all that join different parts stay. For thresholded graphs: the graph goes to one worker, which is checked first.
+    """
+    if edges.limit(most_edges + 1).count() > most_edges:
+        raise ValueError(f"over {most_edges} edges; threshold the graph first")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parent: dict = {}
+
+        def root(x: object) -> object:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        kept = []
+        for _, level in pdf.sort_values("s", ascending=False, kind="stable").groupby("s", sort=False):
+            kept.append(level[[root(a) != root(b) for a, b in zip(level["a"], level["b"], strict=True)]])
+            for a, b in zip(level["a"], level["b"], strict=True):
+                parent[root(a)] = root(b)
+        return pd.concat(kept)[["a", "b", "s"]]
+
+    kind = edges.schema[strength].dataType.simpleString()
+    whole = edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col(strength).alias("s")).filter("a <> b and s is not null")
+    return whole.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(run, f"a string, b string, s {kind}").withColumnRenamed("s", strength)
+
+
+def llr_labels(df: DataFrame, cluster: str, term: str, k: int = 5) -> DataFrame:
+    """GRF10: (cluster, term, n, llr, rank) of the k terms that mark a cluster most by the log-likelihood ratio of rows in and outside of it; terms rarer inside than expected don't count."""
+    x = df.filter(F.col(cluster).isNotNull() & F.col(term).isNotNull()).groupBy(F.col(cluster).alias("cluster"), F.col(term).alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    of = lambda *keys: F.sum("n").over(Window.partitionBy(*keys)).cast("double")
+    total = x.agg(F.sum("n").cast("double").alias("_t"))
+    x = x.withColumns({"_c": of("cluster"), "_w": of("term")}).crossJoin(F.broadcast(total))  # one row
+    n, c, w, t = F.col("n").cast("double"), F.col("_c"), F.col("_w"), F.col("_t")
+    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    llr = 2 * (part(n, c * w / t) + part(c - n, c * (t - w) / t) + part(w - n, (t - c) * w / t) + part(t - c - w + n, (t - c) * (t - w) / t))
+    x = x.filter(n * t > c * w).select("cluster", "term", "n", llr.alias("llr"))
+    return x.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("llr"), "term")).cast("long")).filter(F.col("rank") <= k)

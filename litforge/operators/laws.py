@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from litforge.operators.running import placed
+
 
 def h_index(df: DataFrame, cites: str, *groups: str) -> DataFrame:
     """WIN6: the largest h with h records of h citations and more. Records are counted by citation value first, so ranks run over distinct values, not records."""
@@ -28,9 +30,8 @@ def bradford(df: DataFrame, source: str) -> DataFrame:
     The zone follows from the records before a source, which differs from a step-by-step walk only if one source spans a whole third.
     """
     n = df.filter(F.col(source).isNotNull()).groupBy(source).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("n"), source)
-    total = F.sum("n").over(Window.partitionBy())
-    out = n.withColumns({"rank": F.row_number().over(w).cast("long"), "cumulative": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_t": total})
+    out = placed(n, [F.desc("n"), source], sums={"cumulative": "n"})
+    out = out.crossJoin(F.broadcast(out.agg(F.sum("n").alias("_t"))))  # one row
     before = F.col("cumulative") - F.col("n")
     zone = 1 + (before * 3 >= F.col("_t")).cast("int") + (before * 3 >= 2 * F.col("_t")).cast("int")
     return out.select(source, "n", "rank", "cumulative", (100.0 * F.col("cumulative") / F.col("_t")).alias("cumulative_pct"), zone.alias("zone"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,10 +64,10 @@ def block_pairs(df: DataFrame, identifier: str, blocks: Sequence[str], text: str
     return pairs.filter(F.col("score") >= threshold).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"), "score").unionAll(copies)
 
 
-def connected_components(pairs: DataFrame, most: int = 60) -> DataFrame:
-    """FUZ3: (id, component), the smallest id reachable. Alternating large and small stars; each round is stored."""
+def connected_components(pairs: DataFrame) -> DataFrame:
+    """FUZ3: (id, component), the smallest id reachable. Alternating large and small stars until nothing moves, which takes rounds by the logarithm of the longest path; each round is stored."""
     edges = stored(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    for _ in range(most):
+    while True:
         open_ = edges.groupBy("u").count().filter("count > 1").select("u").unionAll(edges.join(edges.select(F.col("v").alias("w")).distinct(), F.col("u") == F.col("w"), "left_semi").select("u"))
         if open_.isEmpty():
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(edges.select("v", "v").distinct())
@@ -74,7 +76,6 @@ def connected_components(pairs: DataFrame, most: int = 60) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         edges = stored(large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low).distinct(), "edges")
-    raise RuntimeError(f"no end after {most} rounds")
 
 
 def resolve_components(df: DataFrame, components: DataFrame, identifier: str, *order: Column) -> DataFrame:
@@ -200,3 +201,36 @@ def override_matches(matched: Column, rule: Column, catch_all: Column) -> Column
         .when(rule.isNull() & F.coalesce(catch_all, F.lit(False)), F.struct(F.lit(None).cast("string").alias("value"), F.lit("unmatched").alias("reason")))
         .otherwise(F.struct(matched.alias("value"), F.lit("kept").alias("reason")))
     )
+
+
+def match_affiliations(df: DataFrame, text: str, lookup: Callable[[str], list[dict]], done: DataFrame | None = None, retries: int = 4, wait: float = 1.0) -> DataFrame:
+    """FUZ7: (text, matched, id, name, country, score, error) of each distinct text, looked up once by a service.
+
+    ``lookup`` gives candidates with id, name, country, score and chosen. The chosen one is taken, else the one of the best score, the first of equals. A call that raises is repeated after waits
+    that double; the last error is kept and the text counts as unmatched. ``done`` holds earlier results, say read back from ``sinks.append_jsonl``: their texts are left out, but for those that
+    ended in an error. Null and empty texts are not asked for.
+    """
+
+    def ask(x: str) -> tuple:
+        error = None
+        for k in range(retries):
+            try:
+                found = lookup(x)
+            except Exception as e:  # whatever a service throws is its answer
+                error = f"{type(e).__name__}: {e}"[:200]
+                if k + 1 < retries:
+                    time.sleep(wait * 2**k)
+                continue
+            best = next((c for c in found if c.get("chosen")), None) or max(found, key=lambda c: c.get("score") or 0, default=None)
+            return (x, best is not None, *[(best or {}).get(k) for k in ("id", "name", "country", "score")], None)
+        return x, False, None, None, None, None, error
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            answers = [ask(x) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for a in answers], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()))], ["text", "matched", "id", "name", "country", "score", "error"])
+
+    asked = df.filter(F.length(text) > 0).select(F.col(text).cast("string").alias("text")).distinct()
+    if done is not None:
+        asked = asked.join(done.filter("error is null").select("text"), "text", "left_anti")
+    return asked.mapInArrow(run, "text string, matched boolean, id string, name string, country string, score double, error string")

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from litforge.operators.running import placed
+
 
 def with_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """WIN4: place in a total order, for tables that are aggregates already."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """WIN4: place in a total order."""
+    return placed(df, order, name)
 
 
 def entity_ranking(df: DataFrame, codes: str, cites: str) -> DataFrame:
@@ -123,3 +125,25 @@ def coverage(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
 def top_per_group(df: DataFrame, group: str, k: int, *order: Column) -> DataFrame:
     """WIN8"""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long")).filter(F.col("rank") <= k)
+
+
+def bibliometric_summary(df: DataFrame, identifier: str, source: str, authors: str, countries: str, cites: str, year: str, until: int, k: int = 10) -> DataFrame:
+    """STA9: the first k sources, authors and countries by records, and the k most cited records: (section, rank, name, n, per_year, normalised).
+
+    For a cited record n is its citations, per_year these by years up to ``until``, normalised these over the mean of its year. Ties go by name; null names don't count.
+    """
+    none = F.lit(None).cast("double")
+
+    def first(section: str, rows: DataFrame, tie: str = "name") -> DataFrame:
+        top = rows.orderBy(F.desc("n"), tie).limit(k)
+        w = Window.orderBy(F.desc("n"), tie)  # k rows
+        return top.select(F.lit(section).alias("section"), F.row_number().over(w).cast("long").alias("rank"), F.col("name").cast("string").alias("name"), "n", "per_year", "normalised")
+
+    def frequent(name: Column) -> DataFrame:
+        return df.select(name.alias("name")).filter("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n")).withColumns({"per_year": none, "normalised": none})
+
+    mean = df.groupBy(F.col(year).alias("_year")).agg(F.avg(cites).alias("_mean"))
+    cited = df.filter(F.col(cites).isNotNull()).select(F.col(identifier).alias("name"), F.col(cites).cast("long").alias("n"), F.col(year).alias("_year")).orderBy(F.desc("n"), "name").limit(k).join(mean, "_year", "left")
+    cited = cited.withColumns({"per_year": F.try_divide(F.col("n"), until - F.col("_year") + 1), "normalised": F.try_divide(F.col("n"), F.col("_mean"))})
+    parts = [first("sources", frequent(F.col(source))), first("authors", frequent(F.explode(F.array_distinct(authors)))), first("countries", frequent(F.explode(F.array_distinct(countries)))), first("cited", cited)]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])

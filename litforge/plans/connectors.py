@@ -88,6 +88,19 @@ def src7(t: Tables) -> DataFrame:
     return R.read_pages(t.spark, pages, fetch).select(F.col("key").cast("long").alias("key"))
 
 
+@query("src7_cursor_pull", "SELECT n_nationkey::BIGINT AS key FROM nation WHERE n_nationkey < 20")
+def src7_cursor(t: Tables) -> DataFrame:
+    """SRC7: three queries of a stand-in service read by cursor; the last finds too much and is skipped."""
+    found = {"narrow": 7, "wide": 20, "everything": 80_001}
+
+    def page(q: str, cursor: int | None, size: int) -> tuple[list[str], int | None]:
+        at = cursor or 0
+        return [f'{{"id": {i}}}' for i in range(at, min(at + size, found[q]))], at + size if at + size < found[q] else None
+
+    works, _ = R.pull(t.spark, list(found), found.get, page, size=6)
+    return works.select(F.col("key").cast("long").alias("key"))
+
+
 @query("src8_medline_xml", "SELECT n_nationkey::VARCHAR AS pmid, n_name AS title, (1990 + n_nationkey)::BIGINT AS year, 'Doe J' AS author FROM nation")
 def src8(t: Tables) -> DataFrame:
     xml = F.format_string("<PubmedArticle><PMID>%d</PMID><Article><ArticleTitle>%s</ArticleTitle><Journal><JournalIssue><PubDate><MedlineDate>%d Jan-Feb</MedlineDate></PubDate></JournalIssue></Journal><AuthorList><Author><LastName>Doe</LastName><Initials>J</Initials></Author></AuthorList></Article></PubmedArticle>", "n_nationkey", "n_name", F.col("n_nationkey") + 1990)

@@ -268,7 +268,7 @@ def srt1(t: Tables) -> DataFrame:
     return ranking.with_rank(top, F.asc("o_orderpriority"), F.desc("o_totalprice"), F.asc("o_orderkey")).select("o_orderkey", "o_orderpriority", "rank")
 
 
-@query("srt2_nlargest", "SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders ORDER BY o_orders.o_totalprice DESC, o_orderkey LIMIT 20".replace("o_orders.", "orders."))
+@query("srt2_nlargest", "SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders ORDER BY orders.o_totalprice DESC, o_orderkey LIMIT 20")
 def srt2(t: Tables) -> DataFrame:
     return rounded(t.orders.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20), 2)
 
@@ -287,6 +287,16 @@ def sta9(t: Tables) -> DataFrame:
     return rounded(top.select("o_orderkey", "year", "c", (F.col("c") / (2001 - F.col("year") + 1)).alias("per_year"), (F.col("c") / F.col("m")).alias("normalised")))
 
 
+@query("sta9_summary", """WITH x AS (SELECT o_orderkey, o_orderpriority, o_custkey, n_name, floor(o_totalprice)::BIGINT AS c, year(o_orderdate) AS year FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+    f AS (SELECT 'sources' AS section, o_orderpriority AS name, count(*) AS n FROM x GROUP BY 2 UNION ALL SELECT 'authors', o_custkey::VARCHAR, count(*) FROM x GROUP BY 2 UNION ALL SELECT 'countries', n_name, count(*) FROM x GROUP BY 2)
+    SELECT section, row_number() OVER (PARTITION BY section ORDER BY n DESC, name) AS rank, name, n, NULL::DOUBLE AS per_year, NULL::DOUBLE AS normalised FROM f QUALIFY rank <= 10
+    UNION ALL SELECT 'cited', row_number() OVER (ORDER BY c DESC, o_orderkey) AS rank, o_orderkey::VARCHAR, c, round(c::DOUBLE / (2001 - year + 1), 4), round(c / avg(c) OVER (PARTITION BY year), 4) FROM x QUALIFY rank <= 10""")
+def sta9_summary(t: Tables) -> DataFrame:
+    x = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey"))
+    x = x.select("o_orderkey", "o_orderpriority", F.array(F.col("o_custkey").cast("string")).alias("authors"), F.array("n_name").alias("countries"), F.floor("o_totalprice").alias("c"), F.year("o_orderdate").alias("year"))
+    return rounded(ranking.bibliometric_summary(x, "o_orderkey", "o_orderpriority", "authors", "countries", "c", "year", 2001))
+
+
 @query("agg26_family_summary", "SELECT p_type, count(*) AS n, count(DISTINCT p_brand) AS n_brands, count(DISTINCT p_name) AS n_names FROM part GROUP BY 1")
 def agg26(t: Tables) -> DataFrame:
     return t.part.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_brand").alias("n_brands"), F.countDistinct("p_name").alias("n_names"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from litforge.functions import text as X
 from litforge.operators import association as A
 from litforge.operators import extraction, graph, laws, linkage, ranking, topics
-from litforge.plans.connectors import tagged_export
+from litforge.plans.connectors import TITLE, tagged_export
 from litforge.plans.descriptive import LOTKA, counts
 from litforge.plans.registry import Tables, query, rounded
 from litforge.plans.statistics import CT, FISHER, cells, triples
@@ -105,9 +105,10 @@ def fuz5(t: Tables) -> DataFrame:
     return linkage.build_thesaurus(k, t.spark.createDataFrame([("a", "b")], "alias string, canonical string"), 60.0)
 
 
-@query("src6_src12_multi_file_glob", "SELECT count(*) FILTER (WHERE trim(text) <> '') AS n FROM documents")
+@query("src6_src12_multi_file_glob", f"SELECT 'WoS:' || doc_id AS record_id, 'WoS' AS source_db, {TITLE} AS title, doc_id::VARCHAR AS source_id FROM documents WHERE trim(text) <> ''")
 def src6(t: Tables) -> DataFrame:
-    return R.read_tagged(t.spark, f"{tagged_export(t)}/part-*.txt").agg(F.count(F.lit(1)).alias("n"))
+    """All files of a pattern as one table of unified records."""
+    return R.from_tagged(R.read_tagged(t.spark, f"{tagged_export(t)}/part-*.txt")).select("record_id", "source_db", "title", "source_id")
 
 
 @query("snk8_append_resume", "SELECT count(*) AS n, count(DISTINCT doc_id) AS n_ids FROM documents")
@@ -141,9 +142,12 @@ def vec1(t: Tables) -> DataFrame:
     return out.select("doc_id", "lang", F.get("embedding", 0).cast("double").alias("x"))
 
 
-@query("str6_split_by_source", "SELECT source_db, count(*) AS n FROM (SELECT unnest(['WoS', 'Scopus', 'OpenAlex', 'PubMed']) AS source_db) GROUP BY 1")
+@query("str6_split_by_source", """WITH x AS (SELECT s_suppkey, s_suppkey % 4 AS k, n_name, r_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)
+    SELECT DISTINCT s_suppkey, ['WoS', 'Scopus', 'OpenAlex', 'PubMed'][k + 1] AS source_db, affiliation FROM (SELECT s_suppkey, k, n_name AS affiliation FROM x UNION ALL SELECT s_suppkey, k, r_name FROM x) WHERE k < 3""")
 def str6(t: Tables) -> DataFrame:
-    """One affiliation from each source's form; the one without any counts its record."""
-    x = t.spark.createDataFrame([("WoS", "[A] U.\nU", None), ("Scopus", "U; U.", None), ("OpenAlex", None, ["U"]), ("PubMed", "U", None)], "source_db string, raw string, names array<string>")
-    n = F.size(X.split_affiliations(F.col("source_db"), F.col("raw"), F.col("names")))
-    return x.select("source_db", F.greatest(n, F.lit(1)).alias("n")).groupBy("source_db").agg(F.sum("n").alias("n"))
+    """Two affiliations of each supplier in four sources' forms, the last of which has none."""
+    x = t.supplier.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("s_nationkey")).join(F.broadcast(t.region), F.col("r_regionkey") == F.col("n_regionkey"))
+    k, lines = F.col("s_suppkey") % 4, F.concat(F.lit("[Doe, J] "), "n_name", F.lit(".\n"), "r_name", F.lit("\n"), "n_name")
+    x = x.withColumn("source_db", F.when(k == 0, "WoS").when(k == 1, "Scopus").when(k == 2, "OpenAlex").otherwise("PubMed"))
+    raw = F.when(k == 1, F.concat("n_name", F.lit("; "), "r_name", F.lit("."))).otherwise(lines)
+    return x.select("s_suppkey", "source_db", F.explode(X.split_affiliations(F.col("source_db"), raw, F.array("n_name", "r_name"))).alias("affiliation"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litforge.functions.text import collapse_ws, inverted_index_text, normalize_doi, normalize_title, split_clean
+from litforge.scratch import stored
 
 S, I, A = T.StringType(), T.LongType(), T.ArrayType(T.StringType())
 
@@ -191,6 +196,53 @@ def read_pages(spark: SparkSession, query_pages: DataFrame, fetch: object, key:
     return got.withColumn("key", F.get_json_object("value", f"$.{key}")).groupBy("key").agg(F.min(F.struct("query", "value")).alias("r")).select("key", "r.value")
 
 
+def pull(spark: SparkSession, queries: Sequence[str], count: Callable[[str], int], page: Callable[..., tuple], key: str = "id", most: int = 80_000, size: int = 200, retries: int = 4, wait: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """SRC7, SRC8: a pull by cursor: (key, value) of the works, those met by several queries once, and a report (query, found, pulled, status).
+
+    ``count(query)`` tells how many works there are; a query of more than ``most`` is too broad and is skipped, as its report says. ``page(query, cursor, size)`` gives JSON texts and the next
+    cursor, None at the end; the first cursor is None. Calls that raise are repeated after waits that double; after the last the query's status is its error and what came before stays.
+    One task a query; pages are handed on as they come. The pull is stored, so that nothing is asked for twice.
+    """
+
+    def patient(call: Callable, *args: object) -> object:
+        for k in range(retries):
+            try:
+                return call(*args)
+            except Exception:
+                if k + 1 == retries:
+                    raise
+                time.sleep(wait * 2**k)
+
+    def of_query(q: str) -> Iterator[pd.DataFrame]:
+        rows = lambda found, status, values: pd.DataFrame({"query": q, "found": found, "status": status, "value": values}, columns=["query", "found", "status", "value"])
+        found, cursor = None, None
+        try:
+            found = patient(count, q)
+            if found > most:
+                yield rows(found, ["skipped"], [None])
+                return
+            while True:
+                values, cursor = patient(page, q, cursor, size)
+                if values:
+                    yield rows(found, None, list(values))
+                if cursor is None:
+                    break
+            yield rows(found, ["done"], [None])
+        except Exception as e:  # whatever a service throws ends this query only
+            yield rows(found, [f"{type(e).__name__}: {e}"[:200]], [None])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for q in pdf["query"]:
+                yield from of_query(q)
+
+    asked = spark.createDataFrame([(q,) for q in queries], "query string").repartition(max(1, len(queries)), "query")
+    got = stored(asked.mapInPandas(run, "query string, found long, status string, value string"), "pull")
+    works = got.filter("value is not null").withColumn("key", F.get_json_object("value", f"$.{key}")).filter("key is not null")
+    report = got.groupBy("query").agg(F.max("found").alias("found"), F.count("value").alias("pulled"), F.max("status").alias("status"))
+    return works.groupBy("key").agg(F.min(F.struct("query", "value")).alias("r")).select("key", "r.value"), report
+
+
 def from_medline_xml(rows: DataFrame, column: str = "xml") -> DataFrame:
     """SRC8: stored article XML to the flat record; the year from Year, else from the start of MedlineDate."""
     x = lambda p: F.xpath_string(column, F.lit(p))

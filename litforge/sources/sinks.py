@@ -6,7 +6,8 @@ from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from litforge.operators.running import placed
 
 
 def write_parquet(df: DataFrame, path: str, *partitions: str) -> None:
@@ -36,7 +37,7 @@ def append_jsonl(df: DataFrame, path: str, done_key: str | None = None) -> None:
 
 def vos_tables(nodes: DataFrame, edges: DataFrame, node_least: int, edge_least: int) -> tuple[DataFrame, DataFrame]:
     """SNK4: the map (id, label, weight) with ids from 1 by weight, and the network (id_a, id_b, strength) among kept nodes. nodes: (node, n); edges: (a, b, n)."""
-    ids = nodes.filter(F.col("n") >= node_least).withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "node")).cast("long")).select("id", F.col("node").alias("label"), F.col("n").alias("weight"))
+    ids = placed(nodes.filter(F.col("n") >= node_least), [F.desc("n"), "node"], "id").select("id", F.col("node").alias("label"), F.col("n").alias("weight"))
     net = edges.filter(F.col("n") >= edge_least)
     for end in "ab":
         net = net.join(ids.select(F.col("label").alias(end), F.col("id").alias(f"id_{end}")), end)
@@ -68,7 +69,8 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def markdown_table(df: DataFrame, title: str, limit: int = 200) -> str:
-    """SNK6: a report of an aggregate's first rows."""
-    rows = df.limit(limit).collect()
+    """SNK6: a report of an aggregate's first rows; a last line tells if there are more."""
+    rows = df.limit(limit + 1).collect()
+    more = ["", f"First {limit} rows only."] if len(rows) > limit else []
     line = lambda xs: "| " + " | ".join("" if x is None else str(x).replace("|", "\\|") for x in xs) + " |"
-    return "\n".join([f"## {title}", "", line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in rows], ""])
+    return "\n".join([f"## {title}", "", line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in rows[:limit]], *more, ""])

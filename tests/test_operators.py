@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from litforge.functions import text as X
 from litforge.operators import association as A
-from litforge.operators import extraction, graph, laws, linkage, ranking, topics, trend
+from litforge.operators import extraction, graph, laws, linkage, ranking, running, topics, trend
 from litforge.sources import records as R
 from litforge.sources import sinks
 
@@ -71,6 +71,47 @@ def test_bh_ties(spark):
     assert A.bh_fdr(frame(spark, [(1, 0.3)], "i int, p double")).collect()[0]["q"] == pytest.approx(0.3)
 
 
+@pytest.fixture
+def uncoalesced(spark):
+    """Small tables in several ranges, as large ones would be."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield spark
+    spark.conf.unset(key)
+
+
+def test_bh_by_brute_force(uncoalesced):
+    """Families of which one is null and one holds most tests, ties, a null p, and ranges that cut families."""
+    spark, rng = uncoalesced, random.Random(3)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), None if i % 50 == 7 else round(rng.random() ** 2, 2)) for i in range(600)]
+    df = frame(spark, rows, "i int, f string, p double")
+
+    def expected(ps):
+        ps = sorted(ps)
+        return {p: min([1.0] + [x * len(ps) / (k + 1) for k, x in enumerate(ps) if x >= p]) for p in ps}
+
+    whole = expected([p for _, _, p in rows if p is not None])
+    each = {f: expected([p for _, g, p in rows if g == f and p is not None]) for f in ("a", "b", None)}
+    for family, want in (((), lambda f: whole), (("f",), lambda f: each[f])):
+        got = A.bh_fdr(df, "p", *family).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r["q"] is None if r["p"] is None else r["q"] == pytest.approx(want(r["f"])[r["p"]])
+
+
+def test_places_over_ranges(uncoalesced):
+    spark = uncoalesced
+    rows = [(i, (i * 7919) % 101) for i in range(2000)]
+    x = running.ranged(frame(spark, rows, "i int, n int"), F.desc("n"), "i")
+    got = sorted((r["rank"], r["i"], r["upto"]) for r in running.placed(frame(spark, rows, "i int, n int"), [F.desc("n"), "i"], sums={"upto": "n"}).collect())
+    order, upto = sorted(rows, key=lambda r: (-r[1], r[0])), 0
+    assert x.select("_part").distinct().count() > 2 and len(got) == len(order)
+    for (rank, i, total), (k, (j, n)) in zip(got, enumerate(order), strict=True):
+        upto += n
+        assert (rank, i, total) == (k + 1, j, upto)
+    assert running.placed(frame(spark, [], "n int"), ["n"]).count() == 0
+
+
 def test_trajectories(spark):
     rows = [(k, "m", e, 0.01 if b == "1" else 0.9, "enriched") for k in A.TRAJECTORIES for e, b in zip("abc", k, strict=True)]
     out = A.era_trajectory(frame(spark, rows, "row string, col string, era string, q double, direction string"), list("abc"))
@@ -254,6 +295,55 @@ def test_bursts_by_brute_force(spark):
     assert (out["w"]["first"], out["w"]["last"]) == (on[0], on[-1])
 
 
+def test_pathfinder_by_brute_force(spark):
+    rng = random.Random(5)
+    for most in (2, 6, 1000):
+        edges = {(a, b): rng.randint(1, most) for a in range(9) for b in range(a + 1, 9) if rng.random() < 0.6}
+        best = {(a, b): 0 for a in range(9) for b in range(9)}
+        for (a, b), n in edges.items():
+            best[a, b] = best[b, a] = n
+        for k, a, b in itertools.product(range(9), repeat=3):
+            best[a, b] = max(best[a, b], min(best[a, k], best[k, b]))
+        got = {(int(r["a"]), int(r["b"])): r["n"] for r in graph.pathfinder(frame(spark, [(str(a), str(b), n) for (a, b), n in edges.items()], "a string, b string, n long")).collect()}
+        assert got == {e: n for e, n in edges.items() if best[e] <= n}
+    with pytest.raises(ValueError):
+        graph.pathfinder(frame(spark, [("a", "b", 1), ("b", "c", 1)], "a string, b string, n long"), most_edges=1)
+
+
+def test_cursor_pull(spark):
+    """A call that fails once, a query that is too broad, one that breaks off, and works that two queries find."""
+    failed = []
+
+    def page(q, cursor, size):
+        at = cursor or 0
+        if q == "broken" and at:
+            raise OSError("gone")
+        if at == 4 and at not in failed:
+            failed.append(at)
+            raise TimeoutError("slow")
+        return [f'{{"id": {i}}}' for i in range(at, min(at + size, 9))], at + size if at + size < 9 else None
+
+    works, report = R.pull(spark, ["one", "two", "broad", "broken"], {"one": 9, "two": 9, "broad": 80_001, "broken": 9}.get, page, size=4, wait=0.0)
+    assert sorted(int(r["key"]) for r in works.collect()) == list(range(9))
+    assert {tuple(r) for r in report.collect()} == {("one", 9, 9, "done"), ("two", 9, 9, "done"), ("broad", 80_001, 0, "skipped"), ("broken", 9, 4, "OSError: gone")}
+
+
+def test_affiliation_matcher(spark):
+    seen = []
+
+    def lookup(x):
+        seen.append(x)
+        if x == "down" or x == "slow" and seen.count(x) < 3:
+            raise OSError("no answer")
+        return {"none": []}.get(x, [{"id": "1", "score": 0.2}, {"id": "2", "score": 0.9}, {"id": "3", "score": 0.9}, {"id": "4", "score": 0.1, "chosen": x == "picked"}])
+
+    df = frame(spark, [("none",), ("best",), ("best",), ("picked",), ("slow",), ("down",), (None,), ("",)], "s string")
+    got = {r["text"]: (r["matched"], r["id"], r["score"], r["error"]) for r in linkage.match_affiliations(df, "s", lookup, retries=3, wait=0.0).collect()}
+    assert got == {"none": (False, None, None, None), "best": (True, "2", 0.9, None), "picked": (True, "4", 0.1, None), "slow": (True, "2", 0.9, None), "down": (False, None, None, "OSError: no answer")}
+    done = frame(spark, [("best", None), ("picked", None), ("down", "OSError: no answer")], "text string, error string")
+    assert {r["text"] for r in linkage.match_affiliations(df, "s", lookup, done, retries=3, wait=0.0).collect()} == {"none", "slow", "down"}
+
+
 def test_agreement_extremes(spark):
     same = A.agreement(frame(spark, [("a", 1), ("a", 1), ("b", 2), (None, 1)], "x string, y int"), "x", "y").collect()[0]
     assert same["n"] == 3 and same["ari"] == pytest.approx(1) and same["nmi"] == pytest.approx(1)
