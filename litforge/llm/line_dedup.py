@@ -5,7 +5,7 @@ as well, and those that begin and end within a sentence or have no sentences: an
 Every three lines in a row make a window with a 96-bit hash, however few words they have. The first window of equal ones, by (doc_id, line), stays; lines that later ones cover are removed,
 and overlapping covers merge. min_words leaves windows of fewer words uncompared; by default none are.
 
-Windows are counted by the first 64 bits of their hash, the narrowest rows that tell which can be repeated; only those find their places, by joins that Spark may split where a passage is very common.
+Texts are hashed once and their windows stored. These are counted by the first 64 bits of their hash, the narrowest rows that tell which can be repeated; only those find their places, by joins that Spark may split where a passage is very common.
 Cases: null, empty and one- or two-line texts stay as they are; null ids are not compared. Rows may share an id: a place is (doc_id, line), so a window that two such rows have at the same
 line is at one place and stays in both, while at another line it is later and goes; a cover holds for the rows of an id that have its window there. A text that loses nothing stays
 the same to the byte. Columns other than the text pass through unchanged, whatever their names.
@@ -46,18 +46,16 @@ def window_hashes(data: np.ndarray, offsets: np.ndarray, lines: int, min_words:
     return owner, (at - bounds[owner]).astype(np.int32), x[at].view(np.int64), (y[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), start, bounds
 
 
-def windows(docs: DataFrame, lines: int, min_words: int, breaks_only: bool, places: bool) -> DataFrame:
-    """(ha), or with places (doc_id, line, ha, hb): each window by its first line."""
+def windows(docs: DataFrame, lines: int, min_words: int, breaks_only: bool) -> DataFrame:
+    """(doc_id, line, ha, hb): each window by its first line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             owner, line, ha, hb, _, _ = window_hashes(*utf8_of(part.column("text")), lines, min_words, breaks_only)
-            if not places:
-                yield pa.RecordBatch.from_arrays([pa.array(ha)], ["ha"])
-            elif len(owner):
+            if len(owner):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), *map(pa.array, (line, ha, hb))], ["doc_id", "line", "ha", "hb"])
 
-    return docs.filter("doc_id is not null").mapInArrow(run, "doc_id long, line int, ha long, hb int" if places else "ha long")
+    return docs.filter("doc_id is not null").mapInArrow(run, "doc_id long, line int, ha long, hb int")
 
 
 def without(column: pa.Array, data: np.ndarray, offsets: np.ndarray, start: np.ndarray, bounds: np.ndarray, gone: np.ndarray) -> pa.Array:
@@ -80,10 +78,11 @@ def remove_repeats(docs: DataFrame, lines: int = LINES, min_words: int = 0, id_c
     """All columns of docs with the text cleaned, and n_lines, n_removed. docs is read more than once, so it should be a stored table."""
     small_batches(docs.sparkSession)
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    # stored, so that Spark knows the sizes of both sides and may split what a common window puts into one task
-    again = materialise(windows(rows, lines, min_words, breaks_only, False).groupBy("ha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated-hashes")
+    # hashed once; the others are stored, so that Spark knows the sizes of both sides and may split what a common window puts into one task
+    seen = materialise(windows(rows, lines, min_words, breaks_only), "windows")
+    again = materialise(seen.groupBy("ha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated-hashes")
     # the windows that come again, and those whose first 64 bits alone do
-    places = materialise(windows(rows, lines, min_words, breaks_only, True).join(again, "ha", "left_semi"), "repeated-windows")
+    places = materialise(seen.join(again, "ha", "left_semi"), "repeated-windows")
     first = materialise(places.groupBy("ha", "hb").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "first-windows")
     later = places.join(first, ["ha", "hb"]).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))
     # bounded by the windows of one document
