@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from litforge.operators.forest import ONE_TASK, bottlenecks
+
 
 def top_value(df: DataFrame, keys: Sequence[str], value: str, name: str, prefer: Column | None = None) -> DataFrame:
     """The most frequent value of each key (preferred values first, ties by name)."""
@@ -253,33 +255,13 @@ def cosine_links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(na, "a").join(nb, "b").select("a", "b", "n", (F.col("n") / F.sqrt(F.col("n_a").cast("double") * F.col("n_b"))).alias("cosine"))
 
 
-def pathfinder(edges: DataFrame, strength: str = "n", most_edges: int = 2_000_000) -> DataFrame:
+def pathfinder(edges: DataFrame, strength: str = "n", one_task: int = ONE_TASK) -> DataFrame:
     """GRF10: the edges (a, b, strength) of a Pathfinder network over paths of any length, a path being as strong as its weakest link: an edge stays if no path joins its ends by stronger links only.
 
-    Edges are taken from the strongest on; of equal ones all that join different parts stay. For thresholded graphs: the graph goes to one worker, which is checked first.
+    That is so if it is as strong as the strongest path's weakest link, which Borůvka rounds find for all edges together; so equal edges stay or go together, and a graph may be of any size.
     """
-    if edges.limit(most_edges + 1).count() > most_edges:
-        raise ValueError(f"over {most_edges} edges; threshold the graph first")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict = {}
-
-        def root(x: object) -> object:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        kept = []
-        for _, level in pdf.sort_values("s", ascending=False, kind="stable").groupby("s", sort=False):
-            kept.append(level[[root(a) != root(b) for a, b in zip(level["a"], level["b"], strict=True)]])
-            for a, b in zip(level["a"], level["b"], strict=True):
-                parent[root(a)] = root(b)
-        return pd.concat(kept)[["a", "b", "s"]]
-
-    kind = edges.schema[strength].dataType.simpleString()
-    whole = edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col(strength).alias("s")).filter("a <> b and s is not null")
-    return whole.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(run, f"a string, b string, s {kind}").withColumnRenamed("s", strength)
+    whole = edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col(strength).alias("s"))
+    return bottlenecks(whole, one_task)[0].filter("s >= weakest").select("a", "b", F.col("s").alias(strength))
 
 
 def llr_labels(df: DataFrame, cluster: str, term: str, k: int = 5) -> DataFrame:

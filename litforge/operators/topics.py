@@ -62,6 +62,15 @@ def cosine_to_centroid(df: DataFrame, group: str, vector: str, k: int = 15, iden
     return c.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("cosine"), identifier)).cast("long")).filter(F.col("rank") <= k)
 
 
+def principal(df: DataFrame, vector: str, dims: int, out: str) -> DataFrame:
+    """The rows with the first principal components of a vector column without nulls; only a covariance matrix meets in one place."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    x = df.withColumn("_x", array_to_vector(F.col(vector).cast("array<double>")))
+    return PCA(k=dims, inputCol="_x", outputCol="_p").fit(x).transform(x).withColumn(out, vector_to_array("_p")).drop("_x", "_p")
+
+
 def cluster_vectors(df: DataFrame, vector: str, k: int, dims: int = 5, noise: float = 0.95, seed: int = 42) -> DataFrame:
     """VEC2, VEC3: (all columns, cluster_id, probability, outlier_score). Principal components stand in for a manifold projection, k-means with a distance limit for density clustering; both are approximations:
     rows farther from their centre than the given quantile of their cluster's distances are noise (-1)."""

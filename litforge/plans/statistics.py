@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from litforge.functions.text import assign_period
 from litforge.operators import association as A
-from litforge.operators import extraction, graph, linkage, ranking, topics, trend
+from litforge.operators import density, extraction, graph, linkage, ranking, topics, trend
 from litforge.plans.descriptive import CASE, PERIODS, supplied
 from litforge.plans.registry import Tables, query, r, rounded
 
@@ -362,6 +362,14 @@ def vec3(t: Tables) -> DataFrame:
     return topics.cluster_vectors(t.embeddings, "embedding", 10).select("vec_id", "cluster_id", r("probability", 6).alias("probability"), r("outlier_score", 6).alias("outlier_score"))
 
 
+@query("vec3_density_clusters")
+def vec3_density(t: Tables) -> DataFrame:
+    """Clusters by hierarchy are beyond SQL; tests hold the rows against a version that splits from the whole down."""
+    flat = topics.principal(t.embeddings, "embedding", 5, "flat")
+    x = density.density_clusters(flat, "vec_id", "flat", min_cluster=10, min_samples=5, epsilon=0.15)
+    return x.select("vec_id", "cluster_id", r("probability", 6).alias("probability"), r("outlier_score", 6).alias("outlier_score"))
+
+
 @query("agg31_cluster_stats", "SELECT label::BIGINT AS label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS mean_probability, round(avg(embedding[2]::DOUBLE), 6) AS mean_outlier, round(100.0 * count(*) / (SELECT count(*) FROM embeddings), 6)::DOUBLE AS pct FROM embeddings GROUP BY 1")
 def agg31(t: Tables) -> DataFrame:
     x = t.embeddings.select(F.col("label").cast("long").alias("label"), F.get("embedding", 0).cast("double").alias("p"), F.get("embedding", 1).cast("double").alias("o"))

