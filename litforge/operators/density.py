@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litforge.operators.forest import ONE_TASK, parts_of
-from litforge.operators.neighbors import Cells, exact, matrix, nearest_neighbours, squares
+from litforge.operators.neighbors import BLOCK, Cells, exact, matrix, nearest_neighbours, squares
 from litforge.operators.running import placed
 from litforge.scratch import stored
 
@@ -262,7 +262,7 @@ def selected(clusters: DataFrame, epsilon: float) -> DataFrame:
     return topmost(clusters, climbs)
 
 
-def density_clusters(df: DataFrame, identifier: str, vector: str, min_cluster: int = 50, min_samples: int = 5, epsilon: float = 0.0, listed: int = 15, level: int = LEVEL, block: int = 2048, one_task: int = ONE_TASK) -> DataFrame:
+def density_clusters(df: DataFrame, identifier: str, vector: str, min_cluster: int = 50, min_samples: int = 5, epsilon: float = 0.0, listed: int = 15, level: int = LEVEL, block: int = BLOCK, one_task: int = ONE_TASK) -> DataFrame:
     """VEC3: (identifier, cluster_id, probability, outlier_score) for each row. Clusters are numbered by size (ties by smallest identifier); -1 is noise.
 
     ``min_samples`` other points make a place dense; ``min_cluster`` points make a cluster; clusters that join within ``epsilon`` are one. Identifiers are whole numbers and distinct. Vectors that are null, of another length than

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from litforge.operators.forest import ONE_TASK, bottlenecks
+from litforge.operators.running import placed
+from litforge.scratch import stored
 
 
 def top_value(df: DataFrame, keys: Sequence[str], value: str, name: str, prefer: Column | None = None) -> DataFrame:
@@ -105,15 +107,125 @@ def within_strength(edges: DataFrame, membership: DataFrame, k: int = 15) -> Dat
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("community").orderBy(F.desc("strength"), "node")).cast("long")).filter(F.col("rank") <= k)
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, least: int = 1, most_edges: int = 2_000_000) -> DataFrame:
-    """GRF2: (node, community) by local moving and aggregation, nodes in order of name, so that it needs no seed; communities are numbered by size, those under ``least`` nodes go.
+def louvain(edges: DataFrame, resolution: float = 1.0, least: int = 1, one_task: int = ONE_TASK) -> DataFrame:
+    """GRF2: (node, community) of a graph (a, b, n) by local moves and folding; communities are numbered by size (ties by smallest node), those under ``least`` nodes go. No seed: all choices go by weight and name.
 
-    For co-occurrence graphs of thresholded top items: the graph goes to one worker, which is checked first.
+    A graph of more than ``one_task`` edges takes levels of rounds in which all nodes move at once (``moved``), and is folded after each; what is left at or below that count, as checked, one task finishes node by node.
+    When communities no longer merge, nodes move once more from where they are, and if any does, levels start anew.
     """
-    if edges.limit(most_edges + 1).count() > most_edges:
-        raise ValueError(f"over {most_edges} edges; threshold the graph first")
+    lo, hi = F.least(F.col("a").cast("string"), F.col("b").cast("string")), F.greatest(F.col("a").cast("string"), F.col("b").cast("string"))
+    both_ends = F.when(lo == hi, 2.0).otherwise(1.0)  # a loop counts at both ends, here as in folded graphs
+    graph = edges.filter("a is not null and b is not null and n > 0").select(lo.alias("a"), hi.alias("b"), (F.col("n").cast("double") * both_ends).alias("n"))
+    graph = stored(graph.groupBy("a", "b").agg(F.sum("n").alias("n")), "graph")
+    whole = graph
+    home = graph.select(F.col("a").alias("node")).unionAll(graph.select("b")).distinct().withColumn("community", F.col("node"))
+    if graph.count() <= one_task:
+        home = stored(_in_one_task(graph, resolution), "home")
+    else:
+        parts, moves = moved(graph, resolution)
+        while moves:
+            home = stored(_through(home, parts), "home")
+            graph = stored(folded(graph, parts), "graph")
+            if graph.count() <= one_task:
+                home, moves = stored(_through(home, _in_one_task(graph, resolution)), "home"), False
+            else:
+                parts, moves = moved(graph, resolution)
+            if not moves:  # the communities stand; once more node by node, from where they are
+                parts, moves = moved(whole, resolution, home)
+                graph = whole
+                if moves:
+                    home = whole.select(F.col("a").alias("node")).unionAll(whole.select("b")).distinct().withColumn("community", F.col("node"))
+    sizes = home.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).filter(F.col("size") >= least)
+    number = placed(sizes, [F.desc("size"), "first"], "k").select("community", (F.col("k") - 1).alias("number"))
+    return home.join(number, "community").select("node", F.col("number").alias("community"))
+
+
+def _in_one_task(graph: DataFrame, resolution: float) -> DataFrame:
+    return graph.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(_local_communities(resolution), "node string, community string")
+
+
+def _through(home: DataFrame, parts: DataFrame) -> DataFrame:
+    """Nodes with the community that their community went to."""
+    step = parts.select(F.col("node").alias("_node"), F.col("community").alias("_to"))
+    return home.join(step, F.col("community") == F.col("_node"), "left").select("node", F.coalesce("_to", "community").alias("community"))
+
+
+def folded(graph: DataFrame, parts: DataFrame) -> DataFrame:
+    """The graph of the communities: weights between them, and loops that count weights within them at both ends."""
+    for end in "ab":
+        graph = graph.join(parts.select(F.col("node").alias(end), F.col("community").alias(f"c{end}")), end)
+    inner = F.when((F.col("ca") == F.col("cb")) & (F.col("a") != F.col("b")), 2.0).otherwise(1.0)
+    return graph.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), (F.col("n") * inner).alias("n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def moved(graph: DataFrame, resolution: float = 1.0, start: DataFrame | None = None, gain: float = 1e-7) -> tuple[DataFrame, bool]:
+    """One level of Louvain in rounds, from every node alone or from given communities: (node, community), and whether anything moved. Loops of the graph count both ends.
+
+    In a round every node names the community that gains most. Those whose new community has a smaller name move together in one round, those with a greater name in the next, so that no two nodes swap for ever. If that does not
+    raise the modularity, only moves are made that are the best of both communities they touch: they share no community, so their gains add up. Thus modularity rises from round to round, and rounds end.
+    """
+    sym = graph.filter("a <> b").select("a", "b", "n").unionAll(graph.filter("a <> b").select("b", "a", "n"))
+    sym = stored(sym, "sym")
+    k = sym.select("a", "n").unionAll(graph.filter("a = b").select("a", "n")).groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("k"))
+    k = k.withColumn("c", F.col("node")) if start is None else k.join(start.select("node", F.col("community").alias("c")), "node")
+    labels = stored(k.select("node", "k", "c"), "labels")
+    whole = labels.agg(F.sum("k")).first()[0]
+    if not whole:
+        return labels.select("node", F.col("c").alias("community")), False
+
+    def score(labels: DataFrame) -> float:
+        near = labels.select(F.col("node").alias("b"), F.col("c").alias("cb"))
+        inside = sym.join(labels.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(near, "b").filter("ca = cb").agg(F.sum("n").alias("i"))
+        spread = labels.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.pow(F.col("t") / whole, 2)).alias("s"))
+        r = inside.crossJoin(spread).first()  # one row each; loops are the same in all partitions
+        return (r["i"] or 0.0) / whole - resolution * r["s"]
+
+    def wishes(labels: DataFrame) -> DataFrame:
+        total = labels.groupBy("c").agg(F.sum("k").alias("t"))
+        links = sym.join(labels.select(F.col("node").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("n").alias("w"))
+        own = labels.join(total, "c").select(F.col("node").alias("a"), F.col("c").alias("c0"), "k", F.col("t").alias("t0"))
+        x = links.join(own, "a").join(total, "c")
+        worth = F.col("w") - resolution * F.col("k") * (F.col("t") - F.when(F.col("c") == F.col("c0"), F.col("k")).otherwise(0.0)) / whole
+        x = x.withColumn("g", worth).groupBy("a", "c0").agg(
+            F.min(F.when(F.col("c") != F.col("c0"), F.struct((-F.round("g", 12)).alias("g"), F.col("c").alias("c")))).alias("best"),
+            F.coalesce(F.max(F.when(F.col("c") == F.col("c0"), F.col("g"))), F.first(-resolution * F.col("k") * (F.col("t0") - F.col("k")) / whole)).alias("stay"),
+        )
+        return x.select(F.col("a").alias("node"), "c0", F.col("best.c").alias("c1"), (-F.col("best.g") - F.col("stay")).alias("more")).filter(F.col("more") > 1e-9)
+
+    def made(labels: DataFrame, moves: DataFrame) -> DataFrame:
+        to = moves.select("node", F.col("c1").alias("_to"))
+        return stored(labels.join(to, "node", "left").select("node", "k", F.coalesce("_to", "c").alias("c")), "labels")
+
+    now, any_move, down = score(labels), False, True
+    while True:
+        moves = stored(wishes(labels), "wishes")
+        if moves.isEmpty():
+            break
+        after = None
+        for way in (down, not down):
+            some = moves.filter("c1 < c0" if way else "c1 > c0")
+            if not some.isEmpty():
+                trial = made(labels, some)
+                value = score(trial)
+                if value > now + gain:
+                    labels, after, down = trial, value, not way
+                    break
+        if after is None:
+            ends = moves.select(F.explode(F.array("c0", "c1")).alias("c"), F.struct("more", "node").alias("m")).groupBy("c").agg(F.max("m")["node"].alias("best"))
+            apart = moves
+            for c in ("c0", "c1"):
+                apart = apart.join(ends.select(F.col("c").alias(c), F.col("best").alias("node")), [c, "node"], "left_semi")
+            trial = made(labels, apart)
+            value = score(trial)
+            if value <= now + gain:
+                break
+            labels, after = trial, value
+        now, any_move = after, True
+    return labels.select("node", F.col("c").alias("community")), any_move
 
-    def run(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+
+def _local_communities(resolution: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["a"]) | set(pdf["b"]))
         place = {n: i for i, n in enumerate(names)}
         graph: list[dict[int, float]] = [{} for _ in names]
@@ -122,34 +234,37 @@ def louvain(edges: DataFrame, resolution: float = 1.0, least: int = 1, most_edge
             graph[i][j] = graph[i].get(j, 0) + w
             if i != j:
                 graph[j][i] = graph[j].get(i, 0) + w
-        belongs = list(range(len(names)))
-        while True:
-            home, moved = _local_moves(graph, resolution)
-            if not moved:
-                break
+        whole, belongs, level = graph, list(range(len(names))), graph
+        home, moved = _local_moves(whole, resolution, belongs)
+        while moved:
             order = {c: k for k, c in enumerate(sorted(set(home)))}
             merged: list[dict[int, float]] = [{} for _ in order]
-            for i, near in enumerate(graph):
+            for i, near in enumerate(level):
                 for j, w in near.items():
                     a, b = order[home[i]], order[home[j]]
                     merged[a][b] = merged[a].get(b, 0) + w
             belongs = [order[home[g]] for g in belongs]
-            graph = merged
-        sizes: dict[int, int] = {}
-        for g in belongs:
-            sizes[g] = sizes.get(g, 0) + 1
-        number = {g: i for i, g in enumerate(sorted((g for g in sizes if sizes[g] >= least), key=lambda g: (-sizes[g], g)))}
-        kept = [(n, number[g]) for n, g in zip(names, belongs, strict=True) if g in number]
-        return pd.DataFrame(kept, columns=["node", "community"])
-
-    return edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("n").cast("double").alias("n"), F.lit("all").alias("g")).groupBy("g").applyInPandas(run, "node string, community long")
-
-
-def _local_moves(graph: list[dict[int, float]], resolution: float) -> tuple[list[int], bool]:
-    """Each node to the neighbouring community with the greatest gain, until none moves. Loops of an aggregated graph count both ends already."""
+            level = merged
+            home, moved = _local_moves(level, resolution, list(range(len(level))))
+            if not moved:  # the communities stand; once more node by node, from where they are
+                level = whole
+                home, moved = _local_moves(whole, resolution, belongs)
+                belongs = list(range(len(names))) if moved else belongs
+        first: dict[int, str] = {}
+        for n, g in zip(names, belongs, strict=True):
+            first.setdefault(g, n)
+        return pd.DataFrame([(n, first[g]) for n, g in zip(names, belongs, strict=True)], columns=["node", "community"])
+
+    return run
+
+
+def _local_moves(graph: list[dict[int, float]], resolution: float, start: list[int]) -> tuple[list[int], bool]:
+    """Each node to the neighbouring community with the greatest gain, from where it is, until none moves. Loops of an aggregated graph count both ends already."""
     strength = [sum(near.values()) for near in graph]
     whole = sum(strength)
-    home, total, any_move = list(range(len(graph))), list(strength), False
+    home, total, any_move = list(start), [0.0] * len(graph), False
+    for i, c in enumerate(home):
+        total[c] += strength[i]
     again = True
     while again and whole:
         again = False
@@ -170,8 +285,6 @@ def _local_moves(graph: list[dict[int, float]], resolution: float) -> tuple[list
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """A distributed stand-in for Louvain on large graphs: each node takes the label with most weight among its neighbours, ties to the smallest; a fixed number of stored rounds."""
-    from litforge.scratch import stored
-
     both = stored(edges.select("a", "b", "n").unionAll(edges.select("b", "a", "n")), "sym")
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
@@ -201,44 +314,34 @@ def three_fields(df: DataFrame, a: str, b: str, c: str, ks: tuple[int, int, int]
 
 
 def bursts(df: DataFrame, item: str, time: str, s: float = 2.0, gamma: float = 1.0) -> DataFrame:
-    """GRF10: (item, first, last, weight) of burst periods by the two-state automaton: an item's share of each period's records, in a base and a raised state, cheapest path of states."""
-    total = df.groupBy(time).agg(F.count(F.lit(1)).alias("d"))
-    counts = df.groupBy(item, time).agg(F.count(F.lit(1)).alias("r"))
+    """GRF10: (item, first, last, weight) of burst periods by the two-state automaton: an item's share of each period's records, in a base and a raised state, cheapest path of states.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import math
-
-        out, pdf = [], pdf.sort_values("t")
-        r, d, t = pdf["r"].tolist(), pdf["d"].tolist(), pdf["t"].tolist()
-        p0 = sum(r) / sum(d)
-        p = (p0, min(0.9999, p0 * s))
-        if 0 < p0 < 1:
-            cost = lambda k, i: -(math.lgamma(d[i] + 1) - math.lgamma(r[i] + 1) - math.lgamma(d[i] - r[i] + 1) + r[i] * math.log(p[k]) + (d[i] - r[i]) * math.log(1 - p[k]))
-            up = gamma * math.log(len(r) + 1)
-            best, back = [0.0, up], []
-            for i in range(len(r)):
-                step = [(0, best[0]) if best[0] <= best[1] else (1, best[1]), (0, best[0] + up) if best[0] + up < best[1] else (1, best[1])]
-                back.append([q for q, _ in step])
-                best = [v + cost(k, i) for k, (_, v) in enumerate(step)]
-            k, states = int(best[1] < best[0]), []
-            for i in range(len(r) - 1, -1, -1):
-                states.append(k)
-                k = back[i][k]
-            states.reverse()
-            i = 0
-            while i < len(r):
-                if states[i]:
-                    j = i
-                    while j + 1 < len(r) and states[j + 1]:
-                        j += 1
-                    out.append((str(pdf["i"].iloc[0]), t[i], t[j], sum(cost(0, q) - cost(1, q) for q in range(i, j + 1))))
-                    i = j
-                i += 1
-        return pd.DataFrame(out, columns=["item", "first", "last", "weight"])
-
-    # a row for each item and period: a group has as many rows as there are periods
-    grid = counts.select(item).distinct().crossJoin(F.broadcast(total)).join(counts, [item, time], "left")
-    return grid.select(F.col(item).alias("i"), F.col(time).cast("long").alias("t"), F.coalesce("r", F.lit(0)).alias("r"), "d").groupBy("i").applyInPandas(run, "item string, first long, last long, weight double")
+    A fold over the periods in order keeps the cheapest path to either state, with the bursts that the path has closed and the one it has open; so nothing is walked back, and no Python is involved. A row holds as many entries as there are periods.
+    """
+    each = df.filter(F.col(item).isNotNull() & F.col(time).isNotNull()).groupBy(F.col(item).cast("string").alias("item"), F.col(time).cast("long").alias("t")).agg(F.count(F.lit(1)).alias("r"))
+    periods = each.groupBy("t").agg(F.sum("r").alias("d")).agg(F.array_sort(F.collect_list(F.struct("t", "d"))).alias("periods"), F.sum("d").cast("double").alias("whole"))  # one row
+    x = each.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("t", "r"))).alias("seen"), F.sum("r").cast("double").alias("n")).crossJoin(F.broadcast(periods))
+    p0 = F.col("n") / F.col("whole")
+    x = x.withColumns({"p0": p0, "p1": F.least(F.lit(0.9999), p0 * s), "up": gamma * F.log(F.size("periods") + F.lit(1.0))}).filter("p0 > 0 and p0 < 1")
+    steps = F.transform("periods", lambda p: F.struct(p["t"].alias("t"), F.coalesce(F.try_element_at("seen", p["t"]), F.lit(0)).alias("r"), p["d"].alias("d")))
+    burst = "struct<first:bigint,last:bigint,weight:double>"
+    path = lambda v, done, open_: F.struct(v.cast("double").alias("v"), done.alias("done"), open_.cast(burst).alias("open"))
+    none, closed = F.lit(None).cast(burst), F.array().cast(f"array<{burst}>")
+    # the part of a cost that both states share is left out, as it decides nothing
+    cost = lambda q, p: -(q["r"] * F.log(p) + (q["d"] - q["r"]) * F.log(1 - p))
+    shut = lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"])))
+
+    def step(a: Column, q: Column) -> Column:
+        base, raised, low, high = a["base"], a["raised"], cost(q, F.col("p0")), cost(q, F.col("p1"))
+        longer = lambda b: F.struct(F.coalesce(b["first"], q["t"]).alias("first"), q["t"].alias("last"), (F.coalesce(b["weight"], F.lit(0.0)) + low - high).alias("weight"))
+        stays, rises = base["v"] <= raised["v"], base["v"] + F.col("up") < raised["v"]
+        to_base = F.when(stays, path(base["v"] + low, base["done"], none)).otherwise(path(raised["v"] + low, shut(raised), none))
+        to_raised = F.when(rises, path(base["v"] + F.col("up") + high, base["done"], longer(none))).otherwise(path(raised["v"] + high, raised["done"], longer(raised["open"])))
+        return F.struct(to_base.alias("base"), to_raised.alias("raised"))
+
+    start = F.struct(path(F.lit(0.0), closed, none).alias("base"), path(F.col("up"), closed, none).alias("raised"))
+    ends = F.aggregate(steps, start, step, lambda a: F.when(a["raised"]["v"] < a["base"]["v"], shut(a["raised"])).otherwise(shut(a["base"])))
+    return x.select("item", F.explode(ends).alias("b")).select("item", "b.first", "b.last", "b.weight")
 
 
 def g_index_nodes(df: DataFrame, period: str, item: str, weight: str, k: int = 25) -> DataFrame:

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from litforge.functions.text import indel_ratio, safe_prefilter, token_sorted
+from litforge.operators.segments import candidates
 from litforge.scratch import stored
 
 BROADCAST_ROWS = 100_000
+DIRECT = 500  # texts of a block up to which all its pairs are looked at
 
 
 def has_key(c: str) -> Column:
@@ -44,24 +46,37 @@ def survivorship(df: DataFrame, key: str, order: Sequence[Column], source: str,
     return out.select(key, "row.*", *maxes, *filled, "source_list", F.size("source_list").alias("source_count"), F.transform("ids", lambda x: x[identifier]).alias("id_list"), "n_merged")
 
 
-def block_pairs(df: DataFrame, identifier: str, blocks: Sequence[str], text: str, threshold: float, metric: str = "indel") -> DataFrame:
-    """JON10, FUZ1: pairs of a block, smaller id first, whose texts are alike by the threshold.
+def block_pairs(df: DataFrame, identifier: str, blocks: Sequence[str], text: str, threshold: float, metric: str = "indel", direct: int = DIRECT) -> DataFrame:
+    """JON10, FUZ1: pairs of a block, smaller id first, whose texts are alike by the threshold (over 50). Identifiers are distinct; null texts are like nothing.
 
-    Equal texts of a block become one class first. The join has the block as key, the length band and the bounded edit distance as conditions; only what passes both reaches the Arrow UDF.
+    Equal texts of a block become one class first. Blocks of up to ``direct`` classes are joined with themselves; larger ones go by an exact index of segments, so that a hot block costs no square.
+    Length band and bounded edit distance come before the ratio, so only what passes both reaches the Arrow UDF.
     """
-    classes = df.groupBy(*blocks, text).agg(F.min(identifier).alias("rep"))
+    if not 50 < threshold <= 100:
+        raise ValueError("the threshold lies over 50 and up to 100")
+    classes = df.filter(F.col(text).isNotNull()).groupBy(*blocks, text).agg(F.min(identifier).alias("rep"))
     copies = df.join(classes, [*blocks, text]).filter(F.col(identifier) != F.col("rep")).select(F.col("rep").alias("a"), F.col(identifier).alias("b"), F.lit(100.0).alias("score"))
-    l, r = classes.alias("l"), classes.alias("r")
+    classes = stored(classes, "classes")
+    large = classes.groupBy(*blocks).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > direct).drop("_n")
+    large = stored(large, "hot")
+    hot = not large.isEmpty()
+    few = classes.join(large, list(blocks), "left_anti") if hot else classes
+    l, r = few.alias("l"), few.alias("r")
     same = [F.col(f"l.{b}") == F.col(f"r.{b}") for b in blocks]
-    x, y = F.col(f"l.{text}"), F.col(f"r.{text}")
+    x, y = F.col("x"), F.col("y")
     # 2 * common / total can reach the threshold only if the shorter one is long enough
-    band = 200.0 * F.least(F.length(x), F.length(y)) >= threshold * (F.length(x) + F.length(y))
-    pairs = l.join(r, [*same, F.col("l.rep") < F.col("r.rep"), band])
+    band = 200.0 * F.least(F.length(f"l.{text}"), F.length(f"r.{text}")) >= threshold * (F.length(f"l.{text}") + F.length(f"r.{text}"))
+    pairs = l.join(r, [*same, F.col("l.rep") < F.col("r.rep"), band]).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"), F.col(f"l.{text}").alias("x"), F.col(f"r.{text}").alias("y"))
+    if hot:
+        many = classes.join(large, list(blocks), "left_semi")
+        for_end = lambda id_, h, t: many.select(F.col("rep").alias(id_), F.xxhash64(text).alias(h), F.col(text).alias(t)).distinct()
+        found = candidates(many, blocks, "rep", text, threshold, metric)
+        pairs = pairs.unionAll(found.join(for_end("a", "ha", "x"), ["a", "ha"]).join(for_end("b", "hb", "y"), ["b", "hb"]).select("a", "b", "x", "y"))
     if metric == "indel":
         pairs = pairs.filter(safe_prefilter(x, y, threshold)).withColumn("score", indel_ratio(x, y))
     else:
         pairs = pairs.withColumn("score", 100.0 * (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))))
-    return pairs.filter(F.col("score") >= threshold).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"), "score").unionAll(copies)
+    return pairs.filter(F.col("score") >= threshold).select("a", "b", "score").unionAll(copies)
 
 
 def connected_components(pairs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Exact neighbour searches in Euclidean space: points are dealt to cells around pivots and to rings within a cell, and a search visits only rings that can hold something nearer than its bound.
 
 By the triangle inequality a point at distance x from a pivot lies at least \\|y - x\\| from a query at distance y. Pivots are at most 512 of the points;
-rings hold about BLOCK points each, so that their bounds (a number a ring) are a two-thousandth of the points. A group is a block of points and a part of the queries that visit it,
+rings hold about BLOCK points each, so that their bounds (a number a ring) are a five-hundredth of the points. A group is a block of points and a part of the queries that visit it,
 both of bounded size, whatever the points are like.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from litforge.scratch import stored
 
-BLOCK, PIVOTS, VISITORS = 2048, 512, 8192
+BLOCK, PIVOTS, VISITORS = 512, 512, 8192
 LISTS = ("id", "v", "m", "cell", "ring", "sub", "dp")
 
 
@@ -63,7 +63,7 @@ class Cells:
 
     def __init__(self, points: DataFrame, block: int = BLOCK, pivots: int = PIVOTS):
         n = points.count()
-        k = int(min(pivots, max(1, n // block)))
+        k = int(min(pivots, max(1, 2 * n // block)))
         first = points.select("id", "v", F.xxhash64("id").alias("_h")).orderBy("_h", "id").limit(k).collect()  # at most PIVOTS rows
         self.ids, self.n = np.array([r["id"] for r in first], np.int64), n
         self.pivots = p = np.array([r["v"] for r in first], np.float64).reshape(len(first), -1)
@@ -78,15 +78,18 @@ class Cells:
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
         dealt = stored(points.mapInArrow(assign, f"{kinds}, cell int, dp double"), "cells")
         sizes = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dp").alias("r")).collect()  # a row a pivot
-        rings = max([1, *[-(-s["n"] // block) for s in sizes]])
+        per = {s["cell"]: -(-s["n"] // block) for s in sizes}
+        most = max([1, *per.values()])
         cuts: dict[int, list[float]] = {}
-        if rings > 1:
-            shares = [i / rings for i in range(1, rings)]
-            cuts = {r["cell"]: r["q"] for r in dealt.groupBy("cell").agg(F.percentile_approx("dp", shares, 10_000).alias("q")).collect()}  # a number a ring
-        self.edges = {s["cell"]: np.array(sorted({*cuts.get(s["cell"], [])})) for s in sizes}
+        if most > 1:
+            shares = [i / most for i in range(1, most)]
+            large = dealt.filter(F.col("cell").isin([c for c, r in per.items() if r > 1]))
+            cuts = {r["cell"]: r["q"] for r in large.groupBy("cell").agg(F.percentile_approx("dp", shares, 10_000).alias("q")).collect()}  # a number a ring
+        # a cell takes as many of the cuts as it needs
+        self.edges = {c: np.array(sorted({cuts[c][i * most // r - 1] for i in range(1, r)} if c in cuts else set())) for c, r in per.items()}
         edges = self.edges
 
-        if rings == 1:  # nothing to part
+        if most == 1:  # nothing to part
             self.rings = sorted((s["cell"], 0, 0.0, s["r"], 1) for s in sizes)
             self.points = dealt.withColumns({"ring": F.lit(0), "sub": F.lit(0)})
             return

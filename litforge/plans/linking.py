@@ -129,6 +129,14 @@ def fuz1(t: Tables) -> DataFrame:
     return rounded(linkage.block_pairs(t.part, "p_partkey", ["p_brand", "p_type"], "p_name", 80.0))
 
 
+@query("jon10_segment_index", """WITH p AS (SELECT l.p_partkey AS a, r.p_partkey AS b, l.p_name AS x, r.p_name AS y FROM part l JOIN part r ON l.p_brand = r.p_brand AND l.p_partkey < r.p_partkey),
+    s AS (SELECT a, b, 100.0 * (1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y), 1)) AS score FROM p), rep AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_name) AS rep FROM part)
+    SELECT a, b, round(score, 4) AS score FROM s WHERE score >= 75 AND a IN (SELECT rep FROM rep) AND (b IN (SELECT rep FROM rep) OR (SELECT rep FROM rep WHERE p_partkey = b) = a)""")
+def jon10_segments(t: Tables) -> DataFrame:
+    """Blocks as if all were hot: candidates by the index of segments alone."""
+    return rounded(linkage.block_pairs(t.part, "p_partkey", ["p_brand"], "p_name", 75.0, metric="levenshtein", direct=0))
+
+
 COMPONENTS = f"""e AS (SELECT a, b FROM ({PAIRS}) JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b WHERE 100.0 * (1 - levenshtein(x.p_name, y.p_name)::DOUBLE / greatest(length(x.p_name), length(y.p_name), 1)) >= 60),
     both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT DISTINCT a AS id, a AS c FROM both_ UNION SELECT w.id, x.b FROM w JOIN both_ x ON x.a = w.c)"""
 

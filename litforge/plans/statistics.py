@@ -246,7 +246,9 @@ def louvain(t: Tables) -> DataFrame:
     return graph.louvain(network(t)[0])
 
 
-@query("grf2_label_propagation")
+@query("grf2_label_propagation", f"""WITH {NET}, sym AS (SELECT a, b, n FROM net UNION ALL SELECT b, a, n FROM net), l0 AS (SELECT DISTINCT a AS v, a AS c FROM sym),
+    {", ".join(f"w{k} AS (SELECT sym.a AS v, l{k - 1}.c, sum(sym.n) AS w FROM sym JOIN l{k - 1} ON l{k - 1}.v = sym.b GROUP BY 1, 2), l{k} AS (SELECT v, c FROM w{k} QUALIFY row_number() OVER (PARTITION BY v ORDER BY w DESC, c) = 1)" for k in (1, 2, 3))}
+    SELECT v AS node, c AS community FROM l3""")
 def propagation(t: Tables) -> DataFrame:
     return graph.label_propagation(network(t)[0], 3)
 
@@ -259,9 +261,17 @@ def grf9(t: Tables) -> DataFrame:
     return rounded(graph.thematic_map(net, counts, mem), 6)
 
 
-@query("grf10_bursts")
+@query("grf10_bursts", """WITH RECURSIVE ev AS (SELECT event_type::VARCHAR AS item, dayofyear(ts)::BIGINT AS t FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL), n AS (SELECT item, t, count(*) AS r FROM ev GROUP BY 1, 2),
+    d AS (SELECT t, count(*)::DOUBLE AS d, row_number() OVER (ORDER BY t) AS i FROM ev GROUP BY 1), p AS (SELECT item, count(*)::DOUBLE / (SELECT count(*) FROM ev) AS p0 FROM ev GROUP BY 1),
+    g AS (SELECT p.item, d.i, d.t, coalesce(n.r, 0)::DOUBLE AS r, d.d, p0, least(0.9999, 1.2 * p0) AS p1, 0.2 * ln((SELECT count(*) FROM d) + 1.0) AS up FROM p CROSS JOIN d LEFT JOIN n ON n.item = p.item AND n.t = d.t WHERE p0 > 0 AND p0 < 1),
+    k AS (SELECT *, -(r * ln(p0) + (d - r) * ln(1 - p0)) AS c0, -(r * ln(p1) + (d - r) * ln(1 - p1)) AS c1 FROM g),
+    f AS (SELECT item, 0::BIGINT AS i, 0.0::DOUBLE AS b0, max(up)::DOUBLE AS b1, 0 AS f0, 1 AS f1 FROM k GROUP BY 1
+        UNION ALL SELECT k.item, k.i, least(b0, b1) + c0, CASE WHEN b0 + up < b1 THEN b0 + up ELSE b1 END + c1, CASE WHEN b0 <= b1 THEN 0 ELSE 1 END, CASE WHEN b0 + up < b1 THEN 0 ELSE 1 END FROM f JOIN k ON k.item = f.item AND k.i = f.i + 1),
+    s AS (SELECT item, i, CASE WHEN b1 < b0 THEN 1 ELSE 0 END AS state, f0, f1 FROM f WHERE i = (SELECT max(i) FROM d) UNION ALL SELECT f.item, f.i, CASE s.state WHEN 0 THEN s.f0 ELSE s.f1 END, f.f0, f.f1 FROM s JOIN f ON f.item = s.item AND f.i = s.i - 1 WHERE s.i > 1),
+    b AS (SELECT s.item, k.t, c0 - c1 AS w, s.i - row_number() OVER (PARTITION BY s.item ORDER BY s.i) AS run FROM s JOIN k ON k.item = s.item AND k.i = s.i WHERE state = 1)
+    SELECT item, min(t) AS first, max(t) AS last, round(sum(w), 4) AS weight FROM b GROUP BY item, run""")
 def grf10(t: Tables) -> DataFrame:
-    """A two-state automaton over days; iterative, tested by brute force over state paths."""
+    """A two-state automaton over days."""
     x = t.events.select("event_type", F.dayofyear("ts").alias("day"))
     return rounded(graph.bursts(x, "event_type", "day", 1.2, 0.2), 4)
 
@@ -365,7 +375,7 @@ def vec3(t: Tables) -> DataFrame:
 @query("vec3_density_clusters")
 def vec3_density(t: Tables) -> DataFrame:
     """Clusters by hierarchy are beyond SQL; tests hold the rows against a version that splits from the whole down."""
-    flat = topics.principal(t.embeddings, "embedding", 5, "flat")
+    flat = topics.principal(t.embeddings, "embedding", 3, "flat")
     x = density.density_clusters(flat, "vec_id", "flat", min_cluster=10, min_samples=5, epsilon=0.15)
     return x.select("vec_id", "cluster_id", r("probability", 6).alias("probability"), r("outlier_score", 6).alias("outlier_score"))
 

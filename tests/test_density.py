@@ -151,7 +151,7 @@ def test_density_edges(spark):
 
 def test_density_query_by_brute_force(spark):
     folder = "/root/testdata/sf0.001"
-    rows = topics.principal(spark.read.parquet(f"{folder}/embeddings.parquet"), "embedding", 5, "flat").orderBy("vec_id").collect()
+    rows = topics.principal(spark.read.parquet(f"{folder}/embeddings.parquet"), "embedding", 3, "flat").orderBy("vec_id").collect()
     x = np.array([r["flat"] for r in rows], np.float64)
     got = {r["vec_id"]: (r["cluster_id"], r["probability"], r["outlier_score"]) for r in QUERIES["vec3_density_clusters"](spark, folder).collect()}
     same([got[r["vec_id"]] for r in rows], clusters_top_down(x, 10, 5, 0.15))

@@ -2,13 +2,17 @@
 
 import itertools
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from litforge.functions import text as X
 from litforge.operators import association as A
 from litforge.operators import extraction, graph, laws, linkage, ranking, running, topics, trend
+from litforge.operators.segments import candidates
+from litforge.scratch import stored
 from litforge.sources import records as R
 from litforge.sources import sinks
 
@@ -280,6 +284,75 @@ def test_louvain_and_modularity(spark):
     assert q == pytest.approx(max(score(edges, p) for p in partitions(list("abcdefg"))))
 
 
+@pytest.mark.parametrize("one_task", [0, 60])
+def test_louvain_rounds(spark, one_task):
+    """Rounds in which all move at once give no less modularity than node by node, lose no node, and number communities by size."""
+    rng = random.Random(2)
+    edges = [(f"n{a:02d}", f"n{b:02d}", rng.randint(1, 3)) for a in range(60) for b in range(a + 1, 60) if rng.random() < (0.4 if a % 4 == b % 4 else 0.04)] + [("n00", "n00", 2), ("loop", "loop", 1), ("p", "q", 1)]
+    df = frame(spark, edges, "a string, b string, n long")
+    alone, rounds = graph.louvain(df), stored(graph.louvain(df, one_task=one_task))
+    value = lambda m: graph.modularity(df, m).first()["modularity"]
+    assert value(rounds) >= value(stored(alone)) - 1e-9 and value(rounds) > 0.3
+    home = {r["node"]: r["community"] for r in rounds.collect()}
+    assert set(home) == {x for a, b, _ in edges for x in (a, b)}
+    sizes = Counter(home.values())
+    assert sorted(sizes) == list(range(len(sizes))) and [sizes[c] for c in range(len(sizes))] == sorted(sizes.values(), reverse=True)
+    assert graph.louvain(df.limit(0), one_task=one_task).count() == 0
+    assert {r["node"] for r in graph.louvain(df, least=3, one_task=one_task).collect()} == {n for n in home if sizes[home[n]] >= 3}
+
+
+@pytest.mark.parametrize("metric,threshold", [("indel", 86.0), ("levenshtein", 80.0), ("indel", 60.0)])
+def test_segment_index_by_brute_force(spark, metric, threshold):
+    """One block of 3,000 texts, of which the index looks at few pairs and misses none; all pairs are held against a bound from their letters first."""
+    rng = random.Random(4)
+    n = 3000 if threshold > 70 else 300
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    words = ["".join(rng.choices(letters[:26], k=rng.randint(2, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(2, 8))) for _ in range(n * 3 // 4)]
+    while len(texts) < n:
+        t = list(rng.choice(texts))
+        for _ in range(rng.randint(1, 6)):
+            p = rng.randrange(len(t) + 1)
+            t[p : p + rng.randint(0, 1)] = rng.choice(["", *letters])
+        texts.append("".join(t))
+    texts = list(dict.fromkeys([*texts, "", "a", "ab", "abc"]))
+    count = np.array([[t.count(c) for c in letters] for t in texts])
+    size = count.sum(1)
+    want = set()
+    for i in range(len(texts)):
+        common = np.minimum(count[i], count[:i]).sum(1)
+        far = 200.0 * common / np.maximum(size[i] + size[:i], 1) if metric == "indel" else 100.0 * common / np.maximum(np.maximum(size[i], size[:i]), 1)
+        for j in np.flatnonzero(far >= threshold - 1e-9).tolist():
+            a, b = texts[j], texts[i]
+            value = 200.0 * brute_lcs(a, b) / (len(a) + len(b)) if metric == "indel" else 100.0 * (1 - brute_levenshtein(a, b) / max(len(a), len(b)))
+            if value >= threshold:
+                want.add((j, i))
+    df = frame(spark, [(i, "x", t) for i, t in enumerate(texts)], "id long, b string, t string")
+    assert {(r["a"], r["b"]) for r in linkage.block_pairs(df, "id", ["b"], "t", threshold, metric, direct=0).collect()} == want and len(want) > 50
+    if threshold > 70:
+        assert candidates(df, ["b"], "id", "t", threshold, metric).count() < 0.02 * len(texts) * (len(texts) - 1) / 2
+
+
+def brute_levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_block_pairs_mixes_both_ways(spark):
+    """Hot and small blocks in one table, and null texts and blocks, give what small blocks alone do."""
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["x", "x", "x", "y", None]), rng.choice([None, "", *["".join(rng.choices("abc", k=rng.randint(3, 7))) for _ in range(4)]])) for i in range(300)]
+    df = frame(spark, rows, "id long, b string, t string")
+    plain, mixed = (Counter(tuple(r) for r in linkage.block_pairs(df, "id", ["b"], "t", 70.0, direct=d).collect()) for d in (10**9, 100))
+    assert plain == mixed and len(plain) > 100
+    with pytest.raises(ValueError):
+        linkage.block_pairs(df, "id", ["b"], "t", 50.0)
+
+
 def test_bursts_by_brute_force(spark):
     import math
 
