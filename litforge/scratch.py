@@ -24,14 +24,16 @@ def session(name: str = "litforge", cores: str = "*", partitions: int = 8) -> Sp
     )
 
 
+_own: dict[str, str] = {}
+
+
 def folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; only a local session, as in tests, may do without one and is given a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="litforge-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own.get("folder") or _own.setdefault("folder", "file://" + tempfile.mkdtemp(prefix="litforge-"))  # a core setting, which a session can't change
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 

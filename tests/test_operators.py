@@ -1,8 +1,12 @@
 """Golden values and edge cases of the operators."""
 
 import itertools
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -213,6 +217,14 @@ def test_thesaurus_by_brute_force(spark):
     assert built == {w: end(w) for w in links}
 
 
+def test_folder_without_setting(tmp_path):
+    """A session of a fresh process whose configuration names no checkpoint folder stores its tables all the same."""
+    code = "from litforge.scratch import session, stored; s = session(cores='1', partitions=1); assert not s.conf.get('spark.checkpoint.dir', None); print(stored(stored(s.range(3))).count())"
+    env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": str(Path(__file__).resolve().parent.parent)}
+    run = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert run.stdout.strip().endswith("3"), run.stderr[-2000:]
+
+
 def test_label_propagation_by_hand(spark):
     edges = [("a", "b", 5), ("b", "c", 5), ("a", "c", 5), ("x", "y", 5), ("y", "z", 5), ("x", "z", 5), ("c", "x", 1)]
     near = {}
