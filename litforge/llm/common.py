@@ -30,6 +30,9 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share; only a local session, as in tests, may do without one and is given a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,8 +40,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not current.isDefined() and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="litforge-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = current.get() if current.isDefined() else _own.get("folder") or _own.setdefault("folder", "file://" + tempfile.mkdtemp(prefix="litforge-"))  # a core setting, which a session can't change
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 

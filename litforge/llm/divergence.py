@@ -30,6 +30,7 @@ LETTER = ~np.isin(np.arange(256), [*range(0x41), *range(0x5B, 0x61), *range(0x7B
 FOLD = np.where((np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 CHUNK_ROWS = 1 << 17  # rows (source, term) of a chunk
 CELLS = 1 << 21  # cells of a dense matrix in work at a time
+SHARES = 16  # parts in which the terms of a source are ranked first
 SMALL = 4 << 20  # bytes of group names up to which they are broadcast
 
 
@@ -216,5 +217,9 @@ def source_divergence(docs: DataFrame, least: int = 3, top: int = 200, chunk_row
         joined = chunks.withColumn("_salt", salt).join(by_lang.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))), ["lang", "_salt"])
     parts = joined.select("lang", "terms", "sources", "row", "id", "n", "all_sources", "all_sums", "v").mapInArrow(divergences(top, cells), "lang string, source string, part string, item string, value long")
     summed = parts.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")).cast("int")
-    return summed.withColumn("rank", rank).filter((F.col("part") == "pair") | (F.col("rank") <= top))
+    # every task has its first terms; the first of all are among the first of some of them, so that no task ranks more than those few
+    order = (F.desc("value"), "item")
+    share = F.when(F.col("part") == "term", F.pmod(F.xxhash64("item"), F.lit(SHARES))).otherwise(F.lit(-1))
+    few = summed.withColumn("_share", share).withColumn("_r", F.row_number().over(Window.partitionBy("lang", "source", "part", "_share").orderBy(*order))).filter((F.col("part") == "pair") | (F.col("_r") <= top)).drop("_share", "_r")
+    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(*order)).cast("int")
+    return few.withColumn("rank", rank).filter((F.col("part") == "pair") | (F.col("rank") <= top))
