@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from litforge.functions.text import assign_period
 from litforge.operators import association as A
-from litforge.operators import density, extraction, graph, linkage, ranking, topics, trend
+from litforge.operators import density, extraction, graph, linkage, manifold, ranking, topics, trend
 from litforge.plans.descriptive import CASE, PERIODS, supplied
 from litforge.plans.registry import Tables, query, r, rounded
 
@@ -372,6 +372,13 @@ def vec3(t: Tables) -> DataFrame:
     return topics.cluster_vectors(t.embeddings, "embedding", 10).select("vec_id", "cluster_id", r("probability", 6).alias("probability"), r("outlier_score", 6).alias("outlier_score"))
 
 
+@query("vec2_manifold_projection")
+def vec2_manifold(t: Tables) -> DataFrame:
+    """A layout by sampled edges is beyond SQL; tests measure the recall of its graph, its trustworthiness against principal components, and that it comes out the same again."""
+    x = manifold.project(t.embeddings, "vec_id", "embedding")
+    return x.select("vec_id", F.round(F.get("position", 0), 4).alias("x"), F.round(F.get("position", 1), 4).alias("y"))
+
+
 @query("vec3_density_clusters")
 def vec3_density(t: Tables) -> DataFrame:
     """Clusters by hierarchy are beyond SQL; tests hold the rows against a version that splits from the whole down."""
