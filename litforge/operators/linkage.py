@@ -108,8 +108,8 @@ def conditional_filter(df: DataFrame, subset: Column, block: Column, drop: str =
 
 
 def map_values(df: DataFrame, column: str, mapping: DataFrame, out: str, keep: bool = True) -> DataFrame:
-    """JON6, STR16: alias to canonical name by a lookup table (alias, canonical); without a match the value itself or null. The table is broadcast only while it is small."""
-    m = mapping.select(F.col("alias").alias("_alias"), F.col("canonical").alias("_canonical"))
+    """JON6, STR16: alias to canonical name by a lookup table (alias, canonical); without a match the value itself or null. Of several names of an alias the smallest counts, so no row is doubled. The table is broadcast only while it is small."""
+    m = mapping.groupBy(F.col("alias").alias("_alias")).agg(F.min("canonical").alias("_canonical"))
     m = F.broadcast(m) if m.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else m
     return df.join(m, F.col(column) == F.col("_alias"), "left").withColumn(out, F.coalesce("_canonical", F.col(column)) if keep else F.col("_canonical")).drop("_alias", "_canonical")
 

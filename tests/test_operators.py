@@ -225,6 +225,11 @@ def test_folder_without_setting(tmp_path):
     assert run.stdout.strip().endswith("3"), run.stderr[-2000:]
 
 
+def test_repeated_alias(spark):
+    df, m = frame(spark, [("a",), ("b",), (None,)], "v string"), frame(spark, [("a", "y"), ("a", "x"), ("a", None), ("c", "z"), (None, "n")], "alias string, canonical string")
+    assert sorted((r["v"] or "", r["o"] or "") for r in linkage.map_values(df, "v", m, "o").collect()) == [("", ""), ("a", "x"), ("b", "b")]
+
+
 def test_label_propagation_by_hand(spark):
     edges = [("a", "b", 5), ("b", "c", 5), ("a", "c", 5), ("x", "y", 5), ("y", "z", 5), ("x", "z", 5), ("c", "x", 1)]
     near = {}
