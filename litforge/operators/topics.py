@@ -123,5 +123,5 @@ def stratified_sample(df: DataFrame, stratum: str, identifier: str, score: str,
 
 
 def uniform_sample(df: DataFrame, identifier: str, n: int, seed: int = 42) -> DataFrame:
-    """SMP2: n rows by a seeded hash of the id; the same rows each time."""
-    return df.orderBy(F.xxhash64(F.col(identifier), F.lit(seed)), identifier).limit(n)
+    """SMP2: n rows by a seeded hash of the id; the same rows each time, in any engine."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(identifier).cast("string"))), identifier).limit(n)

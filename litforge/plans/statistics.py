@@ -361,7 +361,7 @@ def stratified(t: Tables) -> DataFrame:
     return topics.stratified_sample(t.documents.select("doc_id", "lang", "n_chars"), "lang", "doc_id", "n_chars", 50)
 
 
-@query("smp2_uniform_sample")
+@query("smp2_uniform_sample", "SELECT doc_id, lang FROM documents ORDER BY md5(concat('42:', doc_id)), doc_id LIMIT 20")
 def smp2(t: Tables) -> DataFrame:
     return topics.uniform_sample(t.documents.select("doc_id", "lang"), "doc_id", 20)
 
