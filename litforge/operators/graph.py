@@ -21,8 +21,8 @@ def top_value(df: DataFrame, keys: Sequence[str], value: str, name: str, prefer:
     return n.groupBy(*keys).agg(F.min(rank)["v"].alias(name))
 
 
-def edge_aggregate(df: DataFrame, src: str, dst: str, record: str, tops: dict[str, str], sets: Sequence[str], mean: str, year: str, ordinal: tuple[str, dict[str, int]], prefer: dict[str, Column] | None = None) -> DataFrame:
-    """AGG20-22: per pair its rows, most frequent values, sorted value sets with sizes, mean, highest value on an ordinal scale (ties by name), first and last year, and record ids."""
+def edge_aggregate(df: DataFrame, src: str, dst: str, record: str | None, tops: dict[str, str], sets: Sequence[str], mean: str, year: str, ordinal: tuple[str, dict[str, int]], prefer: dict[str, Column] | None = None) -> DataFrame:
+    """AGG20-22: per pair its rows, most frequent values, sorted value sets with sizes, mean, highest value on an ordinal scale (ties by name), first and last year, and record ids. Without a record column no row grows with its pair, and ``lists.chunked(df, [src, dst], record)`` holds the ids in chunks."""
     keys = [src, dst]
     column, scale = ordinal
     level = F.lit(0)
@@ -32,7 +32,7 @@ def edge_aggregate(df: DataFrame, src: str, dst: str, record: str, tops: dict[st
         F.count(F.lit(1)).alias("n_records"), F.avg(mean).alias(f"mean_{mean}"), F.min(year).alias("year_min"), F.max(year).alias("year_max"), (F.max(year) - F.min(year) + 1).alias("year_span"),
         F.min(F.when(F.col(column).isNotNull(), F.struct((-level).alias("l"), F.col(column).alias("v"))))["v"].alias(f"max_{column}"),
         *[F.array_join(F.array_sort(F.collect_set(c)), "|").alias(f"{c}_set") for c in sets], *[F.size(F.collect_set(c)).cast("long").alias(f"n_{c}") for c in sets],
-        F.array_join(F.array_sort(F.collect_list(record)), "|").alias("record_ids"),
+        *([F.array_join(F.array_sort(F.collect_list(record)), "|").alias("record_ids")] if record else []),
     )
     for name, c in tops.items():
         out = out.join(top_value(df, keys, c, name, (prefer or {}).get(c)), keys, "left")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from litforge.functions.text import indel_ratio, safe_prefilter, token_sorted
+from litforge.operators.lists import CHUNK, chunked
 from litforge.operators.segments import candidates
 from litforge.scratch import stored
 
@@ -28,9 +29,11 @@ def block_eligible(year: Column, title: Column, author: Column) -> Column:
     return F.coalesce(year.isNotNull() & (F.length(title) >= 10) & (F.length(author) >= 2), F.lit(False))
 
 
-def survivorship(df: DataFrame, key: str, order: Sequence[Column], source: str, identifier: str, maxes: Sequence[str] = (), fills: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+def survivorship(df: DataFrame, key: str, order: Sequence[Column], source: str, identifier: str, maxes: Sequence[str] = (), fills: dict[str, tuple[str, str]] | None = None, id_list: bool = True) -> DataFrame:
     """AGG1, AGG2: one row a key, the first in the given total order, with all sources, their number, all ids, greatest values, and columns filled from a named source.
 
+    Without ``id_list`` no row grows with its key, and ``lists.chunked(df, [key], identifier)`` holds the ids in chunks.
+
     One aggregation, no window: the winner is the least of (order, row) structs, so that partial winners are picked before the shuffle.
     """
     rest = [c for c in df.columns if c not in maxes and c != key and c not in (fills or {})]
@@ -40,10 +43,11 @@ def survivorship(df: DataFrame, key: str, order: Sequence[Column], source: str,
     special = [F.max(F.when(F.col(source) == s, F.col(column))).alias(f"_fill_{c}") for c, (s, column) in (fills or {}).items()]
     out = df.groupBy(key).agg(
         F.min(ranked)["row"].alias("row"), *extra, *own, *special,
-        F.array_sort(F.collect_set(source)).alias("source_list"), F.array_sort(F.collect_list(F.struct(F.col(source), F.col(identifier)))).alias("ids"), F.count(F.lit(1)).alias("n_merged"),
+        F.array_sort(F.collect_set(source)).alias("source_list"), *([F.array_sort(F.collect_list(F.struct(F.col(source), F.col(identifier)))).alias("ids")] if id_list else []), F.count(F.lit(1)).alias("n_merged"),
     )
+    ids = [F.transform("ids", lambda x: x[identifier]).alias("id_list")] if id_list else []
     filled = [F.coalesce(F.col(f"_fill_{c}"), F.col(f"_own_{c}")).alias(c) for c in fills or {}]
-    return out.select(key, "row.*", *maxes, *filled, "source_list", F.size("source_list").alias("source_count"), F.transform("ids", lambda x: x[identifier]).alias("id_list"), "n_merged")
+    return out.select(key, "row.*", *maxes, *filled, "source_list", F.size("source_list").alias("source_count"), *ids, "n_merged")
 
 
 def block_pairs(df: DataFrame, identifier: str, blocks: Sequence[str], text: str, threshold: float, metric: str = "indel", direct: int = DIRECT) -> DataFrame:
@@ -95,13 +99,27 @@ def connected_components(pairs: DataFrame) -> DataFrame:
 
 def resolve_components(df: DataFrame, components: DataFrame, identifier: str, *order: Column) -> DataFrame:
     """FUZ4: of each component the first row in the given order stays; a column tells which ids it absorbed."""
-    c = F.coalesce(F.col("component"), F.col(identifier))
-    tagged = df.join(components, df[identifier] == components["id"], "left").withColumn("component", c).drop("id")
+    ends = components.select(F.col("id").alias("_id"), "component")
+    tagged = df.join(ends, F.col(identifier) == F.col("_id"), "left").withColumn("component", F.coalesce("component", identifier)).drop("_id")
     placed = tagged.withColumn("_r", F.row_number().over(Window.partitionBy("component").orderBy(*order)))
     lost = placed.filter("_r > 1").groupBy("component").agg(F.array_sort(F.collect_list(identifier)).alias("absorbed"))
     return placed.filter("_r = 1").drop("_r").join(lost, "component", "left").withColumn("absorbed", F.coalesce("absorbed", F.array().cast("array<bigint>")))
 
 
+def resolve_in_chunks(df: DataFrame, components: DataFrame, identifier: str, order: Sequence[Column], size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """FUZ4 for components of any size: the rows that stay, with their component, and (component, chunk, items, n), the ids absorbed. Identifiers are distinct; the order is ascending and total.
+
+    The row that stays is a minimum, summed before the shuffle; the others are those whose id is not among these.
+    """
+    ends = components.select(F.col("id").alias("_id"), F.col("component"))
+    tagged = df.join(ends, F.col(identifier) == F.col("_id"), "left").withColumn("component", F.coalesce("component", identifier)).drop("_id")
+    tagged = stored(tagged, "tagged")
+    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*df.columns).alias("row"))
+    stay = stored(tagged.groupBy("component").agg(F.min(rank)["row"].alias("row")).select("component", "row.*"), "stay")
+    lost = tagged.select("component", identifier).join(stay.select(F.col(identifier).alias("_id")), F.col(identifier) == F.col("_id"), "left_anti")
+    return stay, chunked(lost, ["component"], identifier, size)
+
+
 def conditional_filter(df: DataFrame, subset: Column, block: Column, drop: str = "B0_none") -> DataFrame:
     """FLT5: the block decides within the subset; all other rows pass."""
     return df.withColumn("matched_block", F.when(subset, block).otherwise("auto_pass")).filter(F.col("matched_block") != drop)

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from litforge.operators.lists import place_within
+from litforge.operators.quantile import beside, order_statistic
+from litforge.scratch import stored
+
 
 def tokens(text: Column, least: int = 3, stop: Sequence[str] = ()) -> Column:
     """Lower-case words of Latin letters and hyphens; stop words go before any pairing."""
@@ -112,14 +116,29 @@ def allocation(sizes: DataFrame, stratum: str, n: int) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, stratum: str, identifier: str, score: str, n: int, seed: int = 42) -> DataFrame:
-    """SMP1: rows with scores from the 40th percentile of their stratum on where those suffice, else any, picked by a seeded hash of the id."""
-    sizes = allocation(df.groupBy(stratum).agg(F.count(F.lit(1)).alias("size")), stratum, n)
-    cut = df.groupBy(stratum).agg(F.percentile(score, 0.4).alias("_cut"))
-    x = df.join(sizes.select(stratum, "take"), stratum).join(cut, stratum).withColumn("_high", F.col(score) >= F.col("_cut"))
-    enough = F.count_if("_high").over(Window.partitionBy(stratum)) >= F.col("take")
-    pool = x.withColumn("_in", F.col("_high") | ~enough).filter("_in")
-    order = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(identifier), F.lit(seed)), identifier)
-    return pool.withColumn("_r", F.row_number().over(order)).filter("_r <= take").drop("_r", "_in", "_high", "_cut", "take")
+    """SMP1: rows with scores from the 40th percentile of their stratum on where those suffice, else any, picked by the md5 of seed and id. Identifiers are distinct; a null stratum is one.
+
+    No stratum is gathered: the percentile is found by counting. As hashes are spread evenly, a bound on them that leaves a little more than the rows wanted is known beforehand;
+    only what it leaves is placed, by ranges. A stratum that it leaves too few of (which chance hardly allows) is placed whole.
+    """
+    sizes = stored(allocation(df.groupBy(stratum).agg(F.count(F.lit(1)).alias("size")), stratum, n), "sizes")
+    cuts = order_statistic(df, stratum, score, F.expr("(2 * (n - 1) + 4) div 5"), "_cut").withColumnRenamed(stratum, "_s")
+    plan = stored(sizes.join(cuts, F.col(stratum).eqNullSafe(F.col("_s")), "left").select(stratum, "size", "take", "_cut"), "cuts")
+    high = beside(df, plan.select(stratum, "_cut"), stratum).groupBy(stratum).agg(F.count_if(F.col(score) >= F.col("_cut")).alias("_high"))
+    plan = beside(plan, high, stratum)
+    enough = F.col("_high") >= F.col("take")
+    share = (2 * F.col("take") + 8 * F.sqrt("take") + 64) / F.greatest(F.when(enough, F.col("_high")).otherwise(F.col("size")), F.lit(1))
+    plan = stored(plan.select(stratum, "take", F.when(enough, F.col("_cut")).alias("_from"), F.least(share, F.lit(1.0)).alias("_share")), "plan")
+    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(identifier).cast("string"), F.lit("")))))
+    pool = lambda p: beside(hashed, p, stratum).filter(F.col("_from").isNull() | (F.col(score) >= F.col("_from")))
+    low = F.conv(F.substring("_h", 1, 13), 16, 10).cast("double") / float(16**13) < F.col("_share")
+    near = stored(pool(plan).filter((F.col("_share") >= 1) | low).select(*df.columns, "_h", "take"), "near")
+    left = near.groupBy(F.col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("_left"))
+    short = stored(plan.join(left, F.col(stratum).eqNullSafe(F.col("_s")), "left").filter((F.col("_share") < 1) & (F.coalesce("_left", F.lit(0)) < F.col("take"))).select(*plan.columns), "short")
+    if not short.isEmpty():
+        kept = near.join(short.select(F.col(stratum).alias("_s")), F.col(stratum).eqNullSafe(F.col("_s")), "left_anti")
+        near = kept.unionAll(pool(short).select(*df.columns, "_h", "take"))
+    return place_within(near, [stratum], ["_h", identifier], "_place").filter("_place < take").select(*df.columns)
 
 
 def uniform_sample(df: DataFrame, identifier: str, n: int, seed: int = 42) -> DataFrame:

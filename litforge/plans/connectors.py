@@ -163,6 +163,33 @@ def snk5(t: Tables) -> DataFrame:
     return lines.select(kind.alias("kind")).filter("kind is not null").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("snk5_graphml_one_file", """SELECT '<node id="' || doc_id || '"><data key="n_lang">' || lang || '</data><data key="n_n_chars">' || n_chars || '</data></node>' AS line FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL
+    UNION ALL SELECT '<edge source="' || doc_id || '" target="' || replace(replace(replace(replace(source, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '"></edge>' FROM documents WHERE source IS NOT NULL""")
+def snk5_one(t: Tables) -> DataFrame:
+    """SNK5: documents and their sources as one GraphML file that many tasks write; its lines of nodes and edges are read back."""
+    path = folder(t.spark, "graphml") + "/graph.graphml"
+    d = t.documents
+    nodes = d.filter("lang is not null and n_chars is not null").select(F.col("doc_id").alias("node_id"), "lang", "n_chars")
+    sinks.write_graphml_file(nodes, d.filter("source is not null").select(F.col("doc_id").alias("src"), F.col("source").alias("dst")), path)
+    return t.spark.read.text(path).select(F.col("value").alias("line")).filter("line like '<node %' or line like '<edge %'")
+
+
+@query("snk4_vos_one_file", """WITH s AS (SELECT source AS label, count(*) AS weight FROM documents WHERE source IS NOT NULL GROUP BY 1), i AS (SELECT row_number() OVER (ORDER BY weight DESC, label) AS id, * FROM s),
+    p AS (SELECT DISTINCT source, lang FROM documents), e AS (SELECT a.source AS a, b.source AS b, count(*) AS n FROM p a JOIN p b ON a.lang = b.lang AND a.source < b.source GROUP BY 1, 2)
+    SELECT 'map' AS part, 'id	label	weight' AS line UNION ALL SELECT 'map', id || '	' || label || '	' || weight FROM i
+    UNION ALL SELECT 'network', x.id || '	' || y.id || '	' || n FROM e JOIN i x ON x.label = a JOIN i y ON y.label = b""")
+def snk4_one(t: Tables) -> DataFrame:
+    """SNK4: sources, linked by the languages they share, as one map and one network file."""
+    path = folder(t.spark, "vos")
+    p = t.documents.select("source", "lang").distinct()
+    a, b = p.select(F.col("source").alias("a"), "lang"), p.select(F.col("source").alias("b"), "lang")
+    edges = a.join(b, "lang").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    nodes = t.documents.filter("source is not null").groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    sinks.write_vos_files(*sinks.vos_tables(nodes, edges, 1, 1), path)
+    lines = lambda name: t.spark.read.text(f"{path}/{name}.txt").select(F.lit(name).alias("part"), F.col("value").alias("line"))
+    return lines("map").unionAll(lines("network"))
+
+
 @query("snk6_markdown_report", "SELECT 4::BIGINT + count(*) AS n_lines FROM region")
 def snk6(t: Tables) -> DataFrame:
     text = sinks.markdown_table(t.region.orderBy("r_regionkey"), "Regions")

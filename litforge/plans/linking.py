@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litforge.functions.text import is_exclusive, leading_token, core_tokens, listed_tokens, first_rule_match, normalize_title, term_block_class
-from litforge.operators import linkage
+from litforge.operators import linkage, lists
 from litforge.plans.registry import Tables, query, r, rounded
 from litforge.scratch import stored
 
@@ -27,6 +27,20 @@ def agg1(t: Tables) -> DataFrame:
     return out.select("doc_id", "lang", "source", "n_chars", F.array_join("source_list", "+").alias("sources"), F.col("source_count").cast("long").alias("source_count"), "n_merged")
 
 
+CHUNKED = "list_aggregate(list(i ORDER BY i), 'string_agg', ',') AS items, count(*) AS n"
+
+
+def joined(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
+
+
+@query("agg1_id_chunks", f"""WITH d AS (SELECT doc_id AS i, md5({TITLE}) AS key FROM documents), w AS (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY i) - 1) // 16 AS chunk FROM d)
+    SELECT key, chunk, {CHUNKED} FROM w GROUP BY 1, 2""")
+def agg1_chunks(t: Tables) -> DataFrame:
+    """AGG1: the ids behind each golden record, 16 a row, so that a title of very many records makes rows and not one long list."""
+    return joined(lists.chunked(titled(t), ["key"], "doc_id", 16))
+
+
 @query("agg2_merge_audit", f"""WITH d AS (SELECT doc_id, lang, md5({TITLE}) AS key, n_chars FROM documents), w AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n_chars DESC, doc_id) AS k FROM d)
     SELECT count(*) AS n_merged, string_agg(lang || ':' || doc_id, ';' ORDER BY lang, doc_id) AS merged, max(doc_id) FILTER (WHERE k = 1) AS chosen FROM w GROUP BY key HAVING count(*) > 1""")
 def agg2(t: Tables) -> DataFrame:
@@ -155,6 +169,17 @@ def fuz4(t: Tables) -> DataFrame:
     return out.select("component", "p_partkey", F.array_join("absorbed", ",").alias("absorbed"))
 
 
+@query("fuz4_absorbed_chunks", f"""WITH RECURSIVE {COMPONENTS}, g AS (SELECT id, min(c) AS component FROM w GROUP BY 1), p AS (SELECT p_partkey AS i, p_size, coalesce(component, p_partkey) AS component FROM part LEFT JOIN g ON id = p_partkey),
+    k AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY p_size DESC, i) AS k FROM p), c AS (SELECT *, (row_number() OVER (PARTITION BY component ORDER BY i) - 1) // 4 AS chunk FROM k WHERE k > 1)
+    SELECT 'absorbed' AS kind, component, chunk, {CHUNKED} FROM c GROUP BY 2, 3 UNION ALL SELECT 'kept', component, 0, i::VARCHAR, 1 FROM k WHERE k = 1""")
+def fuz4_chunks(t: Tables) -> DataFrame:
+    """FUZ4 without a list or a window that grows with its component."""
+    c = linkage.connected_components(linkage.block_pairs(t.part, "p_partkey", ["p_brand", "p_type"], "p_name", 60.0, metric="levenshtein"))
+    stay, absorbed = linkage.resolve_in_chunks(t.part.select("p_partkey", "p_size"), c, "p_partkey", [-F.col("p_size"), F.col("p_partkey")], 4)
+    kept = stay.select(F.lit("kept").alias("kind"), "component", F.lit(0).cast("long").alias("chunk"), F.col("p_partkey").cast("string").alias("items"), F.lit(1).cast("long").alias("n"))
+    return joined(absorbed).select(F.lit("absorbed").alias("kind"), "component", "chunk", "items", "n").unionAll(kept)
+
+
 KEYWORDS = "k AS (SELECT p_name AS keyword, count(*) AS n FROM part GROUP BY 1)"
 
 

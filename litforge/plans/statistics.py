@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from litforge.functions.text import assign_period
-from litforge.operators import association as A
+from litforge.operators import association as A, lists
 from litforge.operators import density, extraction, graph, linkage, manifold, ranking, topics, trend
 from litforge.plans.descriptive import CASE, PERIODS, supplied
 from litforge.plans.registry import Tables, query, r, rounded
@@ -158,13 +158,25 @@ def agg27(t: Tables) -> DataFrame:
     CASE max(CASE st WHEN 'P' THEN 2 WHEN 'O' THEN 1 ELSE 0 END) WHEN 2 THEN 'P' WHEN 1 THEN 'O' ELSE 'F' END AS max_st, string_agg(o_orderkey::VARCHAR, '|' ORDER BY o_orderkey) AS record_ids, (SELECT mech FROM t WHERE t.src = x.src AND t.dst = x.dst AND k = 1) AS top_mech FROM x GROUP BY src, dst""")
 def agg20(t: Tables) -> DataFrame:
     """AGG20, AGG21, AGG22: the same operator over other pairs of ends."""
+    out = graph.edge_aggregate(trade(t), "src", "dst", "o_orderkey", {"top_mech": "mech"}, ["mech"], "l_discount", "y", ("st", {"P": 2, "O": 1}), {"mech": F.col("mech") != "5-LOW"})
+    return rounded(out, 12)  # means of cents over so many rows have no more places, so there are no ties to round
+
+
+def trade(t: Tables) -> DataFrame:
+    """Line items with the nations of customer and supplier."""
     s = supplied(t).select("o_orderkey", F.col("n_name").alias("dst"), "l_discount")
     n = t.nation.select("n_nationkey", F.col("n_name").alias("src"))
     o = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey"))
     o = o.select("o_orderkey", "src", F.col("o_orderpriority").alias("mech"), F.col("o_orderstatus").alias("st"), F.year("o_orderdate").alias("y"))
-    x = o.join(s, "o_orderkey")  # order and line number together are no key in these tables
-    out = graph.edge_aggregate(x, "src", "dst", "o_orderkey", {"top_mech": "mech"}, ["mech"], "l_discount", "y", ("st", {"P": 2, "O": 1}), {"mech": F.col("mech") != "5-LOW"})
-    return rounded(out, 12)  # means of cents over so many rows have no more places, so there are no ties to round
+    return o.join(s, "o_orderkey")  # order and line number together are no key in these tables
+
+
+@query("agg20_record_chunks", """WITH x AS (SELECT c.n_name AS src, s.n_name AS dst, o_orderkey AS i FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation c ON c.n_nationkey = c_nationkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation s ON s.n_nationkey = s_nationkey),
+    w AS (SELECT *, (row_number() OVER (PARTITION BY src, dst ORDER BY i) - 1) // 1000 AS chunk FROM x) SELECT src, dst, chunk, md5(string_agg(i::VARCHAR, ',' ORDER BY i)) AS items_md5, count(*) AS n FROM w GROUP BY 1, 2, 3""")
+def agg20_chunks(t: Tables) -> DataFrame:
+    """AGG20: the records behind each edge, 1000 a row."""
+    chunks = lists.chunked(trade(t), ["src", "dst"], "o_orderkey", 1000)
+    return chunks.select("src", "dst", "chunk", F.md5(F.array_join(F.transform("items", lambda x: x.cast("string")), ",").cast("binary")).alias("items_md5"), "n")
 
 
 TRIPLES = "x AS (SELECT r_name, n_name, c_mktsegment, o_orderpriority FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)"
@@ -348,16 +360,20 @@ def srt2(t: Tables) -> DataFrame:
     return rounded(out.select("event_type", "delta", "trend"))
 
 
-@query("smp1_allocation", """WITH s AS (SELECT lang, count(*) AS size FROM documents GROUP BY 1), a AS (SELECT *, CASE WHEN 50 >= count(*) OVER () THEN 1 ELSE 0 END AS base, 50 - count(*) OVER () AS rest FROM s), b AS (SELECT *, size / sum(size) OVER ()::DOUBLE * rest AS share FROM a),
+ALLOCATION = """WITH s AS (SELECT lang, count(*) AS size FROM documents GROUP BY 1), a AS (SELECT *, CASE WHEN 50 >= count(*) OVER () THEN 1 ELSE 0 END AS base, 50 - count(*) OVER () AS rest FROM s), b AS (SELECT *, size / sum(size) OVER ()::DOUBLE * rest AS share FROM a),
     c AS (SELECT *, round_even(share, 0)::BIGINT AS extra FROM b), d AS (SELECT *, rest - sum(extra) OVER () AS gap, row_number() OVER (ORDER BY share - extra DESC, lang) AS up, row_number() OVER (ORDER BY extra DESC, lang) AS down FROM c)
-    SELECT lang, size, (base + extra + CASE WHEN gap > 0 AND up <= gap THEN 1 WHEN gap < 0 AND down <= -gap THEN -1 ELSE 0 END)::BIGINT AS take FROM d""")
+    SELECT lang, size, (base + extra + CASE WHEN gap > 0 AND up <= gap THEN 1 WHEN gap < 0 AND down <= -gap THEN -1 ELSE 0 END)::BIGINT AS take FROM d"""
+
+
+@query("smp1_allocation", ALLOCATION)
 def smp1(t: Tables) -> DataFrame:
     return topics.allocation(t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "lang", 50)
 
 
-@query("smp1_stratified_sample")
+@query("smp1_stratified_sample", f"""WITH t AS ({ALLOCATION}), p AS (SELECT doc_id, d.lang, n_chars, take, n_chars >= quantile_cont(n_chars, 0.4) OVER (PARTITION BY d.lang) AS high FROM documents d JOIN t ON d.lang IS NOT DISTINCT FROM t.lang),
+    h AS (SELECT *, count(*) FILTER (WHERE high) OVER (PARTITION BY lang) AS n_high FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS k FROM h WHERE high OR n_high < take)
+    SELECT doc_id, lang, n_chars FROM r WHERE k <= take""")
 def stratified(t: Tables) -> DataFrame:
-    """A seeded pick by hash; tests check sizes, scores and repetition."""
     return topics.stratified_sample(t.documents.select("doc_id", "lang", "n_chars"), "lang", "doc_id", "n_chars", 50)
 
 

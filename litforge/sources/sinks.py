@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litforge.operators.running import placed
+from litforge.sources.one_file import write_lines
 
 
 def write_parquet(df: DataFrame, path: str, *partitions: str) -> None:
@@ -64,7 +65,22 @@ def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return frame(head, 0).unionAll(n).unionAll(e).unionAll(frame(["</graph>", "</graphml>"], 3))
 
 
+def write_vos_files(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """SNK4: path/map.txt and path/network.txt, each one file that many tasks write."""
+    tabs = lambda df: df.select(F.concat_ws("\t", *[F.translate(F.coalesce(F.col(c).cast("string"), F.lit("")), "\t\n\r", "   ") for c in df.columns]).alias("value"), *df.columns)
+    spark = nodes.sparkSession
+    head = spark.createDataFrame([("id\tlabel\tweight",)], "value string").select("value", F.lit(None).cast("long").alias("id"))
+    write_lines(head.unionAll(tabs(nodes.select("id", "label", "weight")).select("value", "id")), f"{path}/map.txt", F.asc_nulls_first("id"))
+    write_lines(tabs(edges.select("id_a", "id_b", "strength")), f"{path}/network.txt", "id_a", "id_b", "value")
+
+
+def write_graphml_file(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """SNK5: one file that many tasks write, on a file system that driver and executors share."""
+    write_lines(graphml(nodes, edges), path, "part", "at", "value")
+
+
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """SNK5: a folder with one part, which one task writes."""
     graphml(nodes, edges).repartitionByRange(1, "part").sortWithinPartitions("part", "at").select("value").write.text(path)
 
 
