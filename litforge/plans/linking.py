@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from litforge.functions.text import is_exclusive, leading_token, core_tokens, listed_tokens, first_rule_match, normalize_title, term_block_class
 from litforge.operators import linkage, lists
 from litforge.plans.registry import Tables, query, r, rounded
-from litforge.scratch import stored
+from litforge.scratch import folder, stored
+from litforge.streaming import incremental, reconcile
 
 TITLE = "trim(regexp_replace(regexp_replace(lower(trim(text)), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
@@ -243,11 +245,14 @@ def set5(t: Tables) -> DataFrame:
     return linkage.patch_merge(t.documents.select("doc_id", F.lit("old").alias("version")), t.labels.select("doc_id", F.lit("new").alias("version")), "doc_id")
 
 
-@query("set4_cross_corpus_reconcile", """WITH m AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS key, year(o_orderdate)::BIGINT AS year FROM orders WHERE o_orderkey % 2 = 0),
+RECONCILED = """WITH m AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS key, year(o_orderdate)::BIGINT AS year FROM orders WHERE o_orderkey % 2 = 0),
     p AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS key, year(o_orderdate)::BIGINT AS year FROM orders WHERE o_orderkey % 2 = 1 AND year(o_orderdate) = 2001),
     s AS (SELECT * FROM m WHERE year <> 2001), l AS (SELECT * FROM m WHERE year = 2001 AND (key IS NULL OR key NOT IN (SELECT key FROM p WHERE key IS NOT NULL))),
     u AS (SELECT * FROM p UNION ALL SELECT * FROM l), k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS k FROM u WHERE key IS NOT NULL AND key NOT IN (SELECT key FROM s WHERE key IS NOT NULL))
-    SELECT 'main' AS corpus, id FROM s UNION ALL SELECT 'partial', id FROM k WHERE k = 1 UNION ALL SELECT 'partial', id FROM u WHERE key IS NULL""")
+    SELECT 'main' AS corpus, id FROM s UNION ALL SELECT 'partial', id FROM k WHERE k = 1 UNION ALL SELECT 'partial', id FROM u WHERE key IS NULL"""
+
+
+@query("set4_cross_corpus_reconcile", RECONCILED)
 def set4(t: Tables) -> DataFrame:
     o = t.orders.select(F.col("o_orderkey").alias("id"), "o_custkey", F.year("o_orderdate").alias("year"))
     main = o.filter("id % 2 = 0").select("id", F.when(F.col("id") % 7 != 0, F.col("o_custkey")).alias("key"), "year")
@@ -256,6 +261,25 @@ def set4(t: Tables) -> DataFrame:
     return m.select(F.lit("main").alias("corpus"), "id").unionAll(p.select(F.lit("partial"), "id"))
 
 
+@query("set4_late_records", RECONCILED)
+def set4_late(t: Tables) -> DataFrame:
+    """The same corpora from a stream: a third of the orders come without key and year first, some of them in the other corpus, and whole in a later batch."""
+    o = t.orders.select(F.col("o_orderkey").alias("id"), "o_custkey", F.year("o_orderdate").alias("year"))
+    even = F.col("id") % 2 == 0
+    key = F.when(F.when(even, F.col("id") % 7 != 0).otherwise(F.col("id") % 5 != 0), F.col("o_custkey"))
+    whole = o.filter(even | (F.col("year") == 2001)).select("id", F.lit(2).alias("version"), F.when(even, "main").otherwise("partial").alias("corpus"), key.alias("key"), "year")
+    late = F.col("id") % 3 == 0
+    other = F.when(F.col("id") % 9 == 0, F.when(F.col("corpus") == "main", "partial").otherwise("main")).otherwise(F.col("corpus"))
+    early = whole.filter(late).select("id", F.lit(1).alias("version"), other.alias("corpus"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("int").alias("year"))
+    src, log, out = (folder(t.spark, f"late-{x}") for x in ("records", "log", "changes"))
+    stream = lambda: reconcile.record_log(incremental.file_stream(t.spark, src, whole.schema), "id", "version", F.col("corpus"), F.col("key"), F.col("id"), F.col("year") == 2001)
+    for rows in (whole.filter(~late).unionByName(early), whole.filter(late)):
+        rows.write.mode("append").parquet(src)
+        incremental.run_available(stream(), log, f"{log}-done")
+        incremental.run_available(reconcile.corpus_changes(incremental.file_stream(t.spark, log, T.StructType.fromDDL(reconcile.LOG))), out, f"{out}-done")
+    return reconcile.standing(t.spark.read.schema(reconcile.CHANGE).parquet(out)).select("corpus", F.col("id").cast("long").alias("id"))
+
+
 CITIES = ["the", "and", "der", "que", "los", "tion"]
 
 
