@@ -281,7 +281,17 @@ def year_of_text(c: Column) -> Column:
     return F.when(F.substring(F.trim(c), 1, 4).rlike(r"^\d{4}$"), F.substring(F.trim(c), 1, 4)).cast("int")
 
 
+def inverted_index(words: Column) -> Column:
+    """Map word -> ascending positions of an array of words, within the row: words are sorted with their positions and cut where the word changes. Null stays null."""
+    let = lambda c, f: F.get(F.transform(F.array(c), f), 0)  # noqa: E731  works an expression out once
+    placed = F.sort_array(F.transform(words, lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
+    starts = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["w"] != F.get(s, i - 1)["w"]), i)), lambda i: i.isNotNull())
+    run = lambda s, b, e: F.struct(F.get(s, b)["w"].alias("w"), F.transform(F.slice(s, b + 1, e - b), lambda x: x["p"]).alias("p"))
+    entries = lambda s: let(starts(s), lambda at: F.transform(at, lambda b, k: run(s, b, F.coalesce(F.get(at, k + 1), F.size(s)))))
+    return F.when(words.isNotNull(), F.map_from_entries(let(placed, entries)))
+
+
 def inverted_index_text(m: Column) -> Column:
     """ARR1: words of a map word -> positions, in order."""
     pairs = F.flatten(F.transform(F.map_entries(m), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.coalesce(F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " "), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(F.sort_array(pairs), lambda x: x["w"]), " "), F.lit(""))

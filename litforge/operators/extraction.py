@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,6 +78,15 @@ def strip_schema_keywords(schema: object, keywords: frozenset[str] = frozenset({
     return [strip_schema_keywords(x, keywords) for x in schema] if isinstance(schema, list) else schema
 
 
+def strip_schema_text(c: Column) -> Column:
+    """JSN2 on a column of schemas as JSON texts; nulls stay, other texts than JSON raise."""
+
+    def run(schemas: pd.Series) -> pd.Series:
+        return schemas.map(lambda s: json.dumps(strip_schema_keywords(json.loads(s)), ensure_ascii=False), na_action="ignore")
+
+    return F.pandas_udf(run, T.StringType())(c)
+
+
 def interaction_class(drug_known: Column, target_known: Column) -> Column:
     """CLS1"""
     return F.when(drug_known & target_known, "complete").when(drug_known, "herb_drug_no_target").when(target_known, "herb_target_no_drug").otherwise("fragmentary")

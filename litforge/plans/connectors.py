@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litforge.functions import text as X
 from litforge.operators import extraction
 from litforge.plans.registry import Tables, query
 from litforge.scratch import folder
@@ -51,8 +53,7 @@ def src3(t: Tables) -> DataFrame:
 
 def works_export(t: Tables) -> str:
     path = folder(t.spark, "works")
-    w = words(t).filter("title <> ''").select("id", "lang", F.posexplode(F.split("title", " ")).alias("p", "w")).groupBy("id", "lang", "w").agg(F.collect_list("p").alias("p"))
-    x = w.groupBy("id", "lang").agg(F.map_from_entries(F.collect_list(F.struct("w", "p"))).alias("abstract_inverted_index"))
+    x = words(t).filter("title <> ''").select("id", "lang", X.inverted_index(F.split("title", " ")).alias("abstract_inverted_index"))
     author = F.array(F.struct(F.struct(F.lit("Ann Lee").alias("display_name")).alias("author"), F.array(F.struct(F.lit("U").alias("display_name"), F.lit("CN").alias("country_code"))).alias("institutions")))
     good = x.select(F.to_json(F.struct(F.concat(F.lit("https://openalex.org/W"), F.col("id").cast("string")).alias("id"), F.lit("T").alias("title"), F.lit("journal-article").alias("type"), "abstract_inverted_index", author.alias("authorships"))).alias("value"))
     good.unionAll(t.spark.createDataFrame([("{broken",), ("",)], "value string")).write.text(path)
@@ -80,24 +81,39 @@ def unified(t: Tables) -> DataFrame:
     return u.groupBy("source_db").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src7_paged_pull", "SELECT DISTINCT n_nationkey::BIGINT AS key FROM nation WHERE n_nationkey < 20")
-def src7(t: Tables) -> DataFrame:
-    """SRC7: four overlapping queries of pages against a stand-in for a service."""
-    pages = t.spark.createDataFrame([(f"q{i}", p) for i in range(4) for p in range(2)], "query string, page int")
-    fetch = lambda q, p: [f'{{"id": {i}}}' for i in range(int(q[1]) * 3 + p * 5, int(q[1]) * 3 + p * 5 + 6)]
-    return R.read_pages(t.spark, pages, fetch).select(F.col("key").cast("long").alias("key"))
+def service(t: Tables) -> tuple[str, DataFrame]:
+    """A stand-in for a service: the customers as stored pages of JSON lines, for each market segment and, overlapping with these, each region; and the table of its pages (query, page)."""
+    path = folder(t.spark, "service")
+    c = t.customer.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey"))
+    names = F.explode(F.array(F.concat(F.lit("segment-"), "c_mktsegment"), F.concat(F.lit("region-"), F.col("n_regionkey").cast("string"))))
+    value = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
+    x = c.select(names.alias("query"), F.floor(F.col("c_custkey") / 1000).cast("int").alias("page"), value.alias("value"))
+    x.repartition("query", "page").write.partitionBy("query", "page").text(path)
+    return path, x.select("query", "page").distinct()
 
 
-@query("src7_cursor_pull", "SELECT n_nationkey::BIGINT AS key FROM nation WHERE n_nationkey < 20")
-def src7_cursor(t: Tables) -> DataFrame:
-    """SRC7: three queries of a stand-in service read by cursor; the last finds too much and is skipped."""
-    found = {"narrow": 7, "wide": 20, "everything": 80_001}
+def stored_page(path: str, query: str, page: int) -> list[str]:
+    """What the service answers: the lines of one page, none for a page that it hasn't got."""
+    fs, root = pafs.FileSystem.from_uri(path)
+    files = fs.get_file_info(pafs.FileSelector(f"{root}/query={query}/page={page}", allow_not_found=True))
+    return [x for f in files if f.base_name.startswith("part-") for x in fs.open_input_stream(f.path).read().decode().splitlines()]
+
+
+@query("src7_paged_pull", "SELECT DISTINCT c_custkey AS key FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation)")
+def src7(t: Tables) -> DataFrame:
+    """SRC7: overlapping queries of stored pages; works met twice come once."""
+    path, pages = service(t)
+    return R.read_pages(t.spark, pages, lambda q, p: stored_page(path, q, p)).select(F.col("key").cast("long").alias("key"))
 
-    def page(q: str, cursor: int | None, size: int) -> tuple[list[str], int | None]:
-        at = cursor or 0
-        return [f'{{"id": {i}}}' for i in range(at, min(at + size, found[q]))], at + size if at + size < found[q] else None
 
-    works, _ = R.pull(t.spark, list(found), found.get, page, size=6)
+@query("src7_cursor_pull", "SELECT DISTINCT c_custkey AS key FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey IN (SELECT n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1 HAVING count(*) <= (SELECT count(*) FROM customer) / 5)")
+def src7_cursor(t: Tables) -> DataFrame:
+    """SRC7: the regions' queries read by cursor; those that find more than a fifth of all customers are too broad and skipped."""
+    path, pages = service(t)
+    last = dict(pages.filter("query like 'region-%'").groupBy("query").agg(F.max("page")).collect())  # a row a region
+    count = lambda q: sum(len(stored_page(path, q, p)) for p in range(last[q] + 1))
+    page = lambda q, cursor, size: (stored_page(path, q, cursor or 0), (cursor or 0) + 1 if (cursor or 0) < last[q] else None)
+    works, _ = R.pull(t.spark, sorted(last), count, page, most=t.customer.count() // 5)
     return works.select(F.col("key").cast("long").alias("key"))
 
 

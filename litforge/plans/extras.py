@@ -120,11 +120,14 @@ def snk8(t: Tables) -> DataFrame:
     return t.spark.read.schema(x.schema).json(path).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_ids"))
 
 
-@query("jsn2_schema_keywords", "SELECT '{\"properties\": {\"title\": {\"type\": \"string\"}}}' AS schema")
+@query("jsn2_schema_keywords", """SELECT p_partkey, '{"type": "object", "properties": {"title": {"type": "string"}, "' || p_brand || '": {"anyOf": [{"type": "integer"}, {"enum": [' || p_size || ', "format"]}]}}}' AS schema FROM part""")
 def jsn2(t: Tables) -> DataFrame:
-    import json
-
-    return t.spark.createDataFrame([(json.dumps(extraction.strip_schema_keywords({"title": "x", "properties": {"title": {"type": "string", "minLength": 1}}})),)], "schema string")
+    """A schema for each part: keywords go at any depth, a property of a keyword's name and values stay."""
+    schema = F.format_string(
+        '{"title": "%s", "type": "object", "properties": {"title": {"type": "string", "minLength": %d}, "%s": {"default": null, "anyOf": [{"type": "integer", "minimum": 0}, {"format": "x", "enum": [%d, "format"]}]}}}',
+        "p_name", "p_size", "p_brand", "p_size",
+    )
+    return t.part.select("p_partkey", extraction.strip_schema_text(schema).alias("schema"))
 
 
 @query("dq9_pilot_fisher", f"WITH {FISHER}, a AS (SELECT row FROM m GROUP BY 1 ORDER BY max(row_total) DESC, row LIMIT 1) SELECT row, col, n, row_total, round(p, 6) AS p FROM e WHERE row IN (SELECT row FROM a)")

@@ -34,17 +34,33 @@ KEYWORD = """trim(regexp_replace(regexp_replace(translate(lower(trim(k)), '–
 @query("str4_flt12_normalize_keyword", f"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS k FROM documents), n AS (SELECT doc_id, {KEYWORD} AS s FROM w)
     SELECT s AS keyword, count(*) AS n FROM n WHERE length(s) >= 3 AND NOT regexp_full_match(s, '[0-9]+') AND regexp_matches(s, '[a-z]') GROUP BY 1""")
 def str4(t: Tables) -> DataFrame:
-    """The tables are composed text, so NFKC is left out here; tests cover it."""
+    """Composed (NFKC) once a distinct word; the tables are composed text, which is why SQL can do without."""
     w = t.documents.select(F.explode(F.split("text", " ")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("m"))
-    return w.select(X.normalize_keyword(F.col("k"), compose=False).alias("keyword"), "m").filter("keyword is not null").groupBy("keyword").agg(F.sum("m").alias("n"))
+    return w.select(X.normalize_keyword(F.col("k")).alias("keyword"), "m").filter("keyword is not null").groupBy("keyword").agg(F.sum("m").alias("n"))
 
 
-@query("agg16_keyword_inventory", """WITH k AS (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z][a-z-]{5,}')) AS keyword FROM documents WHERE lang IN ('en', 'fr')), g AS (SELECT keyword, count(*) FILTER (WHERE lang = 'en') AS n_en, count(*) FILTER (WHERE lang = 'fr') AS n_fr, count(*) AS total, count(DISTINCT doc_id) AS n_records FROM k GROUP BY 1)
-    SELECT *, row_number() OVER (ORDER BY n_records DESC, keyword) AS rank FROM g""")
+def inventory_sql(langs: list[str]) -> str:
+    counts = ", ".join(f"count(*) FILTER (WHERE lang = '{x}') AS n_{x}" for x in langs)
+    return f"""WITH k AS (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z][a-z-]{{5,}}')) AS keyword FROM documents WHERE lang IN {str(tuple(langs))}),
+    g AS (SELECT keyword, {counts}, count(*) AS total, count(DISTINCT doc_id) AS n_records FROM k GROUP BY 1)
+    SELECT *, row_number() OVER (ORDER BY n_records DESC, keyword) AS rank FROM g"""
+
+
+def inventory(t: Tables, langs: list[str]) -> DataFrame:
+    k = t.documents.filter(F.col("lang").isin(langs)).select("doc_id", "lang", F.explode(tokens(F.col("text"), 6)).alias("keyword"))
+    return ranking.keyword_inventory(k, "doc_id", "lang", "keyword", langs)
+
+
+@query("agg16_keyword_inventory", inventory_sql(["de", "en", "es", "fr"]))
 def agg16(t: Tables) -> DataFrame:
-    """AGG16, AGG17, FLT13 (a source's keywords left out by policy)."""
-    k = t.documents.filter(F.col("lang").isin("en", "fr")).select("doc_id", "lang", F.explode(tokens(F.col("text"), 6)).alias("keyword"))
-    return ranking.keyword_inventory(k, "doc_id", "lang", "keyword", ["en", "fr"])
+    """AGG16, AGG17 over all languages of the table."""
+    return inventory(t, ["de", "en", "es", "fr"])
+
+
+@query("flt13_source_policy", inventory_sql(["en", "fr"]))
+def flt13(t: Tables) -> DataFrame:
+    """FLT13: the inventory with the keywords of two sources left out by policy."""
+    return inventory(t, ["en", "fr"])
 
 
 @query("str5_str6_affiliations", """WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents), n AS (SELECT doc_id, trim(regexp_replace(trim(regexp_replace(regexp_replace(trim(s), '^\\[[^\\]]*\\]\\s*', ''), '\\s+', ' ', 'g')), '\\.+$', '')) AS a FROM a)
@@ -55,10 +71,10 @@ def str5(t: Tables) -> DataFrame:
 
 
 @query("str8_str9_person_names", """WITH x AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment || ', ' || n_name WHEN 1 THEN n_name || ' YH' WHEN 2 THEN 'Yong ' || n_name ELSE n_name END AS s, n_name, c_mktsegment FROM customer JOIN nation ON n_nationkey = c_nationkey),
-    p AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment WHEN 3 THEN CASE WHEN contains(n_name, ' ') THEN split_part(n_name, ' ', 1) END ELSE n_name END AS surname, CASE c_custkey % 4 WHEN 0 THEN substr(n_name, 1, 1) ELSE 'Y' END AS initial FROM x WHERE NOT contains(n_name, ' '))
+    p AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment WHEN 2 THEN regexp_extract(n_name, '[^ ]+$') WHEN 3 THEN NULL ELSE n_name END AS surname, CASE c_custkey % 4 WHEN 0 THEN substr(n_name, 1, 1) ELSE 'Y' END AS initial FROM x)
     SELECT c_custkey, surname, CASE WHEN surname IS NOT NULL THEN initial END AS initial, CASE WHEN surname IS NOT NULL THEN regexp_replace(lower(surname), '[^a-z]', '', 'g') || '_' || lower(initial) END AS fini FROM p""")
 def str8(t: Tables) -> DataFrame:
-    x = t.customer.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey")).filter(~F.col("n_name").contains(" "))
+    x = t.customer.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey"))
     m = F.col("c_custkey") % 4
     name = F.when(m == 0, F.concat_ws(", ", "c_mktsegment", "n_name")).when(m == 1, F.concat(F.col("n_name"), F.lit(" YH"))).when(m == 2, F.concat(F.lit("Yong "), F.col("n_name"))).otherwise(F.col("n_name"))
     p = x.select("c_custkey", X.parse_person_name(name).alias("p")).select("c_custkey", "p.surname", "p.initial")
@@ -72,14 +88,17 @@ def str10(t: Tables) -> DataFrame:
     return x.select("s_suppkey", X.make_d2_id(F.concat(F.lit("x_"), F.lower(F.substring("n_name", 1, 1))), inst).alias("d2_id"))
 
 
-@query("str11_str12_countries", """WITH x AS (SELECT c_custkey, n_name, r_name, lower('Dept, ' || n_name || '; Hong Kong') AS a FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
-    c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN [r_name] ELSE [] END AS s, list_sort(list_filter([CASE WHEN c_custkey % 2 = 0 THEN 'HK' END, CASE WHEN c_custkey % 2 = 0 AND contains(a, 'china;') THEN 'CN' END, CASE WHEN c_custkey % 2 = 0 AND contains(a, 'japan') THEN 'JP' END], lambda v: v IS NOT NULL)) AS f FROM x),
+@query("str11_str12_countries", """WITH x AS (SELECT c_custkey, n_name, r_name, lower('Dept, ' || n_name || CASE c_custkey % 6 WHEN 0 THEN '; Hong Kong, China' WHEN 2 THEN '; Hong Kong' || repeat('.', c_custkey % 40) || ' China' ELSE '; Kyoto, Japan' END) AS a FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+    c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN [r_name] ELSE [] END AS s, list_sort(list_filter([CASE WHEN c_custkey % 2 = 0 AND contains(a, 'hong kong') THEN 'HK' END, CASE WHEN c_custkey % 2 = 0 AND contains(a, 'china') AND NOT contains(right(left(a, strpos(a, 'china') - 1), 30), 'hong kong') THEN 'CN' END, CASE WHEN c_custkey % 2 = 0 AND contains(a, 'japan') THEN 'JP' END], lambda v: v IS NOT NULL)) AS f FROM x),
     u AS (SELECT c_custkey, s, f, list_sort(list_distinct(list_concat(s, f))) AS b FROM c)
     SELECT c_custkey, CASE WHEN len(b) = 0 THEN 'XX' ELSE array_to_string(b, '+') END AS codes, CASE WHEN len(s) > 0 AND len(f) > 0 THEN 'structured+affiliation' WHEN len(s) > 0 THEN 'structured' WHEN len(f) > 0 THEN 'affiliation' ELSE 'reprint' END AS origin FROM u""")
 def str11(t: Tables) -> DataFrame:
     x = t.customer.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey")).join(F.broadcast(t.region), F.col("r_regionkey") == F.col("n_regionkey"))
     empty = F.array().cast("array<string>")
-    found = X.extract_countries(F.concat(F.lit("Dept, "), F.col("n_name"), F.lit("; Hong Kong")), {"japan": "JP"}, {"hong kong": "HK", "taiwan": "TW"})
+    """A country counts unless the name of its region stands in the 30 characters before it; here the distance varies."""
+    k = F.col("c_custkey")
+    place = F.when(k % 6 == 0, "; Hong Kong, China").when(k % 6 == 2, F.concat(F.lit("; Hong Kong"), F.repeat(F.lit("."), (k % 40).cast("int")), F.lit(" China"))).otherwise("; Kyoto, Japan")
+    found = X.extract_countries(F.concat(F.lit("Dept, "), F.col("n_name"), place), {"japan": "JP"}, {"hong kong": "HK", "taiwan": "TW"})
     chain = X.country_chain(F.when(F.col("c_custkey") % 5 == 0, F.array("r_name")).otherwise(empty), F.when(F.col("c_custkey") % 2 == 0, found).otherwise(empty), F.array(F.lit("XX")))
     return x.select("c_custkey", chain.alias("c")).select("c_custkey", F.array_join("c.codes", "+").alias("codes"), "c.origin")
 
@@ -140,9 +159,8 @@ def per2(t: Tables) -> DataFrame:
 @query("arr1_inverted_index", "SELECT doc_id, array_to_string(string_split_regex(trim(text), '\\s+'), ' ') AS words FROM documents")
 def arr1(t: Tables) -> DataFrame:
     """Each text becomes a map word -> positions and is put together again."""
-    w = t.documents.select("doc_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("p"))
-    m = w.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "p"))).alias("m"))
-    return m.select("doc_id", X.inverted_index_text(F.col("m")).alias("words"))
+    m = X.inverted_index(F.split(F.trim("text"), r"\s+"))
+    return t.documents.select("doc_id", X.inverted_index_text(m).alias("words"))
 
 
 @query("arr2_arr3_lists", "SELECT doc_id, len(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')))::BIGINT AS n_lines FROM documents")

@@ -561,3 +561,20 @@ def test_chains_keep_all_categories(spark):
     none = spark.createDataFrame([], "entity string, category long, sig boolean")
     out = A.hierarchy_chains(pairs, spark.range(10_050).withColumnRenamed("id", "category"), dict.fromkeys(("family", "species", "compound"), none))
     assert out.count() == 10_050
+
+
+def test_inverted_index(spark):
+    from litforge.functions import text as X
+
+    rows = [(1, ["b", "a", "b", "é", "a", "b"]), (2, []), (3, None), (4, ["x"]), (5, [""]), (1, ["b"])]
+    x = spark.createDataFrame(rows, "id int, w array<string>").select("id", "w", X.inverted_index(F.col("w")).alias("m"), X.inverted_index_text(X.inverted_index(F.col("w"))).alias("t"))
+    for r in x.collect():
+        want = None if r.w is None else {w: [i for i, v in enumerate(r.w) if v == w] for w in r.w}
+        assert r.m == want and r.t == " ".join(r.w or [])
+
+
+def test_schemas_as_texts(spark):
+    from litforge.operators.extraction import strip_schema_text
+
+    x = spark.createDataFrame([('{"title": "ä", "properties": {"format": {"format": "x", "anyOf": [{"pattern": "y"}, 1]}}}',), (None,), ("[]",)], "s string")
+    assert [r[0] for r in x.select(strip_schema_text(F.col("s"))).collect()] == ['{"properties": {"format": {"anyOf": [{}, 1]}}}', None, "[]"]
