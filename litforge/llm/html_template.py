@@ -7,7 +7,9 @@
    stand in the class's order (those off the longest ascending run are left out) and its tags lie in one class that begins before it, or in none. Valid classes, nested, are the template.
 4. Texts between template tokens under one path are a slot. A slot varies if VARIES of its texts, one article each, are different ones.
 5. Content are texts that are no template, in slots that vary. Marks only break ties: what stands in an article or main element is content even if it comes again; menus, headers, footers,
-   sidebars, notices, adverts, forms, scripts, styles and comment sections are told by fixed tags, roles and names. A name that encloses the only article hides nothing.
+   sidebars, notices, adverts, forms, scripts, styles and comment sections are told by fixed tags, roles and names. A name or a form that encloses the only article, or a form that encloses the
+   page's main heading and most of its text, hides nothing. Beside an article only main headings before it are added. Within an article names hide whole parts, not paragraphs or headings, nor parts
+   that are named as text as well; ids there are anchors and hide no section.
 
 One page tells no template: hosts with fewer than MINIMUM articles, and pages that none of the classes fit, rely on marks alone: the article with the main headings before it, else the body.
 Templates go to the scan by broadcast while they have fewer than BROADCAST_ROWS rows, else by a join on the host.
@@ -35,7 +37,8 @@ from litforge.llm.common import materialise, slices, small_batches
 
 SUPPORT, MINIMUM, SIZE, VARIES = 0.5, 3, 2, 0.5
 BROADCAST_ROWS = 200_000
-GONE, BODY, ARTICLE, NAMED, INNER = range(5)  # roles of texts; INNER is an article within an element of a NAMED kind
+HOSTS = 64  # whose templates a task holds
+GONE, BODY, ARTICLE, NAMED, INNER, FORMED = range(6)  # roles of texts; INNER is an article within an element of a NAMED kind or a form, FORMED other text within a form
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 CLASS = re.compile(r"(?:^|\s)(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -61,6 +64,9 @@ BESIDE = set(
     "site page post posts entry article articles list item items box bar block area section container wrapper wrap inner outer top bottom left right primary secondary global header "
     "link links button buttons icon icons title text body row col column".split()
 )
+#: In an article: elements that names don't hide, and names that say that an element is text.
+TEXTUAL = set("p h1 h2 h3 h4 h5 h6 li td th dd dt blockquote pre figcaption".split())
+KEEPS = set("text body content entry paragraph".split())
 SPACE = re.compile(r"[ \t\n\r\f\v   -     　\u0085]+")
 
 
@@ -78,6 +84,17 @@ def named_out(names: str) -> bool:
     return False
 
 
+def told(tag: str, names: str, anchor: str, inside: bool) -> str:
+    """The names by which an element may be told to lie beside the text."""
+    if not inside:
+        return f"{names} {anchor}"
+    if tag in TEXTUAL or KEEPS & set(names.split()):
+        return ""
+    if tag == "section" and (not names or "discussion" in names.split()):  # comments by any other name are no heading of a paper
+        return "" if "discussion" in f"{names} {anchor}" else anchor
+    return f"{names} {anchor}"
+
+
 def ascending(values: list) -> list[int]:
     """Places of a longest ascending run."""
     tails, last, before = [], [], []
@@ -92,6 +109,9 @@ def ascending(values: list) -> list[int]:
     return run[::-1]
 
 
+TOP = ("", 0, False, False, False, False, "", False)  # the stack's entry outside all elements
+
+
 class Page:
     """Reads a page once: ``blocks`` of (text, role, token, in a main heading) and the counts of all tokens, in order of their first place, with their enclosing tag's token."""
 
@@ -100,42 +120,46 @@ class Page:
         self.tokens: Counter[int] = Counter()
         self.parents: dict[int, int] = {}
         self.texts: dict[int, int] = {}  # role of each text token
-        self.stack: list[tuple] = []  # tag, token, gone, named, inside an article, that one named, path
+        self.stack: list[tuple] = []  # tag, token, gone, named, inside an article, that one named, path, in a form
         self.pending: list[str] = []
         self.read(source)
 
     def push(self, tag: str, attributes: str) -> None:
-        _, parent, gone, named, inside, under, path = self.stack[-1] if self.stack else ("", 0, False, False, False, False, "")
+        _, parent, gone, named, inside, under, path, formed = self.stack[-1] if self.stack else TOP
         names, found = "", {}
         if attributes:
             found = {m[1].lower(): html.unescape(next((g for g in m.groups()[1:] if g is not None), "")).lower() for m in CLASS.finditer(attributes)}
             names = found.get("class", "")
         role = found.get("role", "")
-        gone = gone or tag in OUT_TAGS or tag == "header" and not inside or role in OUT_ROLES
+        form = not inside and (tag == "form" or role == "form") and role in ("", "form")
+        gone = gone or (tag in OUT_TAGS or role in OUT_ROLES) and not form or tag == "header" and not inside
         gone = gone or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         if tag in ("article", "main") or role in ("main", "article"):
             if not inside:
-                inside, under, named = True, named, False
+                inside, under, named, formed = True, named or formed, False, False
+        elif form:
+            formed = True
         elif tag not in ("html", "body"):
-            named = named or bool(found) and named_out(f"{names} {found.get('id', '')}")
+            named = named or bool(found) and named_out(told(tag, names, found.get("id", ""), inside))
         path = f"{path}/{tag}.{names}"
         token = hash64(path)
         self.tokens[token] += 1
         self.parents[token] = parent
-        self.stack.append((tag, token, gone, named, inside, under, path))
+        self.stack.append((tag, token, gone, named, inside, under, path, formed))
 
     def flush(self) -> None:
         if self.pending:
             text = SPACE.sub(" ", "".join(self.pending)).strip(" ")
             self.pending.clear()
             if text:
-                tag, parent, gone, named, inside, under, path = self.stack[-1] if self.stack else ("", 0, False, False, False, False, "")
+                tag, parent, gone, named, inside, under, path, formed = self.stack[-1] if self.stack else TOP
                 token = hash64(f"{path}/#{text}")
                 self.tokens[token] += 1
                 self.parents[token] = parent
-                role = GONE if gone else NAMED if named else (INNER if under else ARTICLE) if inside else BODY
+                role = GONE if gone else NAMED if named else (INNER if under else ARTICLE) if inside else FORMED if formed else BODY
                 self.texts[token] = role
                 self.blocks.append((text, role, token, tag == "h1"))
+
     def close(self, tags: set[str], fence: set[str]) -> None:
         """End the nearest open element of some tags, and all within it, unless a fence stands before it."""
         for i in range(len(self.stack) - 1, -1, -1):
@@ -209,16 +233,27 @@ class Page:
     def chosen(self, known: dict[int, tuple[int, float]] | None = None, slots: dict[int, bool] | None = None) -> list[str]:
         """Texts of the content, in order; known has the classes of the host, slots whether a slot varies."""
         roles = {role for _, role, _, _ in self.blocks}
-        main = ARTICLE if ARTICLE in roles else INNER if INNER in roles else BODY if BODY in roles else NAMED if any(head for _, role, _, head in self.blocks if role == NAMED) else BODY
+        heads = {role for _, role, _, head in self.blocks if head}
+        size = Counter()
+        for text, role, _, _ in self.blocks:
+            size[role] += len(text)
+        if FORMED in heads and BODY not in heads and size[FORMED] > size[BODY]:
+            body = FORMED
+        else:
+            body = NAMED if BODY not in roles and NAMED in heads else BODY
+        main = ARTICLE if ARTICLE in roles else INNER if INNER in roles else body
         fixed = self.template(known) if known else set()
-        if not fixed:
-            first = next((i for i, block in enumerate(self.blocks) if block[1] == main), 0)
-            return [text for i, (text, role, _, head) in enumerate(self.blocks) if role == main or role == BODY and head and i < first]
+        around = FORMED if main == INNER and BODY not in heads else BODY
+        first = next((i for i, block in enumerate(self.blocks) if block[1] == main), 0)
         slots = slots or {}
         out = []
-        for text, role, token, _ in self.blocks:
-            if role == main and main in (ARTICLE, INNER):
+        for i, (text, role, token, head) in enumerate(self.blocks):
+            if role == main and (not fixed or main in (ARTICLE, INNER)):
                 out.append(text)
+            elif main in (ARTICLE, INNER) or not fixed:
+                # the article's own heading may stand before its element
+                if role == around and head and i < first and token not in fixed:
+                    out.append(text)
             elif role in (main, BODY) and token not in fixed and slots.get(self.parents[token], role == main):
                 out.append(text)
         return out
@@ -288,14 +323,16 @@ def main_texts(pages: DataFrame) -> DataFrame:
     joined = rows.join(F.broadcast(by_host) if small else by_host, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known, slot = None, {}, {}
+        held: dict[str, tuple[dict, dict]] = {}  # of the last hosts
         for part in slices(batches, "html"):
             out, hosts, templates = [], part.column("host").to_pylist(), part.column("template")
             for i, source in enumerate(part.column("html").to_pylist()):
-                if hosts[i] != last:
+                if hosts[i] not in held:
+                    if len(held) == HOSTS:
+                        held.clear()
                     entries = templates[i].as_py() or []
-                    last, known = hosts[i], {e["token"]: (e["class"], e["place"]) for e in entries if e["varies"] is None}
-                    slot = {e["token"]: e["varies"] for e in entries if e["varies"] is not None}
+                    held[hosts[i]] = {e["token"]: (e["class"], e["place"]) for e in entries if e["varies"] is None}, {e["token"]: e["varies"] for e in entries if e["varies"] is not None}
+                known, slot = held[hosts[i]]
                 out.append(Page(source or "").main(known, slot))
             n = np.fromiter(map(len, out), np.int64, len(out))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array(n)], ["page_id", "url", "text", "n_chars"])

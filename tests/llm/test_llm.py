@@ -492,6 +492,24 @@ def test_html_names_hide_no_article():
     assert Page(f"<nav>n</nav><article><p>{long}<p>{long}</article>").main() == f"{long}\n\n{long}"
 
 
+def test_html_forms_and_names_in_articles():
+    body = "<h1>T</h1><p>one two three</p>"
+    for page in (f"<form id=aspnetForm><article>{body}</article></form>", f"<form id=aspnetForm><div>{body}</div><div class=sidebar>s</div><nav>n</nav></form><div>x</div>", f"<form><h1>T</h1><article><p>one two three</p></article></form>"):
+        assert Page(page).main() == "T\n\none two three"
+    assert Page(f"<div>{body}</div><form><p>your name and your address, please</p></form>").main() == "T\n\none two three"
+    assert Page(f"<article>{body}<form><p>mail</p></form></article><form><h1>Sign up</h1><p>{'long ' * 50}</p></form>").main() == "T\n\none two three"
+    kept = "<section id=discussion><h2 id=related>D</h2><p class='text menu'>e</p></section><section class=discussion><p>f</p></section><div class='content widget'>g</div>"
+    gone = "<section id=comments><p>x</p></section><div class=comment-list>x</div><div class=share>x</div><div id=related-posts>x</div><section class=related>x</section><div class=notice>x</div>"
+    assert Page(f"<article>{body}{kept}{gone}</article>").main() == "T\n\none two three\n\nD\n\ne\n\nf\n\ng"
+
+
+def test_html_nothing_beside_an_article(spark):
+    """Teasers beside the article vary from page to page, yet are none of it; the heading before it is."""
+    rows = [(i, f"http://a.example/{i}", f"<body><p>Site</p><h1>T {i}</h1><article><p>Own text of page {i} is here.</p></article><div class=teaser><p>Read also {i}</p></div></body>") for i in range(12)]
+    for r in main_texts(common.materialise(pages_of(spark, rows), "t")).collect():
+        assert r["text"] == f"T {r['page_id']}\n\nOwn text of page {r['page_id']} is here."
+
+
 def test_ascending():
     rng = random.Random(1)
     for _ in range(200):
