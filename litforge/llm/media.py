@@ -4,7 +4,10 @@ A payload is stored as unsigned 8-bit mono samples in frames of 576, one packet
 count samples. The reader checks every page's checksum, splits pages into logical streams by serial number, joins packets by their lacing values across
 pages, and derives each packet's time from the granule positions. Serial numbers and captions come from the length alone, so equal texts give equal bytes.
 
-Cases: null and empty texts give one frame of bytes 255; no text is cut; repeated rows give equal rows.
+The column is written as a table, and checksums and features come from the table read back.
+
+Cases: null and empty texts give one frame of bytes 255; no text is cut; repeated rows give equal rows; null ids pass through; an empty table gives no rows; columns other than doc_id and text are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from litforge.llm.common import slices, small_batches, texts_of
+from litforge.llm.common import materialise, slices, small_batches, texts_of
 
 FRAME = 576
 RATE = 8000
@@ -159,23 +162,45 @@ def restored(data: bytes) -> tuple[bytes, str]:
     return payload, f"frames={len(frames)};seconds={clock[-1]:.4f};mean={mean:.4f};deviation={max(0.0, square / len(x) - mean * mean) ** 0.5:.4f};crossings={crossings}"
 
 
-def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
-    """Store, read back and describe every text; the stored bytes come along if wanted."""
+def media_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media): every text as an Ogg file in a column."""
     small_batches(docs.sparkSession)
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media"] * keep_media
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 4 << 20):
-            rows = []
+            sizes, media = [], []
             for text in texts_of(part.column("text")):
                 raw = text.encode()
                 size = max(FRAME, -(-len(raw) // FRAME) * FRAME)
-                stored = store(raw + b"\xff" * (size - len(raw)), f"{len(raw)} bytes".encode())
-                payload, feature = restored(stored)
-                rows.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, *([stored] * keep_media)))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[: len(names) - 1], strict=True))], names)
+                sizes.append(len(raw))
+                media.append(store(raw + b"\xff" * (size - len(raw)), f"{len(raw)} bytes".encode()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     picked = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    return picked.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+
+def described(media: DataFrame, keep_media: bool = False) -> DataFrame:
+    """Checksums and features of a media column, all from its bytes; the bytes come along if wanted."""
+    small_batches(media.sparkSession)
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "media", 4 << 20):
+            rows = []
+            for cell in part.column("media"):
+                data = cell.as_py()
+                payload, feature = restored(data)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            kept = [part.column("media")] * keep_media
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *columns, *kept], names + ["media"] * keep_media)
+
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return picked.mapInArrow(run, schema + (", media binary" if keep_media else ""))
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema + (", media binary" if keep_media else ""))
+
+
+def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
+    """Every text stored as a media column, which is read again and described."""
+    return described(materialise(media_table(docs), "media"), keep_media)

@@ -328,6 +328,12 @@ def test_media(spark, odd_docs):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert r["media_bytes"] == len(r["media"]) and hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"] and media.restored(bytes(r["media"]))[0] == payload
     assert len(rows) == len(odd_docs)
+    x = spark.createDataFrame([(7, "abc", b"z", 1)], "doc_id long, text string, media binary, n_bytes long")
+    out = media.media_columns(x).collect()
+    assert [(r["doc_id"], r["n_bytes"], r["payload_bytes"]) for r in out] == [(7, 3, 576)] and media.media_columns(x.limit(0)).count() == 0
+    broken = media.media_table(x).selectExpr("doc_id", "n_bytes", "concat(substring(media, 1, octet_length(media) - 1), X'FE') as media")  # the last byte is of a sample or caption, another before
+    with pytest.raises(Exception, match="another checksum"):
+        media.described(broken).collect()
 
 
 def own_mix(x):
