@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from litforge.operators.lists import place_within
 from litforge.operators.quantile import beside, order_statistic
 from litforge.scratch import stored
 
+CHUNK_WORDS = 1_000_000  # about so many are counted at once
+
 
 def tokens(text: Column, least: int = 3, stop: Sequence[str] = ()) -> Column:
     """Lower-case words of Latin letters and hyphens; stop words go before any pairing."""
@@ -19,23 +25,47 @@ def tokens(text: Column, least: int = 3, stop: Sequence[str] = ()) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
 
 
-def ngrams(words: Column, up_to: int = 2) -> Column:
-    """Words and the joined runs of up to so many words."""
+def _runs(batch: pa.RecordBatch, up_to: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the runs of up to so many words in some rows of (class, words). A run is the number of the run before it and a word's number, so only distinct ones become text."""
+    cls, words = batch.column(0).dictionary_encode(null_encoding="encode"), batch.column(1).flatten().dictionary_encode()
+    word, vocabulary = words.indices.to_numpy().astype(np.int64), words.dictionary
+    row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy())
+    kind = cls.indices.to_numpy().astype(np.int64)[row]
+    at, run = np.arange(len(word)), kind
+    for n in range(1, up_to + 1):
+        within = at[at + n - 1 < len(word)]
+        within = row[within] == row[within + n - 1]
+        at, run = at[: len(within)][within], run[: len(within)][within]
+        _, where, run, count = np.unique(run * len(vocabulary) + word[at + n - 1], return_index=True, return_inverse=True, return_counts=True)
+        first = at[where]
+        term = [vocabulary.take(pa.array(word[first + j])) for j in range(n)]
+        yield pa.record_batch([cls.dictionary.take(pa.array(kind[first])), pc.binary_join_element_wise(*term, " ") if n > 1 else term[0], pa.array(count)], names=["class", "term", "n"])
+
+
+def ngram_counts(df: DataFrame, cls: str, words: Column, up_to: int = 2) -> DataFrame:
+    """(class, term, n): words and the joined runs of up to so many words, counted by class. Rows are counted some at a time first; what is shuffled, by term, are these counts."""
+    x = df.select(F.col(cls).alias("class"), words.alias("words"))
 
-    def runs(n: int) -> Column:
-        return F.transform(F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0))), lambda _, i: F.array_join(F.slice(words, i + 1, n), " "))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            upto = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy())
+            part = upto // CHUNK_WORDS
+            for rows in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
+                if len(rows):
+                    yield from _runs(batch.slice(rows[0], len(rows)), up_to)
 
-    return F.concat(words, *[runs(n) for n in range(2, up_to + 1)])
+    schema = T.StructType([T.StructField("class", x.schema["class"].dataType), T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
+    return x.mapInArrow(run, schema).repartition("term").groupBy("class", "term").agg(F.sum("n").alias("n"))
 
 
 def ctfidf(df: DataFrame, cls: str, text: str, up_to: int = 2, min_df: int = 2, max_df: float = 0.9, stop: Sequence[str] = ()) -> DataFrame:
-    """TXT1: (class, term, n, score): term share within a class times ln(1 + classes/classes with the term). Terms in fewer than min_df classes or over max_df of them go before shares are taken."""
-    counts = df.select(F.col(cls).alias("class"), F.explode(ngrams(tokens(F.col(text), stop=stop), up_to)).alias("term")).groupBy("class", "term").agg(F.count(F.lit(1)).alias("n"))
+    """TXT1: (class, term, n, score): term share within a class times ln(1 + classes/classes with the term). Terms in fewer than min_df classes or over max_df of them go before shares are taken. Rows without a class are a class, which the number of classes leaves out."""
+    counts = ngram_counts(df, cls, tokens(F.col(text), stop=stop), up_to)
     classes = df.agg(F.countDistinct(cls).alias("k"))
-    spread = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(classes)).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("k")))
-    kept = counts.join(spread, "term")
+    spread = counts.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))  # a row for each class of a term
+    kept = stored(spread.crossJoin(F.broadcast(classes)).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("k"))), "terms")
     total = kept.groupBy("class").agg(F.sum("n").alias("total"))
-    return kept.join(total, "class").select("class", "term", "n", (F.col("n") / F.col("total") * F.log(1 + F.col("k") / F.col("df"))).alias("score"))
+    return beside(kept, total, "class").select("class", "term", "n", (F.col("n") / F.col("total") * F.log(1 + F.col("k") / F.col("df"))).alias("score"))
 
 
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import random
 import subprocess
 import sys
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -454,6 +455,16 @@ def test_ctfidf_bigrams(spark):
     assert got == {("a", "red"): 2, ("a", "green"): 1, ("a", "red green"): 1, ("b", "red"): 1, ("b", "green"): 1, ("b", "red green"): 1, ("b", "blue"): 1, ("d", "blue"): 1}
 
 
+def test_ctfidf_long_texts_and_no_class(spark):
+    words = [f"{a}{b}{c}x" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwyz"] * 80
+    df = frame(spark, [("a", " ".join(words)), ("b", " ".join(words)), ("c", "red"), (None, "akux akvx")], "k string, t string")
+    began = time.time()
+    got = {(r["class"], r["term"]): r["n"] for r in topics.ctfidf(df, "k", "t", max_df=1.0).collect()}
+    assert time.time() - began < 40  # the words of a text were found again for each of them
+    want = Counter(words) + Counter(f"{x} {y}" for x, y in zip(words, words[1:]))
+    assert got == {(c, t): n for c in "ab" for t, n in want.items()} | {(None, "akux"): 1, (None, "akvx"): 1, (None, "akux akvx"): 1}
+
+
 GOOD = '{"record_id": "r", "contains_hdi": true, "interactions": [{"interaction_type": "both", "mechanism": "other", "direction": "no_change", "evidence_type": "review", "clinical_significance": "low", "confidence": 0.5, "evidence_quote": "ten chars and more", "co_herbs": []}], "extraction_notes": null}'
 
 
