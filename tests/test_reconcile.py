@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from litforge.operators import linkage
@@ -55,3 +57,39 @@ def test_late_keys_and_years(spark):
     late = [("a", 2, "main", "k", 1, True), ("c", 2, "partial", "k", 1, None), ("d", 2, "main", "n", None, False)]
     assert streamed(spark, [first, late, late]) == {("partial", "c"), ("main", "d"), ("main", None)}
     assert streamed(spark, [late, first]) == {("partial", "c"), ("main", "d"), ("main", None)}
+
+
+def test_null_ids_and_places_beyond_doubles(spark):
+    rows = [(None, 1, "partial", "k", 1, None), ("x", 1, "partial", "k", 2, None), ("z", 1, "partial", "m", 2**53, None), ("y", 1, "partial", "m", 2**53 + 1, None), ("w", 1, "partial", "m", None, None)]
+    assert streamed(spark, [rows]) == {("partial", None), ("partial", "z")}
+
+
+def test_state_is_touched_by_page_not_by_record():
+    class Value:
+        held, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, new):
+            self.calls += 1
+            self.held = new
+
+    class Now:
+        def __init__(self, now):
+            self.getCurrentProcessingTimeInMs = lambda: now
+
+    def run(processor, value, rows, now=0):
+        processor.init(type("Handle", (), {"getValueState": lambda *_: value}))
+        table = pa.Table.from_pylist(rows, pa.schema({"id": pa.string(), "version": pa.int64(), "corpus": pa.string(), "key": pa.string(), "place": pa.int64(), "moved": pa.bool_()}))
+        packs = [reconcile.packed(table.slice(i, 100))[0] for i in range(0, len(rows), 100)]
+        return [r for out in processor.handleInputRows((0,), iter([pd.DataFrame({"rows": packs})]), Now(now)) for r in out.to_dict("records")]
+
+    value, rows = Value(), [{"id": f"r{i}", "version": 2, "corpus": "main", "key": "k", "place": i, "moved": False} for i in range(1000)]
+    assert len(run(reconcile.Latest(0), value, rows)) == 1000 and value.calls == 2
+    assert run(reconcile.Latest(0), value, rows) == [] and value.calls == 3
+    assert sorted((r["id"], r["key"], r["change"]) for r in run(reconcile.Latest(0), value, [rows[7] | {"version": 3, "key": "n"}])) == [("r7", "k", -1), ("r7", "n", 1)]
+    # forgotten after ten milliseconds: an older version then counts as new
+    value = Value()
+    assert [[r["change"] for r in run(reconcile.Latest(10), value, [rows[0] | {"version": v}], now)] for v, now in ((2, 0), (1, 9), (1, 10))] == [[1], [], [1]]
